@@ -1 +1,260 @@
-"""Queries."""
+"""Queries over item vectors: user vectors, nearest items, candidates, mixes, indexes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from basketflow.catalog import query, views as V
+from basketflow.catalog.sql import history_vectors as define_vectors, part, sql, top
+from basketflow.functions import vectors as X
+from basketflow.functions.text import format_id_list
+from basketflow.operators import retrieval as R
+from basketflow.operators.sequences import valid_items
+from basketflow.session import fresh_path
+
+ENDS = "round(v[1], 6) AS first, round(v[64], 6) AS last, round(list_sum(v), 6) AS total"
+
+
+def _ends(rows):
+    v = F.col("vector")
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    return rows.select("query_id", F.round(v[0], 6).alias("first"), F.round(v[63], 6).alias("last"), F.round(total, 6).alias("total"))
+
+
+def _self_queries(spark, d):
+    return V.vectors(spark, d).withColumnRenamed("item_idx", "query_id")
+
+
+def user_queries(spark, d):
+    """Per user the history of the latest training sample."""
+    latest = V.split(spark, d, "train").groupBy("user_idx")
+    latest = latest.agg(F.max_by("history", F.struct("ts", "query_id")).alias("history"))
+    return latest.withColumnRenamed("user_idx", "query_id")
+
+
+def _user_vectors(spark, d):
+    return R.history_vectors(user_queries(spark, d), V.vectors(spark, d))
+
+
+part("uq", "train", "SELECT user_idx AS query_id, arg_max(history, (ts, query_id)) AS history FROM train GROUP BY 1")
+
+define_vectors("uv", "uq")
+part("user_scores", "uv vec", "SELECT query_id, item_idx, round(list_dot_product(uv.v, vec.u), 9) AS score FROM uv, vec")
+part("self_scores", "vec", "SELECT a.item_idx AS query_id, b.item_idx, round(list_dot_product(a.u, b.u), 9) AS score FROM vec a, vec b")
+
+
+def ranked(source: str, k: int) -> str:
+    return f"SELECT query_id, rank, item_idx, score FROM ({top(source, k)})"
+
+
+@query("e1_history_vectors", sql("hv", f"SELECT query_id, {ENDS} FROM hv"))
+def e1(spark, d):
+    return _ends(R.history_vectors(V.sequences(spark, d), V.vectors(spark, d)))
+
+
+part("few", "seq", "SELECT query_id, [x FOR x IN history IF x < 10] AS history FROM seq")
+define_vectors("fv", "few")
+
+
+@query("e1_sparse_histories", sql("few fv", f"""
+SELECT query_id, {ENDS} FROM (SELECT query_id, coalesce(fv.v, [0.0 FOR i IN range(64)]) AS v FROM few LEFT JOIN fv USING (query_id))"""))
+def e1_sparse(spark, d):
+    rows = V.sequences(spark, d).select("query_id", valid_items(F.col("history"), 10).alias("history"))
+    return _ends(R.history_vectors(rows, V.vectors(spark, d), keep_empty=True))
+
+
+@query("e2_unit_vectors", sql("", """
+SELECT vec_id AS query_id, round(w[1] / n, 6) AS first, round(w[64] / n, 6) AS last, round(list_sum(w) / n, 6) AS total
+FROM (SELECT vec_id, w, greatest(sqrt(list_dot_product(w, w)), 1e-8) AS n
+      FROM (SELECT vec_id, [x * (vec_id + 1) FOR x IN embedding::DOUBLE[]] AS w FROM embeddings))"""))
+def e2(spark, d):
+    scaled = F.transform("vector", lambda x: x.cast("double") * (F.col("query_id") + 1))
+    return _ends(R.unit_vectors(_self_queries(spark, d).withColumn("vector", scaled)))
+
+
+@query("e3_nearest_cosine", sql("self_scores", ranked("self_scores", 10)))
+def e3(spark, d):
+    return R.nearest_items(_self_queries(spark, d), V.vectors(spark, d), 10)
+
+
+@query("e3_nearest_small_blocks", sql("self_scores", ranked("self_scores", 10)))
+def e3_blocks(spark, d):
+    return R.nearest_items(_self_queries(spark, d), V.vectors(spark, d), 10, query_block=100, item_block=64)
+
+
+part("far_scores", "vec", """
+SELECT a.item_idx AS query_id, b.item_idx, round(-sqrt(greatest(list_dot_product(a.v, a.v) + list_dot_product(b.v, b.v)
+  - 2 * list_dot_product(a.v, b.v), 0)), 9) AS score FROM vec a, vec b WHERE a.item_idx <> b.item_idx""")
+
+
+@query("e4_nearest_l2", sql("far_scores", ranked("far_scores", 9)))
+def e4(spark, d):
+    rows = R.nearest_items(_self_queries(spark, d), V.vectors(spark, d), 10, "l2")
+    own = _self_queries(spark, d).select("query_id", F.col("query_id").alias("item_idx"))
+    return R.drop_excluded(rows, own)
+
+
+part("hop", "vec", """
+SELECT a.item_idx AS query_id, b.item_idx, list_dot_product(a.u, b.u) AS similarity FROM vec a JOIN vec b ON b.item_idx = a.item_idx + 1""")
+
+
+@query("e5_cosine_from_distance", sql("hop", "SELECT query_id, round(similarity, 6) AS direct, round(similarity, 6) AS converted FROM hop"))
+def e5(spark, d):
+    rows = R.unit_vectors(V.vectors(spark, d))
+    other = rows.select((F.col("item_idx") - 1).alias("item_idx"), F.col("vector").alias("next"))
+    pairs = rows.join(other, "item_idx")
+    return pairs.select(
+        F.col("item_idx").alias("query_id"), F.round(X.cosine(F.col("vector"), F.col("next")), 6).alias("direct"),
+        F.round(X.cosine_from_distance(X.squared_distance(F.col("vector"), F.col("next"))), 6).alias("converted"),
+    )
+
+
+@query("e6_nearest_by_cell")
+def e6(spark, d):
+    items = V.vectors(spark, d)
+    model = R.fit_cells(items, 16)
+    return R.nearest_by_cell(_self_queries(spark, d), R.with_cells(items, model), model, 10, 8)
+
+
+@query("e6_all_cells_probed", sql("self_scores", ranked("self_scores", 10)))
+def e6_all(spark, d):
+    items = V.vectors(spark, d)
+    model = R.fit_cells(items, 8)
+    return R.nearest_by_cell(_self_queries(spark, d), R.with_cells(items, model), model, 10, 8)
+
+
+@query("e7_nearest_by_hash")
+def e7(spark, d):
+    return R.nearest_by_hash(_self_queries(spark, d), V.vectors(spark, d), 10)
+
+
+@query("e8_nearest_for_histories", sql("near_scores", ranked("near_scores", 10)))
+def e8(spark, d):
+    items = V.vectors(spark, d)
+    return R.nearest_items(R.history_vectors(V.sequences(spark, d), items), items, 10)
+
+
+@query("e9_index_table", "SELECT vec_id AS item_idx, 64::BIGINT AS dimension FROM embeddings")
+def e9(spark, d):
+    items, path = V.vectors(spark, d), fresh_path(spark, "index")
+    R.write_index(items, R.fit_cells(items, 16), path)
+    return spark.read.parquet(path).select("item_idx", F.size("vector").cast("long").alias("dimension"))
+
+
+@query("a13_index_statistics", "SELECT count(*) AS n_items, max(len(embedding))::BIGINT AS dimension, 'cosine' AS metric FROM embeddings")
+def a13(spark, d):
+    return R.index_statistics(V.vectors(spark, d))
+
+
+part("user_top", "user_scores", top("user_scores", 20))
+part("user_out", "uq", "SELECT DISTINCT query_id, unnest(history) AS item_idx FROM uq")
+
+
+@query("e10_for_users", sql("user_top user_out", f"""
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_idx) AS rank, item_idx, score
+FROM user_top ANTI JOIN user_out USING (query_id, item_idx)"""))
+def e10(spark, d):
+    return R.retrieve_for_users(_user_vectors(spark, d), V.vectors(spark, d), 20, R.history_items(user_queries(spark, d)))
+
+
+part("all_top", "near_scores", top("near_scores", 20))
+
+
+@query("e11_for_histories", sql("all_top seq", """
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_idx) AS rank, item_idx, score
+FROM all_top t ANTI JOIN (SELECT DISTINCT query_id, unnest(history) AS item_idx FROM seq) h USING (query_id, item_idx)"""))
+def e11(spark, d):
+    return R.retrieve_for_history(V.sequences(spark, d), V.vectors(spark, d), 20)
+
+
+@query("e12_for_many_users", sql("user_scores", ranked("user_scores", 20)))
+def e12(spark, d):
+    return R.retrieve_for_users(_user_vectors(spark, d), V.vectors(spark, d), 20)
+
+
+@query("e13_candidate_lists", sql("cands", "SELECT query_id, pos_item_idx, ts, array_to_string(cands, ' ') AS cands FROM cands"))
+def e13(spark, d):
+    rows = R.candidate_lists(V.tests(spark, d), V.vectors(spark, d), V.K_CANDS)
+    return rows.select("query_id", "pos_item_idx", "ts", format_id_list(F.col("cands")).alias("cands"))
+
+
+@query("k5_forced_positive", sql("seq", """
+SELECT query_id, array_to_string(CASE WHEN list_contains(history, pos_item_idx) THEN history
+  ELSE list_append(history[:len(history) - 1], pos_item_idx) END, ' ') AS cands FROM seq"""))
+def k5(spark, d):
+    forced = R.force_positive(F.col("history"), F.col("pos_item_idx"))
+    return V.sequences(spark, d).select("query_id", format_id_list(forced).alias("cands"))
+
+
+part("user_pop", "pop_recs", "SELECT user_idx AS query_id, item_idx, score FROM pop_recs")
+part("mixed", "user_top user_pop", """
+SELECT query_id, item_idx, round(sum(score), 9) AS score FROM (
+  SELECT query_id, item_idx, score * (3.0::DOUBLE / 4.0) AS score FROM user_top
+  UNION ALL SELECT query_id, item_idx, score * (1.0::DOUBLE / 4.0) FROM user_pop) GROUP BY 1, 2""")
+
+
+@query("e14_mixed_retrievers", sql("mixed", ranked("mixed", 10)))
+def e14(spark, d):
+    from basketflow.operators.baselines import recommend_popular
+
+    near = R.retrieve_for_users(_user_vectors(spark, d), V.vectors(spark, d), 20)
+    popular = recommend_popular(V.matrix(spark, d), V.users(spark, d), 20).withColumnRenamed("user_idx", "query_id")
+    return R.mix_retrievers({"vectors": near, "popular": popular}, 10, {"vectors": 3.0, "popular": 1.0})
+
+
+@query("e15_similarity_table", sql("user_scores", "SELECT query_id, item_idx, score FROM user_scores"))
+def e15(spark, d):
+    return R.similarity_table(_user_vectors(spark, d), V.vectors(spark, d))
+
+
+@query("j6_all_scores", sql("vec", """
+SELECT a.item_idx AS query_id, b.item_idx, round(list_dot_product(a.v, b.v), 9) AS score FROM vec a, vec b"""))
+def j6(spark, d):
+    return R.similarity_table(_self_queries(spark, d), V.vectors(spark, d), "dot")
+
+
+part("unseen_scores", "user_scores user_out", "SELECT * FROM user_scores ANTI JOIN user_out USING (query_id, item_idx)")
+
+
+@query("e16_unseen_for_users", sql("unseen_scores", ranked("unseen_scores", 10)))
+def e16(spark, d):
+    out = R.history_items(user_queries(spark, d))
+    return R.unseen_items(_user_vectors(spark, d), V.vectors(spark, d), out, 10)
+
+
+@query("j11_exclusions", sql("self_scores", """
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_idx) AS rank, item_idx, score
+FROM (SELECT * FROM self_scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_idx) <= 10) WHERE item_idx <> query_id"""))
+def j11(spark, d):
+    own = _self_queries(spark, d).select("query_id", F.col("query_id").alias("item_idx"))
+    return R.drop_excluded(R.nearest_items(_self_queries(spark, d), V.vectors(spark, d), 10), own)
+
+
+@query("j5_gathered_vectors", sql("seq vec", """
+SELECT query_id, item_idx, round(v[1], 6) AS first FROM (SELECT query_id, unnest(history) AS item_idx FROM seq) JOIN vec USING (item_idx)"""))
+def j5(spark, d):
+    rows = V.sequences(spark, d).select("query_id", F.explode("history").alias("item_idx"))
+    return R.gather(rows, V.vectors(spark, d)).select("query_id", "item_idx", F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
+
+
+@query("e17_trained_vectors")
+def e17(spark, d):
+    return _ends(R.trained_vectors(V.matrix(spark, d), 64)[0].withColumnRenamed("user_idx", "query_id"))
+
+
+@query("e18_pair_scores", sql("hv seq vec", """
+SELECT query_id, round(list_dot_product(hv.v, vec.u), 6) AS score FROM seq JOIN hv USING (query_id) JOIN vec ON vec.item_idx = pos_item_idx"""))
+def e18(spark, d):
+    rows, items = V.sequences(spark, d), R.unit_vectors(V.vectors(spark, d))
+    pairs = rows.select("query_id", F.col("pos_item_idx").alias("item_idx")).join(items.withColumnRenamed("vector", "item"), "item_idx")
+    pairs = pairs.join(R.history_vectors(rows, V.vectors(spark, d)), "query_id")
+    return pairs.select("query_id", F.round(X.dot(F.col("vector"), F.col("item")), 6).alias("score"))
+
+
+@query("e19_exported_vectors")
+def e19(spark, d):
+    from basketflow.sources.tables import read_vectors, write_vectors
+
+    path = fresh_path(spark, "vectors")
+    write_vectors(R.trained_vectors(V.matrix(spark, d), 16)[1], path)
+    return read_vectors(spark, path).select("item_idx", F.size("vector").cast("long").alias("dimension"))

@@ -19,7 +19,6 @@ UNBRANDED = ("non branded", "nonbranded", "no brand")
 SPACE = r"[\s\x1c-\x1f]"
 
 
-@F.pandas_udf("string")
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -31,7 +30,8 @@ def normalize_text(col: Column) -> Column:
     through one Arrow function; ASCII text is its own NFKC form.
     """
     text = F.coalesce(col.cast("string"), F.lit(""))
-    text = F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+    nfkc = F.pandas_udf(_nfkc, "string")
+    text = F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text)
     text = F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
     return F.upper(F.regexp_replace(text, rf"(?U){SPACE}+", " "))
 

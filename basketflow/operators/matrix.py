@@ -93,10 +93,10 @@ def pair_products(
     # Ids are dense, so a block of ids never holds more than `block` of them.
     large = large.withColumn("kb", F.floor(F.col("key") / block)).withColumn("ib", F.floor(F.col("id") / block))
     last = large.agg(F.max("ib")).scalar()
-    all_blocks = F.sequence(F.lit(0).cast("long"), F.coalesce(last, F.lit(0).cast("long")))
-    first = large.select("*", F.explode(F.filter(all_blocks, lambda b: b >= F.col("ib"))).alias("jb"))
-    second = large.withColumnRenamed("ib", "jb")
-    second = second.select("*", F.explode(F.filter(all_blocks, lambda b: b <= F.col("jb"))).alias("ib"))
+    first = large.select("*", F.explode(F.sequence("ib", last)).alias("jb"))
+    # Both sides come from one table; new names keep their columns apart.
+    second = large.select(*[F.col(c).alias("jb" if c == "ib" else c) for c in large.columns])
+    second = second.select("*", F.explode(F.sequence(F.lit(0).cast("long"), "jb")).alias("ib"))
     cell = ["kb", "ib", "jb"]
     blocks = first.groupBy(*cell).cogroup(second.groupBy(*cell))
     blocks = blocks.applyInArrow(_block_product, "a long, b long, product double")

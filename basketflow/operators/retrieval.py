@@ -154,7 +154,9 @@ def block_scores(
     cut = lambda ident, n: F.pmod(F.xxhash64(ident), F.col(n)).cast("int")
     left = queries.select(*group, "query_id", "vector", "want", cut("query_id", "_nq").alias("_qb"),
                           F.explode(whole("_ni")).alias("_ib"))
-    right = items.select(*group, "item_idx", "vector", cut("item_idx", "_ni").alias("_ib"),
+    # Fresh aliases: queries and items may be the same table.
+    fresh = [F.col(c).alias(c) for c in (*group, "item_idx", "vector")]
+    right = items.select(*fresh, cut("item_idx", "_ni").alias("_ib"),
                          F.explode(whole("_nq")).alias("_qb"))
     keys = [*group, "_qb", "_ib"]
     met = left.groupBy(*keys).cogroup(right.groupBy(*keys))
