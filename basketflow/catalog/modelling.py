@@ -101,9 +101,10 @@ def m7(spark, d):
     return M.user_similarity(V.matrix(spark, d)).select("a", "b", *V.six("similarity"))
 
 
-@query("m8_nearest_users", sql("uknn_near", "SELECT user_idx, neighbor, similarity, rank FROM uknn_near"))
+@query("m8_nearest_users", sql("uknn_near", "SELECT user_idx, neighbor, round(similarity, 9) AS similarity, rank FROM uknn_near"))
 def m8_near(spark, d):
-    return B.nearest_users(M.user_similarity(V.matrix(spark, d)), V.users(spark, d))
+    near = B.nearest_users(M.user_similarity(V.matrix(spark, d)), V.users(spark, d))
+    return near.withColumn("similarity", F.round("similarity", 9))
 
 
 @query("m8_user_knn", sql("uknn_recs", "SELECT user_idx, rank, item_idx, score FROM uknn_recs"))

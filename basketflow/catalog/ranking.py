@@ -9,6 +9,7 @@ from basketflow.catalog.sql import X, added, linear, mixed, normed, numbers, par
 from basketflow.operators import ranking as R, scoring as S, tables as T
 from basketflow.operators.evaluate import recall_from_scores
 from basketflow.operators.retrieval import candidate_lists
+from basketflow.session import settle
 
 NAMES = ("dot_uv", "max_sim_recent", "pop", "hist_len", "price_z")
 
@@ -27,10 +28,10 @@ def features(spark, d):
     return R.build_features(candidates(spark, d), V.vectors(spark, d), pop, price(spark, d))
 
 
-def plain_features(spark, d):
+def plain_features(spark, d, queries=None):
     """Without the price column, which needs the sales lines."""
     pop = R.popularity_feature(V.split(spark, d, "train"))
-    return R.build_features(candidates(spark, d), V.vectors(spark, d), pop)
+    return R.build_features(candidates(spark, d) if queries is None else queries, V.vectors(spark, d), pop)
 
 
 part("plain", "feat", "SELECT * REPLACE (0.0::DOUBLE AS price_z) FROM feat")
@@ -225,8 +226,10 @@ def _register_mix(method: str, combine: str) -> None:
 
     @query(f"r17_rankers_{method}", sql(f"mix_{method}", top(f"mix_{method}", 10)))
     def r17(spark, d):
-        ranked = {"dense": R.rerank(_scored(spark, d, first), 10), "cross": R.rerank(_scored(spark, d, cross), 10)}
-        return R.mix_rankers(candidates(spark, d), ranked, 10, {"dense": 2.0, "cross": 1.0}, method)
+        queries = settle(candidates(spark, d))
+        rows = settle(plain_features(spark, d, queries))
+        ranked = {name: R.rerank(S.score_features(rows, ranker), 10) for name, ranker in (("dense", first), ("cross", cross))}
+        return R.mix_rankers(queries, ranked, 10, {"dense": 2.0, "cross": 1.0}, method)
 
 
 for _method, _combine in (("average", "avg"), ("max", "max"), ("min", "min")):

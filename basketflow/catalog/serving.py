@@ -117,9 +117,9 @@ def _served(spark, d):
     return ranked.unionByName(popular), items, item_map
 
 
-@query("r19_customer_recommendations", sql("served", "SELECT customer_id, rank, item_idx, round(score, 6) AS score, source FROM served"))
+@query("r19_customer_recommendations", sql("served", "SELECT customer_id, rank, item_idx, score, source FROM served"))
 def r19(spark, d):
-    return _served(spark, d)[0].withColumn("score", F.round("score", 6))
+    return _served(spark, d)[0]
 
 
 @query("r20_popular_fallback", sql("served", "SELECT customer_id, rank, item_idx FROM served WHERE source = 'popular'"))

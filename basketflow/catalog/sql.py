@@ -160,7 +160,7 @@ WHERE NOT EXISTS (SELECT 1 FROM {profile} m WHERE m.user_idx = u.user_idx AND m.
 
 item_knn("iknn", "knn", "knn", "ksim", 0.01)
 part("uknn_near", "usim users", """
-SELECT a AS user_idx, b AS neighbor, round(similarity, 9) AS similarity,
+SELECT a AS user_idx, b AS neighbor, similarity,
        row_number() OVER (PARTITION BY a ORDER BY round(similarity, 9) DESC, b) AS rank
 FROM usim SEMI JOIN users ON users.user_idx = usim.a WHERE similarity > 0 QUALIFY rank <= 50""")
 part("uknn_scores", "uknn_near mat", """

@@ -12,6 +12,7 @@ from basketflow.operators.matrix import count_matrix, interaction_matrix
 from basketflow.operators.scoring import CrossRanker, DenseRanker, WideRanker
 from basketflow.operators.sequences import build_sequences, of_split
 from basketflow.operators.tables import interactions_table
+from basketflow.session import settle
 from basketflow.sources.retail import event_lines, item_vectors, raw_lines
 
 KS = (5, 10, 20)
@@ -27,7 +28,7 @@ def merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, d: str, rules: CleaningRules = CleaningRules()) -> DataFrame:
-    return interactions_table(clean_lines(priced(spark, d), rules))
+    return settle(interactions_table(clean_lines(priced(spark, d), rules)))
 
 
 def sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -47,11 +48,11 @@ def users(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:
-    return interaction_matrix(split(spark, d, "train"))
+    return settle(interaction_matrix(split(spark, d, "train")))
 
 
 def knn_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return count_matrix(event_lines(spark, d), sequences(spark, d))
+    return settle(count_matrix(event_lines(spark, d), sequences(spark, d)))
 
 
 def n_items(spark: SparkSession, d: str) -> int:

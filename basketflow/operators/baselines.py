@@ -104,9 +104,9 @@ def nearest_users(similarity: DataFrame, users: DataFrame, n: int = KNN_NEIGHBOR
     """``(user_idx, neighbor, similarity, rank)``: the n most similar other users, similarity above 0."""
     pairs = both_directions(similarity).where(F.col("similarity") > 0)
     pairs = pairs.select(F.col("a").alias("user_idx"), F.col("b").alias("neighbor"),
-                         F.round("similarity", SCORE_DIGITS).alias("similarity"))
+                         "similarity")
     pairs = pairs.join(users.select("user_idx"), "user_idx", "left_semi")
-    return top_rows(pairs, ["user_idx"], [F.col("similarity").desc(), F.col("neighbor")], n)
+    return top_rows(pairs, ["user_idx"], [F.round("similarity", SCORE_DIGITS).desc(), F.col("neighbor")], n)
 
 
 def recommend_user_knn(

@@ -128,9 +128,8 @@ def user_similarity(matrix: DataFrame, **how) -> DataFrame:
 
 def both_directions(pairs: DataFrame, diagonal: DataFrame | None = None) -> DataFrame:
     """Each pair as (a, b) and (b, a); with ``diagonal`` ids also (a, a) at 1."""
-    full = pairs.select("a", "b", "similarity").unionByName(
-        pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")
-    )
+    turned = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), "similarity")
+    full = pairs.select(F.inline(F.array(turned("a", "b"), turned("b", "a"))))
     if diagonal is None:
         return full
     own = diagonal.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))

@@ -14,6 +14,7 @@ from basketflow.functions.vectors import (
 )
 from basketflow.operators.ordering import top_rows
 from basketflow.operators.sequences import last_items
+from basketflow.session import settle
 
 # Rows of one side that meet in one task of the block search.
 QUERY_BLOCK = 65_536
@@ -141,6 +142,8 @@ def block_scores(
         queries, items = unit_vectors(queries), unit_vectors(items)
     most = F.lit(2**31 - 1 if k is None else k)
     queries = queries.withColumn("want", (F.col("want") if "want" in queries.columns else most).cast("long"))
+    # Query vectors are counted and then sent: settled, they are computed once.
+    queries = settle(queries.select(*group, "query_id", "vector", "want"))
     tasks = queries.sparkSession.sparkContext.defaultParallelism
     if group:
         sizes = lambda df, size, name: df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
