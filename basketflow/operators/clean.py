@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketflow.functions.text import NON_PRODUCT_PATTERNS, is_non_product, normalize_text
 from basketflow.operators.ingest import as_number, finite, has, recompute_amount
@@ -34,7 +35,8 @@ class CleaningRules:
     non_product_patterns: tuple[str, ...] = NON_PRODUCT_PATTERNS
 
 
-# ---- row rules: each is a condition a kept row meets; all of them also work on a stream -------
+# ---- row rules: each is a condition a kept row meets (null counts as not met) -----------------
+# They keep to plain comparisons, so the scan can apply them, and also work on a stream.
 
 def has_core(df: DataFrame) -> Column | None:
     present = [F.col(c).isNotNull() for c in CORE_COLUMNS if c in df.columns]
@@ -45,13 +47,15 @@ def is_sale(df: DataFrame) -> Column | None:
     """Not a return; a missing transaction id counts as a sale."""
     if not has(df, "unique_transaction"):
         return None
-    return ~F.coalesce(F.startswith(F.col("unique_transaction").cast("string"), F.lit("C")), F.lit(False))
+    ident = F.col("unique_transaction")
+    return ident.isNull() | ~ident.cast("string").startswith("C")
 
 
 def is_positive(df: DataFrame, column: str) -> Column | None:
     if not has(df, column):
         return None
-    return F.coalesce(as_number(F.col(column)) > 0, F.lit(False))
+    typed = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType, T.IntegralType))
+    return (F.col(column) if typed else as_number(F.col(column))) > 0
 
 
 def _all(conditions: Iterable[Column]) -> Column | None:
@@ -205,6 +209,7 @@ def quality_counts(df: DataFrame, rules: CleaningRules = CleaningRules()) -> Dat
     checks = row_rules(df, rules)
     passed, columns = F.lit(True), []
     for name, keep in checks.items():
+        keep = F.coalesce(keep, F.lit(False))
         columns.append(F.sum((passed & ~keep).cast("long")).alias(name))
         passed = passed & keep
     first = df.agg(*columns, F.sum(passed.cast("long")).alias("_valid"))
