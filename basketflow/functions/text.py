@@ -27,11 +27,13 @@ def normalize_text(col: Column) -> Column:
     """NFKC, outer whitespace removed, inner whitespace collapsed, upper case; null becomes ''.
 
     Spark has no NFKC function, so text with non-ASCII characters passes
-    through one Arrow function; ASCII text is its own NFKC form.
+    through one Arrow function.  ASCII text is its own NFKC form: the function
+    gets null for it, since it is called for every row.
     """
     text = F.coalesce(col.cast("string"), F.lit(""))
     nfkc = F.pandas_udf(_nfkc, "string")
-    text = F.when(text.rlike(r"[^\x00-\x7F]"), nfkc(text)).otherwise(text)
+    other = text.rlike(r"[^\x00-\x7F]")
+    text = F.when(other, nfkc(F.when(other, text))).otherwise(text)
     text = F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
     return F.upper(F.regexp_replace(text, rf"(?U){SPACE}+", " "))
 

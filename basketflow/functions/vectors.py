@@ -22,8 +22,9 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column, floor: float = NORM_FLOOR) -> Column:
     """The vector over its length, with the length floored."""
-    length = F.greatest(norm(a), F.lit(floor))
-    return F.transform(a, lambda x: x.cast("double") / length)
+    # As an argument of zip_with the length is computed once per vector, not once per coordinate.
+    lengths = F.array_repeat(F.greatest(norm(a), F.lit(floor)), F.size(a))
+    return F.zip_with(a, lengths, lambda x, length: x.cast("double") / length)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -27,7 +27,7 @@ def _drawn(query_id: Column, forbidden: Column, n_items: int, n: int, seed: int)
     start = mix(seed, query_id) % p
     stride = mix(seed + 1, query_id) % (p - 1) + 1
     steps = F.least(F.size(forbidden) + (n + p - n_items), F.lit(p))
-    walk = F.transform(F.sequence(F.lit(0), steps - 1), lambda j: (start + j.cast("long") * stride) % p)
+    walk = F.transform(F.sequence(start, start + (steps - 1) * stride, stride), lambda x: x % p)
     return F.slice(F.array_except(F.filter(walk, lambda x: x < n_items), forbidden), 1, n)
 
 

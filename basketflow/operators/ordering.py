@@ -53,24 +53,24 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataF
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: str, weight: str, name: str, hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: str, name: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Adds the sum of ``weight`` over the rows of the same keys that come earlier in ``order``.
 
     Keys up to ``hot_rows`` rows use a plain window; larger ones are spread
     over range partitions.
     """
-    window = W.partitionBy(*keys).orderBy(order)
+    window = W.partitionBy(*keys).orderBy(*order)
     if keys:
         hot = hot_keys(df, keys, hot_rows)
         if hot.isEmpty():
             return df.withColumn(name, _earlier(weight, window))
         hot = settle(hot)
         usual = df.join(hot, list(keys), "left_anti").withColumn(name, _earlier(weight, window))
-        rows = _laid_out(df.join(hot, list(keys), "left_semi"), [F.col(k) for k in (*keys, order)])
+        rows = _laid_out(df.join(hot, list(keys), "left_semi"), [*map(F.col, keys), *order])
     else:
         usual = None
-        rows = _laid_out(df, [F.col(order)])
+        rows = _laid_out(df, order)
     starts = rows.groupBy("_part", *keys).agg(F.sum(weight).alias("_n"))
     starts = starts.withColumn("_start", _earlier("_n", W.partitionBy(*keys).orderBy("_part"))).drop("_n")
     inside = W.partitionBy("_part", *keys).orderBy("_pos")
@@ -117,6 +117,12 @@ def previous_values(
     return usual.unionByName(spread)
 
 
+def all_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds the 1-based rank of every row within its keys, however many rows a key has."""
+    ranked = running_total(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", "_before", hot_rows)
+    return ranked.withColumn(name, F.col("_before") + 1).drop("_one", "_before")
+
+
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rank") -> DataFrame:
     """The first ``k`` rows of each key, with their 1-based rank.
 

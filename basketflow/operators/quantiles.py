@@ -37,7 +37,7 @@ def exact_quantiles(
     for name, col in values.items():
         counts = df.select(col.cast("double").alias("_value")).where(F.col("_value").isNotNull())
         counts = counts.groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
-        placed = settle(running_total(counts, [], "_value", "_n", "_before"))
+        placed = settle(running_total(counts, [], [F.col("_value")], "_n", "_before"))
         placed = placed.withColumn("_total", placed.agg(F.sum("_n")).scalar())
         part = placed.agg(*[_interpolated(p).alias(f"_{i}") for i, p in enumerate(probs)])
         found = F.when(F.col("_0").isNotNull(), F.array(*[F.col(f"_{i}") for i in range(len(probs))]))
@@ -63,7 +63,7 @@ def grouped_medians(df: DataFrame, keys: Sequence[str], value: str, name: str, h
     hot = settle(hot)
     usual = counts.join(hot, list(keys), "left_anti").groupBy(*keys).agg(median)
     large = counts.join(hot, list(keys), "left_semi")
-    placed = running_total(large, keys, "_value", "_n", "_before", hot_rows)
+    placed = running_total(large, keys, [F.col("_value")], "_n", "_before", hot_rows)
     totals = large.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     spread = placed.join(totals, list(keys)).groupBy(*keys)
     return usual.unionByName(spread.agg(_interpolated(0.5).alias(name)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketflow.functions.vectors import (
-    SCORE_DIGITS, as_matrix, bounds, dot, flat, list_column, unit, unit_rows,
+    SCORE_DIGITS, as_matrix, bounds, flat, list_column, unit, unit_rows,
 )
 from basketflow.operators.ordering import top_rows
 from basketflow.operators.sequences import last_items
@@ -92,6 +92,8 @@ def _block_scorer(metric: str):
             right = right.sort_by("item_idx")
             query_ids, item_ids = left["query_id"].to_numpy(), right["item_idx"].to_numpy()
             q, v, want = as_matrix(left["vector"]), as_matrix(right["vector"]), left["want"].to_numpy()
+            if metric == "cosine":
+                q, v = unit_rows(q), unit_rows(v)
             for at in range(0, len(q), CHUNK):
                 part = q[at:at + CHUNK]
                 if metric == "l2":
@@ -113,9 +115,12 @@ def _block_scorer(metric: str):
 
 
 def _blocks(df: DataFrame, size: int, at_least: int) -> Column:
-    """How many blocks of about ``size`` rows the table needs, as a scalar subquery."""
+    """How many blocks of about ``size`` rows the table needs, as a scalar subquery.
+
+    Small tables get more blocks than tasks, so uneven hashing leaves no core idle.
+    """
     rows = F.count(F.lit(1))
-    enough = F.least(F.lit(at_least), F.ceil(rows / FEW_QUERIES))
+    enough = F.least(F.lit(4 * at_least), F.ceil(rows / FEW_QUERIES))
     return df.agg(F.greatest(F.lit(1), F.ceil(rows / size), enough).cast("int")).scalar()
 
 
@@ -138,8 +143,6 @@ def block_scores(
     in ``queries`` gives each query its own k; k=None returns every score.
     """
     group = group or []
-    if metric == "cosine":
-        queries, items = unit_vectors(queries), unit_vectors(items)
     most = F.lit(2**31 - 1 if k is None else k)
     queries = queries.withColumn("want", (F.col("want") if "want" in queries.columns else most).cast("long"))
     # Query vectors are counted and then sent: settled, they are computed once.
@@ -150,7 +153,7 @@ def block_scores(
         shape = sizes(items, item_block, "_ni").join(sizes(queries, query_block, "_nq"), group)
         queries, items = queries.join(shape, group), items.join(shape, group)
     else:
-        ni, nq = _blocks(items, item_block, 1), _blocks(queries, query_block, tasks)
+        ni, nq = _blocks(items, item_block, 0), _blocks(queries, query_block, tasks)
         queries = queries.withColumn("_ni", ni).withColumn("_nq", nq)
         items = items.withColumn("_ni", ni).withColumn("_nq", nq)
     whole = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -294,17 +297,18 @@ def write_index(items: DataFrame, model, path: str) -> None:
     cells.write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
+def cell_centers(spark, model) -> DataFrame:
+    """``(item_idx, vector)``: the model's centers, one row per cell."""
+    rows = [(i, [float(x) for x in center]) for i, center in enumerate(model.clusterCenters())]
+    return spark.createDataFrame(rows, "item_idx long, vector array<double>")
+
+
 def nearest_by_cell(queries: DataFrame, indexed: DataFrame, model, k: int, probes: int) -> DataFrame:
     """The k best items among those in each query's ``probes`` nearest cells."""
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]  # one row per cell: a parameter, not data
-    near = F.array(*[
-        F.struct((-dot(unit(F.col("vector")), F.array(*map(F.lit, c))) * 2 + sum(x * x for x in c)).alias("far"),
-                 F.lit(i).alias("cell"))
-        for i, c in enumerate(centers)
-    ])
-    probed = F.transform(F.slice(F.array_sort(near), 1, probes), lambda s: s["cell"])
-    queries = queries.withColumn("cell", F.explode(probed))
-    return top_items(block_scores(queries, indexed, k, "cosine", ["cell"]), k)
+    queries = unit_vectors(queries.select("query_id", "vector"))
+    near = nearest_items(queries, cell_centers(queries.sparkSession, model), probes, "l2")
+    probed = queries.join(near.select("query_id", F.col("item_idx").cast("int").alias("cell")), "query_id")
+    return top_items(block_scores(probed, indexed, k, "cosine", ["cell"]), k)
 
 
 def nearest_by_hash(

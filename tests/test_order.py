@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from basketflow.operators import negatives as N, sequences as S
-from basketflow.operators.ordering import previous_values, row_index, running_total, top_rows
+from basketflow.operators.ordering import all_ranks, previous_values, row_index, running_total, top_rows
 from basketflow.operators.tables import dense_ids
 
 
@@ -30,7 +30,7 @@ def test_running_total(spark):
     for u, _, i, x in sorted(rows, key=lambda r: (r[0], r[2])):
         want[i], sums[u] = sums[u], sums[u] + x
     for hot_rows in (10_000, 50):
-        got = {r["id"]: r["b"] for r in running_total(df, ["u"], "id", "x", "b", hot_rows).collect()}
+        got = {r["id"]: r["b"] for r in running_total(df, ["u"], [F.col("id")], "x", "b", hot_rows).collect()}
         assert got == want
 
 
@@ -45,6 +45,17 @@ def test_previous_values_of_a_hot_key(spark):
         assert got == want
 
 
+def test_all_ranks_of_a_hot_key(spark):
+    df, rows = skewed(spark)
+    want, counts = {}, defaultdict(int)
+    for u, t, i, _ in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
+        counts[u] += 1
+        want[i] = counts[u]
+    for hot_rows in (10_000, 50):
+        got = {r["id"]: r["n"] for r in all_ranks(df, ["u"], [F.col("t").desc(), F.col("id")], "n", hot_rows).collect()}
+        assert got == want
+
+
 def test_top_rows(spark):
     df, rows = skewed(spark)
     got = top_rows(df, ["u"], [F.col("x").desc(), F.col("id")], 3).collect()
