@@ -15,6 +15,8 @@ NON_PRODUCT_PATTERNS = (
 )
 # Spellings of a missing brand.
 UNBRANDED = ("non branded", "nonbranded", "no brand")
+# Fixed value: the code some category names start with.
+CATEGORY_CODE = r"^(?i:in)\d+\s*[-:_]*\s*"
 
 SPACE = r"[\s\x1c-\x1f]"
 
@@ -49,7 +51,7 @@ def _missing(col: Column) -> Column:
 
 def category_label(col: Column) -> Column:
     """Display name of a category: leading ``IN<digits>`` code removed, title case."""
-    bare = F.trim(F.regexp_replace(F.trim(col), r"^(?i:in)\d+\s*[-:_]*\s*", ""))
+    bare = F.trim(F.regexp_replace(F.trim(col), CATEGORY_CODE, ""))
     return F.when(_missing(col) | (bare == ""), "General").otherwise(F.initcap(bare))
 
 

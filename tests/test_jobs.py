@@ -122,3 +122,28 @@ def test_query_equals_sql(spark, data, name):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     mine = entry.queries()[name](spark, data).toPandas()
     assert rows_of(mine) == rows_of(db.execute(entry.oracle_sql()[name]).df())
+
+
+@pytest.mark.parametrize("name", ["j3_unseen_scores", "m6_item_knn", "m8_user_knn", "e8_nearest_for_histories", "r1_features", "v1_recall"])
+def test_plans_have_no_cross_join(spark, data, name):
+    plan = entry.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_window_and_last_country_share_one_partitioning(spark, data):
+    plan = entry.queries()["w1_sequences"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    # one shuffle of the lines and one of the already combined countries
+    assert plan.count("Exchange hashpartitioning(user_id") == 2
+
+
+def test_full_evaluation_on_a_sample(spark, data):
+    from basketflow.catalog import views as W
+    from basketflow.operators.scoring import score_features
+    from basketflow.plans.evaluation import BASELINES, evaluate_all
+
+    scorer = lambda features: score_features(features, W.dense_ranker())
+    out = evaluate_all(W.sequences(spark, data), W.vectors(spark, data), scorer, ["val", "test"], (5, 10), 500, 20, sample=30).collect()
+    assert {r["model"] for r in out} == {*BASELINES, "Retrieval", "Two-Stage Ranker"}
+    assert {r["split"] for r in out} == {"val", "test"} and all(0 <= r["value"] <= 1 for r in out)
+    values = {(r["model"], r["split"], r["metric"], r["k"]): r["value"] for r in out}
+    assert all(values[m, s, "Recall", 5] <= values[m, s, "Recall", 10] for m, s, _, _ in values)
