@@ -217,28 +217,26 @@ def quality_counts(df: DataFrame, rules: CleaningRules = CleaningRules()) -> Dat
     # Descriptions and the copy count are all the second branch needs from a distinct row.
     distinct = valid.groupBy(*valid.columns).agg(F.count(F.lit(1)).alias("_copies"))
     noise = is_non_product(normalize_text(F.col("description")), rules.non_product_patterns)
+    kept_copies = F.lit(1) if rules.drop_duplicates else F.col("_copies")
     second = distinct.agg(
-        F.sum(F.col("_copies") - 1).alias("drop_duplicates"),
-        F.sum(noise.cast("long")).alias("drop_non_product_patterns"),
-        F.sum((~noise).cast("long")).alias("_products"),
+        F.sum(F.col("_copies") - kept_copies).alias("drop_duplicates"),
+        F.sum(F.when(noise, kept_copies).otherwise(0)).alias("drop_non_product_patterns"),
+        F.sum(F.when(noise, 0).otherwise(kept_copies)).alias("_products"),
     )
     merged = settle(until_merged(df, rules))
-    inside = inside_bounds(merged, _bounds(merged, rules))
-    third = merged.agg(
-        F.count(F.lit(1)).alias("_merged"),
-        F.sum((~inside).cast("long")).alias("drop_outliers"),
-    )
+    drops = rules.handle_outliers and not rules.winsorize
+    inside = inside_bounds(merged, _bounds(merged, rules)) if drops else F.lit(True)
+    rows = lambda d: d.agg(F.count(F.lit(1)).alias("n")).scalar()
+    second = second.withColumn("aggregated_duplicate_lines", F.col("_products") - rows(merged))
+    third = merged.agg(F.sum((~inside).cast("long")).alias("drop_outliers"))
     pieces = [
         _stack(first, list(checks), 0),
-        _stack(second, ["drop_duplicates", "drop_non_product_patterns"], 4),
-        second.select(F.lit(6).alias("ordinal"), F.lit("aggregated_duplicate_lines").alias("step"),
-                      (F.col("_products") - third.select("_merged").scalar()).alias("rows_removed")),
+        _stack(second, ["drop_duplicates", "drop_non_product_patterns", "aggregated_duplicate_lines"], 4),
         _stack(third, ["drop_outliers"], 7),
     ]
     kept = _handle_outliers(merged, rules)
     frequent = keep_frequent(kept, "stock_code", rules.min_purchases_per_item)
     final = keep_frequent(frequent, "customer_id", rules.min_events_per_user)
-    rows = lambda d: d.agg(F.count(F.lit(1)).alias("n")).scalar()
     if rules.min_purchases_per_item > 1:
         pieces.append(kept.agg(F.count(F.lit(1)).alias("n")).select(
             F.lit(8).alias("ordinal"), F.lit("drop_rare_items").alias("step"),

@@ -95,6 +95,10 @@ def test_quality_counts_add_up(spark):
         "drop_missing_core": 1, "drop_returns": 1, "drop_nonpositive_qty": 1, "drop_nonpositive_price": 1,
         "drop_duplicates": 1, "drop_non_product_patterns": 1, "aggregated_duplicate_lines": 1, "drop_outliers": 0}
     assert raw.count() - sum(got.values()) == C.clean_lines(raw).count()
+    loose = C.CleaningRules(drop_duplicates=False, winsorize=True, drop_returns=False)
+    got = {r["step"]: r["rows_removed"] for r in C.quality_counts(raw, loose).collect()}
+    assert got["drop_duplicates"] == got["drop_outliers"] == 0 and "drop_returns" not in got
+    assert raw.count() - sum(got.values()) == C.clean_lines(raw, loose).count()
 
 
 def test_mode_and_catalog(spark):
