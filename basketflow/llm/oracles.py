@@ -44,22 +44,28 @@ FROM running
 """
 
 SHARDS = """
-WITH keyed AS (
-    SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, coalesce(('0x' || substr(md5(text), 1, 15))::BIGINT, -1) AS h, text FROM documents),
+WITH bits AS (
+    SELECT list_transform(range(0, 256), lambda i: list_reduce([0, 1, 2, 3, 4, 5, 6, 7],
+               lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS crcs),
+keyed AS (
+    SELECT doc_id, text, coalesce(strlen(text), 0) + 1 AS size, coalesce(('0x' || substr(md5(text), 1, 15))::BIGINT, -1) AS h, hex(text) AS body
+    FROM documents),
 placed AS (
     SELECT *, sum(size) OVER (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) - size AS below, sum(size) OVER () AS total FROM keyed),
 cut AS (SELECT *, ((below * 8) // total)::INT AS shard FROM placed)
-SELECT doc_id, size, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST) - 1 AS slot, 'bytes' AS law,
-       NULL::INT AS grown_shard
-FROM cut
+SELECT doc_id, size,
+       xor(list_reduce(range(0, size - 1), lambda c, i: xor(c >> 8, crcs[xor(c & 255, ('0x' || substr(body, 2 * i + 1, 2))::BIGINT) + 1]), 4294967295),
+           4294967295) AS text_crc32,
+       'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard
+FROM cut, bits
 """
 
 TOP_PRODUCTS = """
 WITH good AS (
-    SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i]))::BIGINT AS score
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
     FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
@@ -89,9 +95,9 @@ def licence_scan() -> str:
     return rf"""
 WITH cut AS (SELECT doc_id, string_split_regex({plain}, '[.;:!?]+(?: |$)|\n\n') AS parts FROM documents WHERE {marked("lower(text)")}),
 found AS (
-    SELECT doc_id, flatten(list_transform(list_filter(list_transform(parts, p -> trim(p)), s -> {marked("s")}),
-           s -> list_filter([{ids}], x -> x IS NOT NULL))) AS ids FROM cut),
-r0 AS (SELECT doc_id, ids, list_aggregate(list_transform(ids, x -> '<' || x || '>'), 'string_agg', '') AS rest, []::VARCHAR[] AS names
+    SELECT doc_id, flatten(list_transform(list_filter(list_transform(parts, lambda p: trim(p)), lambda s: {marked("s")}),
+           lambda s: list_filter([{ids}], lambda x: x IS NOT NULL))) AS ids FROM cut),
+r0 AS (SELECT doc_id, ids, list_aggregate(list_transform(ids, lambda x: '<' || x || '>'), 'string_agg', '') AS rest, []::VARCHAR[] AS names
        FROM found WHERE len(ids) > 0),
 {", ".join(steps)}
 SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string(names, ',') AS licences,
@@ -103,8 +109,8 @@ PAGE_RECORDS = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p)
 SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
-       array_to_string(list_transform(range(0, 8), i -> array_to_string(list_transform([15, 10, 5, 0],
-           b -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (5 * i + 1)::INT, 5))::INT >> b) & 31) + 1, 1)), '')), '') AS payload_digest,
+       array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+           lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (5 * i + 1)::INT, 5))::INT >> b) & 31) + 1, 1)), '')), '') AS payload_digest,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM g
@@ -112,8 +118,8 @@ FROM g
 
 LINE_TEMPLATES = """
 WITH raw AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
-line AS (SELECT DISTINCT text, list_transform(list_filter(string_split_regex(l, '[\\x09-\\x0D\\x20]+'), t -> t <> ''),
-                t -> CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
+line AS (SELECT DISTINCT text, list_transform(list_filter(string_split_regex(l, '[\\x09-\\x0D\\x20]+'), lambda t: t <> ''),
+                lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens
          FROM (SELECT text, unnest(string_split(text, chr(10))) AS l FROM raw)),
 good AS (SELECT text, tokens, len(tokens) AS n, array_to_string(tokens[1:3], ' ') AS head FROM line WHERE len(tokens) >= 3),
 leaf AS (SELECT n, head FROM good GROUP BY n, head HAVING count(DISTINCT text) >= 5),
@@ -133,8 +139,8 @@ placed AS (
     SELECT text, i, string_split(text, chr(10))[i] AS l
     FROM (SELECT text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM raw)),
 marked AS (
-    SELECT text, i, l, list_transform(list_filter(string_split_regex(l, '[\\x09-\\x0D\\x20]+'), t -> t <> ''),
-                t -> CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM placed),
+    SELECT text, i, l, list_transform(list_filter(string_split_regex(l, '[\\x09-\\x0D\\x20]+'), lambda t: t <> ''),
+                lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM placed),
 done AS (
     SELECT text, count(*) AS lines, count(g.tokens) AS lines_dropped,
            coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (g.tokens IS NULL), '') AS kept

@@ -70,7 +70,7 @@ def op7_temperature(spark: SparkSession, folder: str) -> DataFrame:
     return mix.select("doc_id", "source", "mix_tokens", F.round("mix_weight", 9).alias("mix_weight"), "mix_quota", "mix_pass")
 
 
-@query()
+@query(oracles.SHARDS)
 def op4_histogram_sort(spark: SparkSession, folder: str) -> DataFrame:
     shards = shard_rows(table(spark, folder, "documents"), 8, ("doc_id",))
     return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
