@@ -83,11 +83,12 @@ def build_shard(items: list[tuple[int | None, str]], frequencies: dict[bytes, in
                 terms[term] = len(found)
                 found.append([])
             found[terms[term]].append((place, weight / own))
-    block_items = max(16, -(-len(items) // 64))
-    blocks = np.zeros((len(found), max(1, -(-len(items) // block_items))))
+    block_items = max(4, -(-len(items) // 128))
+    blocks = np.zeros((len(found), max(1, -(-len(items) // block_items))), np.float32)
     for term, entries in enumerate(found):
         for place, weight in entries:
             blocks[term, place // block_items] = max(blocks[term, place // block_items], weight)
+    blocks *= np.float32(1 + 1e-6)  # single precision must not fall below a weight
     parts = []
     for i in order:
         parts.append(tuple((min(5, len(p)), shingle_hashes(p)) for p in question_and_answer(words[i])))
@@ -167,15 +168,21 @@ def _hits(shard: Shard, ids: list[int | None], texts: list[list[bytes]], share:
         return
     span_of, term_of = keys // len(shard.terms), keys % len(shard.terms)
     starts = np.flatnonzero(np.concatenate([[True], span_of[1:] != span_of[:-1]]))
-    bounds = np.zeros((first[-1] + 1, shard.blocks.shape[1]))
+    bounds = np.zeros((first[-1] + 1, shard.blocks.shape[1]), np.float32)
     bounds[span_of[starts]] = np.add.reduceat(shard.blocks[term_of], starts, axis=0)
     ends = np.searchsorted(span_of, np.arange(first[-1] + 1))
     doc_of = np.repeat(np.arange(len(texts)), spans)
     last = np.concatenate([doc_of[1:] != doc_of[:-1], [True]])
-    paired = bounds[:-1] + np.where(last[:, None], 0.0, bounds[1:])
+    paired = bounds[:-1].copy()
+    paired[~last] += bounds[1:][~last]
+    # a term that both spans of a window hold counts once
+    twice = np.flatnonzero(np.isin(keys + len(shard.terms), keys, assume_unique=True) & ~last[span_of])
+    if len(twice):
+        begin = np.flatnonzero(np.concatenate([[True], span_of[twice][1:] != span_of[twice][:-1]]))
+        paired[span_of[twice][begin]] -= np.add.reduceat(shard.blocks[term_of[twice]], begin, axis=0)
     # a window of two spans; the last span of a longer document lies in the window before it
     single = last & (np.concatenate([[True], last[:-1]]))
-    for span in np.flatnonzero((paired.max(axis=1) >= share - 1e-9) & (~last | single)).tolist():
+    for span in np.flatnonzero((paired.max(axis=1) >= share - 1e-4) & (~last | single)).tolist():
         doc = int(doc_of[span])
         terms = np.unique(term_of[ends[span] : ends[span + (1 if last[span] else 2)]]).tolist()
         found = block_max_wand(shard, terms, share)
