@@ -20,35 +20,37 @@ def p1(spark, d):
     return I.standardize_columns(raw_lines(spark, d).withColumnsRenamed(back))
 
 
-# Order dates written in seven ways, by order key.
-part("written", "", """
-SELECT o_orderkey, o_orderdate, CASE o_orderkey % 7
-  WHEN 0 THEN CAST(date_diff('day', DATE '1899-12-30', o_orderdate::DATE) AS VARCHAR)
-  WHEN 1 THEN strftime(o_orderdate, '%b-%d') WHEN 2 THEN lower(strftime(o_orderdate, '%b %d'))
-  WHEN 3 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 4 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
-  WHEN 5 THEN strftime(o_orderdate, '%m/%d/%Y') ELSE 'about ' || strftime(o_orderdate, '%Y') END AS text FROM orders""")
-part("parsed", "written", """
-SELECT o_orderkey, CASE o_orderkey % 7
-  WHEN 0 THEN o_orderdate::DATE::TIMESTAMP
-  WHEN 1 THEN make_timestamp(2024, month(o_orderdate), day(o_orderdate), 0, 0, 0)
-  WHEN 2 THEN make_timestamp(2024, month(o_orderdate), day(o_orderdate), 0, 0, 0)
-  WHEN 3 THEN o_orderdate::DATE::TIMESTAMP
-  WHEN 4 THEN date_trunc('second', o_orderdate)
-  WHEN 5 THEN CASE WHEN day(o_orderdate) <= 12
-              THEN make_timestamp(year(o_orderdate), day(o_orderdate), month(o_orderdate), 0, 0, 0)
-              ELSE o_orderdate::DATE::TIMESTAMP END
-  END AS invoice_date FROM written""")
+# Order dates written in nineteen ways, by order key; SQL states what each must become from the date itself.
+SPELLINGS = {
+    1: "MMM-dd", 3: "dd/MM/yyyy", 4: "yyyy-MM-dd HH:mm:ss", 5: "MM/dd/yyyy", 7: "dd-MMM-yyyy", 8: "d-MMM-yy", 9: "MMMM d, yyyy",
+    10: "dd MMMM yyyy", 11: "yyyy-MM-dd HH:mm:ss.SSS", 12: "yyyy-MM-dd'T'HH:mm:ss'Z'", 13: "MM/dd/yy", 14: "dd-MM-yyyy HH:mm",
+    15: "d/M/yyyy h:mm a", 16: "dd.MM.yyyy HH:mm", 17: "yyyyMMdd", 18: "yyyy-M-d",
+}
+WAYS = 19
+_DAY = "o_orderdate::DATE::TIMESTAMP"
+_TURNED = "make_timestamp(year(o_orderdate), day(o_orderdate), month(o_orderdate), 0, 0, 0)"
+_MONTH_FIRST = f"CASE WHEN day(o_orderdate) <= 12 THEN {_TURNED} ELSE {_DAY} END"
+_DAY_OF_2024 = "make_timestamp(2024, month(o_orderdate), day(o_orderdate), 0, 0, 0)"
+part("parsed", "", f"""
+SELECT o_orderkey, CASE o_orderkey % {WAYS}
+  WHEN 1 THEN {_DAY_OF_2024} WHEN 2 THEN {_DAY_OF_2024} WHEN 4 THEN date_trunc('second', o_orderdate)
+  WHEN 5 THEN {_MONTH_FIRST} WHEN 6 THEN NULL WHEN 11 THEN date_trunc('millisecond', o_orderdate)
+  WHEN 12 THEN date_trunc('second', o_orderdate) WHEN 13 THEN {_MONTH_FIRST}
+  WHEN 14 THEN date_trunc('minute', o_orderdate) WHEN 15 THEN date_trunc('minute', o_orderdate)
+  WHEN 16 THEN date_trunc('minute', o_orderdate)
+  WHEN 18 THEN CASE WHEN month(o_orderdate) >= 10 AND day(o_orderdate) >= 10 THEN {_DAY} ELSE {_MONTH_FIRST} END
+  ELSE {_DAY} END AS invoice_date FROM orders""")
 
 
 def _written(spark, d):
-    at, key = F.col("o_orderdate"), F.col("o_orderkey") % 7
+    at, key = F.col("o_orderdate"), F.col("o_orderkey") % WAYS
     shown = lambda form: F.date_format(at.cast("timestamp"), form)
     text = (
         F.when(key == 0, F.datediff(at.cast("date"), F.lit("1899-12-30").cast("date")).cast("string"))
-        .when(key == 1, shown("MMM-dd")).when(key == 2, F.lower(shown("MMM dd")))
-        .when(key == 3, shown("dd/MM/yyyy")).when(key == 4, shown("yyyy-MM-dd HH:mm:ss"))
-        .when(key == 5, shown("MM/dd/yyyy")).otherwise(F.concat(F.lit("about "), shown("yyyy")))
+        .when(key == 2, F.lower(shown("MMM dd"))).when(key == 6, F.concat(F.lit("about "), shown("yyyy")))
     )
+    for way, form in SPELLINGS.items():
+        text = text.when(key == way, shown(form))
     return table(spark, d, "orders").select("o_orderkey", text.alias("invoice_date"))
 
 
@@ -100,7 +102,9 @@ SELECT l_orderkey, l_linenumber,
   CASE WHEN l_linenumber = 2 THEN NULL ELSE l_partkey END AS stock_code,
   CASE WHEN l_shipdate < TIMESTAMP '1996-01-01' THEN NULL ELSE l_shipdate END AS invoice_date,
   CASE WHEN l_linenumber = 4 THEN NULL WHEN l_returnflag = 'R' THEN 'C' ELSE 'c' END AS unique_transaction,
-  l_quantity - 25 AS quantity, l_discount - 0.05 AS price FROM lineitem"""
+  CASE WHEN l_linenumber = 7 THEN 'NaN'::DOUBLE ELSE l_suppkey END AS customer_id,
+  CASE WHEN l_linenumber = 6 THEN 'NaN'::DOUBLE ELSE l_quantity - 25 END AS quantity,
+  CASE WHEN l_linenumber = 5 THEN 'NaN'::DOUBLE ELSE l_discount - 0.05 END AS price FROM lineitem"""
 
 
 def _gaps(spark, d):
@@ -110,14 +114,16 @@ def _gaps(spark, d):
         F.when(number != 2, F.col("l_partkey")).alias("stock_code"),
         F.when(F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz"), F.col("l_shipdate")).alias("invoice_date"),
         F.when(number != 4, F.when(F.col("l_returnflag") == "R", "C").otherwise("c")).alias("unique_transaction"),
-        (F.col("l_quantity") - 25).alias("quantity"), (F.col("l_discount") - 0.05).alias("price"),
+        F.when(number == 7, F.lit(float("nan"))).otherwise(F.col("l_suppkey").cast("double")).alias("customer_id"),
+        F.when(number == 6, F.lit(float("nan"))).otherwise(F.col("l_quantity") - 25).alias("quantity"),
+        F.when(number == 5, F.lit(float("nan"))).otherwise(F.col("l_discount") - 0.05).alias("price"),
     )
 
 
 KEYS = ("l_orderkey", "l_linenumber")
 
 
-@query("f1_core_fields", f"SELECT l_orderkey, l_linenumber FROM ({GAPS}) WHERE stock_code IS NOT NULL AND invoice_date IS NOT NULL")
+@query("f1_core_fields", f"SELECT l_orderkey, l_linenumber FROM ({GAPS}) WHERE stock_code IS NOT NULL AND invoice_date IS NOT NULL AND l_linenumber <> 7")
 def f1(spark, d):
     rows = _gaps(spark, d)
     return rows.where(C.has_core(rows)).select(*KEYS)
@@ -129,13 +135,13 @@ def f2(spark, d):
     return rows.where(C.is_sale(rows)).select(*KEYS)
 
 
-@query("f3_positive_quantity", f"SELECT l_orderkey, l_linenumber FROM ({GAPS}) WHERE quantity > 0")
+@query("f3_positive_quantity", f"SELECT l_orderkey, l_linenumber FROM ({GAPS}) WHERE quantity > 0 AND l_linenumber <> 6")
 def f3(spark, d):
     rows = _gaps(spark, d)
     return rows.where(C.is_positive(rows, "quantity")).select(*KEYS)
 
 
-@query("f4_positive_price", f"SELECT l_orderkey, l_linenumber FROM ({GAPS}) WHERE price > 0")
+@query("f4_positive_price", f"SELECT l_orderkey, l_linenumber FROM ({GAPS}) WHERE price > 0 AND l_linenumber <> 5")
 def f4(spark, d):
     rows = _gaps(spark, d)
     return rows.where(C.is_positive(rows, "price")).select(*KEYS)

@@ -45,6 +45,26 @@ def v3(spark, d):
     return _ranking(spark, d, "MRR")
 
 
+ZEROS = """
+SELECT metric, k, 0.0::DOUBLE AS value FROM (SELECT unnest(['Recall', 'NDCG', 'MRR', 'Coverage', 'Diversity']) AS metric),
+     (SELECT unnest([5, 10, 15])::BIGINT AS k)"""
+
+
+@query("v8_without_queries", f"SELECT 'History' AS model, * FROM ({ZEROS})")
+def v8_none(spark, d):
+    lists, rows = _lists(spark, d)
+    truths = rows.select("query_id", F.col("pos_item_idx").alias("truth")).where(F.lit(False))
+    return E.all_metrics(lists.where(F.lit(False)), truths, ["History"], KS, V.n_items(spark, d), V.vectors(spark, d))
+
+
+@query("v8_model_without_lists", f"SELECT 'Silent' AS model, * FROM ({ZEROS})")
+def v8_silent(spark, d):
+    lists, rows = _lists(spark, d)
+    truths = rows.select("query_id", F.col("pos_item_idx").alias("truth"))
+    both = E.all_metrics(lists, truths, ["History", "Silent"], KS, V.n_items(spark, d), V.vectors(spark, d))
+    return both.where(F.col("model") == "Silent")
+
+
 @query("v4_coverage", sql("hist_lists all_items", """
 SELECT k, round(count(DISTINCT item_idx) / (SELECT count(*) FROM all_items)::DOUBLE, 6) AS value
 FROM hist_lists, (SELECT unnest([1, 2, 5])::BIGINT AS k) WHERE rank <= k GROUP BY k"""))

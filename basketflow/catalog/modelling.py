@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from basketflow.catalog import query, views as V
 from basketflow.catalog.sql import item_knn, metrics, part, sql, top
 from basketflow.operators import baselines as B, matrix as M
 from basketflow.operators.evaluate import all_metrics, best_model, improvement
 from basketflow.plans.evaluation import baseline_lists, truths
+from basketflow.session import settle
 from basketflow.sources.retail import event_lines
 
 MODELS = ("Popularity", "ItemKNN", "UserKNN")
@@ -93,7 +95,18 @@ def m5_blocks(spark, d):
 def m6(spark, d):
     knn = V.knn_matrix(spark, d)
     profile = M.user_profile(knn, V.users(spark, d))
-    return B.recommend_item_knn(profile, M.item_similarity(knn), knn, 20)
+    return B.recommend_item_knn(profile, M.item_similarity(knn), knn, 20, users=V.users(spark, d))
+
+
+part("strangers", "iknn_pop", "SELECT -1::BIGINT AS user_idx, item_idx, round(0.01 * pop, 9) AS score FROM iknn_pop")
+
+
+@query("m6_users_without_profile", sql("iknn_recs strangers", f"""
+SELECT user_idx, rank, item_idx, score FROM iknn_recs UNION ALL SELECT user_idx, rank, item_idx, score FROM ({top('strangers', 20, 'user_idx')})"""))
+def m6_strangers(spark, d):
+    knn, users = V.knn_matrix(spark, d), V.users(spark, d)
+    everyone = users.union(users.limit(1).select(F.lit(-1).cast("long")))
+    return B.recommend_item_knn(M.user_profile(knn, users), M.item_similarity(knn), knn, 20, users=everyone)
 
 
 @query("m7_user_similarity", sql("usim", "SELECT a, b, round(similarity, 6) AS similarity FROM usim WHERE a < b"))
@@ -113,9 +126,22 @@ def m8(spark, d):
     return B.recommend_user_knn(rows, M.user_similarity(rows), V.users(spark, d), 20)
 
 
-@query("m9_factor_lists")
+@query("m9_factor_lists", sql("users mat", """
+SELECT u.user_idx, least(10, (SELECT count(DISTINCT item_idx) FROM mat) - count(m.item_idx)) AS listed,
+       0::BIGINT AS seen, true AS dense, true AS falling
+FROM (SELECT user_idx FROM users SEMI JOIN mat USING (user_idx)) u
+LEFT JOIN mat m ON m.user_idx = u.user_idx AND m.weight <> 0 GROUP BY 1"""))
 def m9(spark, d):
-    return B.recommend_factors(V.matrix(spark, d), V.users(spark, d), 10, rank=16)
+    """What holds of every trained list: k or all unseen items, none seen, dense ranks, falling scores."""
+    rows = V.matrix(spark, d)
+    lists = settle(B.recommend_factors(rows, V.users(spark, d), 10))
+    seen = rows.where("weight <> 0").select("user_idx", "item_idx", F.lit(1).alias("was_seen"))
+    marked = lists.join(seen, ["user_idx", "item_idx"], "left")
+    later = F.lead("score").over(W.partitionBy("user_idx").orderBy("rank"))
+    marked = marked.withColumn("falls", F.coalesce(later <= F.col("score"), F.lit(True)))
+    return marked.groupBy("user_idx").agg(
+        F.count(F.lit(1)).alias("listed"), F.count("was_seen").alias("seen"),
+        (F.max("rank") == F.countDistinct("rank")).alias("dense"), F.bool_and("falls").alias("falling"))
 
 
 def _baseline_metrics(spark, d):

@@ -62,6 +62,16 @@ def r1(spark, d):
     return features(spark, d).select("query_id", "item_idx", "slot", *V.six(*NAMES), "label")
 
 
+@query("r1_unknown_candidates", sql("feat cands", f"""
+SELECT {SHOWN} FROM feat
+UNION ALL SELECT query_id, 999999, len(cands)::BIGINT, 0.0, 0.0, 0.0, round(least(len(history), 15) / 15.0::DOUBLE, 6), 0.0, 0.0 FROM cands"""))
+def r1_unknown(spark, d):
+    rows = candidates(spark, d).withColumn("cands", F.concat("cands", F.array(F.lit(999_999).cast("long"))))
+    pop = R.popularity_feature(V.split(spark, d, "train"))
+    built = R.build_features(rows, V.vectors(spark, d), pop, price(spark, d))
+    return built.select("query_id", "item_idx", "slot", *V.six(*NAMES), "label")
+
+
 @query("r8_without_lookups", sql("feat", """
 SELECT query_id, item_idx, round(dot_uv, 6) AS dot_uv, 0.0::DOUBLE AS pop, 0.0::DOUBLE AS price_z, label FROM feat"""))
 def r8(spark, d):
@@ -179,12 +189,13 @@ def r12_column(spark, d):
     return rows.select("query_id", "item_idx", *V.six("wide"))
 
 
-@query("r13_trained_ranker")
+@query("r13_trained_ranker", sql("plain", "SELECT query_id, item_idx, true AS is_probability FROM plain"))
 def r13(spark, d):
     pop, vectors = R.popularity_feature(V.split(spark, d, "train")), V.vectors(spark, d)
     train = R.build_features(candidate_lists(V.split(spark, d, "val"), vectors, V.K_CANDS), vectors, pop)
-    model = S.fit_ranker(R.hard_negatives(train, 10), (8,), iterations=20)
-    return _shown(S.score_with(model, plain_features(spark, d)))
+    model = S.fit_ranker(R.hard_negatives(train, 20), (128, 64), iterations=20)
+    scored = S.score_with(model, plain_features(spark, d))
+    return scored.select("query_id", "item_idx", F.col("score").between(0, 1).alias("is_probability"))
 
 
 part("dense_scores", "plain", f"SELECT query_id, item_idx, slot, label, round(score, 9) AS score FROM ({_dense_first('plain')})")
@@ -196,6 +207,14 @@ def r14(spark, d):
     return R.rerank(_scored(spark, d, first), 10)
 
 
+@query("r15_one_query", sql("dense_scores", f"""
+SELECT query_id, rank, item_idx, score FROM ({top('dense_scores', 10)}) WHERE query_id = (SELECT min(query_id) FROM dense_scores)"""))
+def r15(spark, d):
+    rows = candidates(spark, d)
+    one = rows.orderBy("query_id").limit(1)
+    return R.rerank(S.score_features(plain_features(spark, d, one), first), 10)
+
+
 part("some_scores", "dense_scores", "SELECT * FROM dense_scores WHERE query_id % 3 <> 0")
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from basketflow.catalog import query, views as V
-from basketflow.catalog.sql import history_vectors as define_vectors, part, sql, top
+from basketflow.catalog.sql import candidates as define_candidates, history_vectors as define_vectors, part, sql, top
 from basketflow.functions import vectors as X
 from basketflow.functions.text import format_id_list
 from basketflow.operators import retrieval as R
 from basketflow.operators.sequences import valid_items
-from basketflow.session import fresh_path
+from basketflow.session import fresh_path, settle
 
 ENDS = "round(v[1], 6) AS first, round(v[64], 6) AS last, round(list_sum(v), 6) AS total"
 
@@ -109,13 +109,32 @@ def e5(spark, d):
     )
 
 
-@query("e6_nearest_by_cell")
-def e6(spark, d):
+def _against_exact(found):
+    """Whether the scores are the exact cosines, and whether a share of the exact neighbors of all queries is found."""
+    def judged(spark, d, share):
+        exact = settle(R.nearest_items(_self_queries(spark, d), V.vectors(spark, d), 500))
+        mine = settle(found(spark, d))
+        both = mine.join(exact.select("query_id", "item_idx", F.col("score").alias("true"), F.col("rank").alias("place")), ["query_id", "item_idx"])
+        right = both.agg(F.count(F.lit(1)).alias("known"), F.max(F.abs(F.col("score") - F.col("true"))).alias("off"),
+                         F.sum((F.col("place") <= 10).cast("long")).alias("near"))
+        total = mine.agg(F.count(F.lit(1))).scalar()
+        wanted = exact.where("rank <= 10").agg(F.count(F.lit(1))).scalar()
+        return right.select((F.col("known") == total).alias("all_known"), (F.col("off") <= 1e-6).alias("exact_scores"),
+                            (F.col("near") >= share * wanted).alias("enough_found"))
+    return judged
+
+
+def _by_cell(spark, d):
     items = V.vectors(spark, d)
     model = R.fit_cells(items, 16)
     return R.nearest_by_cell(_self_queries(spark, d), R.with_cells(items, model), model, 10, 8)
 
 
+@query("e6_nearest_by_cell", "SELECT true AS all_known, true AS exact_scores, true AS enough_found")
+def e6(spark, d):
+    return _against_exact(_by_cell)(spark, d, 0.8)
+
+
 @query("e6_all_cells_probed", sql("self_scores", ranked("self_scores", 10)))
 def e6_all(spark, d):
     items = V.vectors(spark, d)
@@ -123,22 +142,28 @@ def e6_all(spark, d):
     return R.nearest_by_cell(_self_queries(spark, d), R.with_cells(items, model), model, 10, 8)
 
 
-@query("e7_nearest_by_hash")
-def e7(spark, d):
+def _by_hash(spark, d):
     return R.nearest_by_hash(_self_queries(spark, d), V.vectors(spark, d), 10)
 
 
+@query("e7_nearest_by_hash", "SELECT true AS all_known, true AS exact_scores, true AS enough_found")
+def e7(spark, d):
+    return _against_exact(_by_hash)(spark, d, 0.8)
+
+
 @query("e8_nearest_for_histories", sql("near_scores", ranked("near_scores", 10)))
 def e8(spark, d):
     items = V.vectors(spark, d)
     return R.nearest_items(R.history_vectors(V.sequences(spark, d), items), items, 10)
 
 
-@query("e9_index_table", "SELECT vec_id AS item_idx, 64::BIGINT AS dimension FROM embeddings")
+@query("e9_index_table", "SELECT vec_id AS item_idx, 64::BIGINT AS dimension, 1.0::DOUBLE AS length, true AS cell_known FROM embeddings")
 def e9(spark, d):
     items, path = V.vectors(spark, d), fresh_path(spark, "index")
     R.write_index(items, R.fit_cells(items, 16), path)
-    return spark.read.parquet(path).select("item_idx", F.size("vector").cast("long").alias("dimension"))
+    return spark.read.parquet(path).select(
+        "item_idx", F.size("vector").cast("long").alias("dimension"), F.round(X.norm(F.col("vector")), 6).alias("length"),
+        F.col("cell").between(0, 15).alias("cell_known"))
 
 
 @query("a13_index_statistics", "SELECT count(*) AS n_items, max(len(embedding))::BIGINT AS dimension, 'cosine' AS metric FROM embeddings")
@@ -178,6 +203,22 @@ def e13(spark, d):
     return rows.select("query_id", "pos_item_idx", "ts", format_id_list(F.col("cands")).alias("cands"))
 
 
+part("bare", "tests", """
+SELECT query_id, CASE query_id % 7 WHEN 0 THEN []::BIGINT[] WHEN 1 THEN [999999]::BIGINT[] ELSE history END AS history, pos_item_idx, ts FROM tests""")
+define_vectors("bv", "bare")
+part("bare_scores", "bare bv vec", """
+SELECT query_id, item_idx, coalesce(round(list_dot_product(bv.v, vec.u), 9), 0) AS score FROM (SELECT query_id FROM bare) CROSS JOIN vec LEFT JOIN bv USING (query_id)""")
+define_candidates("bare_cands", "bare_scores", "bare", 20)
+
+
+@query("e13_without_history", sql("bare_cands", "SELECT query_id, pos_item_idx, ts, array_to_string(cands, ' ') AS cands FROM bare_cands"))
+def e13_bare(spark, d):
+    gone = F.when(F.col("query_id") % 7 == 0, F.array().cast("array<bigint>")).when(F.col("query_id") % 7 == 1, F.array(F.lit(999_999).cast("long")))
+    queries = V.tests(spark, d).withColumn("history", F.coalesce(gone, "history"))
+    rows = R.candidate_lists(queries, V.vectors(spark, d), 20)
+    return rows.select("query_id", "pos_item_idx", "ts", format_id_list(F.col("cands")).alias("cands"))
+
+
 @query("k5_forced_positive", sql("seq", """
 SELECT query_id, array_to_string(CASE WHEN list_contains(history, pos_item_idx) THEN history
   ELSE list_append(history[:len(history) - 1], pos_item_idx) END, ' ') AS cands FROM seq"""))
@@ -237,9 +278,15 @@ def j5(spark, d):
     return R.gather(rows, V.vectors(spark, d)).select("query_id", "item_idx", F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
 
 
-@query("e17_trained_vectors")
+@query("e17_trained_vectors", sql("mat", """
+SELECT 'user' AS side, user_idx AS id, 64::BIGINT AS dimension, 1.0::DOUBLE AS length FROM (SELECT DISTINCT user_idx FROM mat)
+UNION ALL SELECT 'item', item_idx, 64, 1.0 FROM (SELECT DISTINCT item_idx FROM mat)"""))
 def e17(spark, d):
-    return _ends(R.trained_vectors(V.matrix(spark, d), 64)[0].withColumnRenamed("user_idx", "query_id"))
+    shown = lambda rows, side, ident: rows.select(
+        F.lit(side).alias("side"), F.col(ident).alias("id"), F.size("vector").cast("long").alias("dimension"),
+        F.round(X.norm(F.col("vector")), 6).alias("length"))
+    users, items = R.trained_vectors(V.matrix(spark, d), 64)
+    return shown(users, "user", "user_idx").union(shown(items, "item", "item_idx"))
 
 
 @query("e18_pair_scores", sql("hv seq vec", """
@@ -251,10 +298,10 @@ def e18(spark, d):
     return pairs.select("query_id", F.round(X.dot(F.col("vector"), F.col("item")), 6).alias("score"))
 
 
-@query("e19_exported_vectors")
+@query("e19_exported_vectors", sql("mat", "SELECT DISTINCT item_idx, 64::BIGINT AS dimension FROM mat"))
 def e19(spark, d):
     from basketflow.sources.tables import read_vectors, write_vectors
 
     path = fresh_path(spark, "vectors")
-    write_vectors(R.trained_vectors(V.matrix(spark, d), 16)[1], path)
+    write_vectors(R.trained_vectors(V.matrix(spark, d), 64)[1], path)
     return read_vectors(spark, path).select("item_idx", F.size("vector").cast("long").alias("dimension"))

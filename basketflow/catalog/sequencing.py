@@ -60,6 +60,22 @@ def w3(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("samples"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+part("timed", "ev", """
+SELECT event_id, ts, list(item_idx) OVER (PARTITION BY user_idx ORDER BY ts, event_id ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS history
+FROM ev WHERE event_id % 10 <> 3""")
+
+
+@query("w3_without_time", sql("timed", """
+SELECT event_id AS query_id, array_to_string(history, ' ') AS history, CASE
+  WHEN epoch_us(ts) < (SELECT quantile_cont(epoch_us(ts), 0.8) FROM timed) THEN 'train'
+  WHEN epoch_us(ts) < (SELECT quantile_cont(epoch_us(ts), 0.9) FROM timed) THEN 'val' ELSE 'test' END AS split
+FROM timed WHERE len(history) >= 2"""))
+def w3_untimed(spark, d):
+    lines = event_lines(spark, d).withColumn("ts", F.when(F.col("event_id") % 10 != 3, F.col("ts")))
+    rows = S.build_sequences(lines, tie="event_id", query_id="event_id")
+    return rows.select("query_id", format_id_list(F.col("history")).alias("history"), "split")
+
+
 @query("w5_train_dev", sql("train", """
 SELECT query_id, CASE WHEN epoch_us(ts) < (SELECT quantile_cont(epoch_us(ts), 0.9) FROM train) THEN 'train' ELSE 'dev' END AS part
 FROM train"""))

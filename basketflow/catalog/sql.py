@@ -150,7 +150,7 @@ def item_knn(name: str, profile: str, base: str, sim: str, alpha: float) -> None
 SELECT item_idx, sum(weight) / max(sum(weight)) OVER () AS pop FROM {base} GROUP BY item_idx""")
     part(f"{name}_scores", f"users {profile} {sim} {name}_pop", f"""
 SELECT u.user_idx, p.item_idx, round(coalesce(s.score, 0) + {alpha} * p.pop, 9) AS score, coalesce(s.score, 0) AS raw_score
-FROM (SELECT user_idx FROM users SEMI JOIN {profile} USING (user_idx)) u CROSS JOIN {name}_pop p
+FROM users u CROSS JOIN {name}_pop p
 LEFT JOIN (SELECT f.user_idx, s.b AS item_idx, sum(f.weight * s.similarity) AS score
            FROM {profile} f JOIN {sim} s ON s.a = f.item_idx GROUP BY 1, 2) s
   ON s.user_idx = u.user_idx AND s.item_idx = p.item_idx
@@ -219,7 +219,7 @@ history_vectors("hv", "seq")
 history_vectors("tv", "tests")
 part("near_scores", "hv vec", "SELECT query_id, item_idx, round(list_dot_product(hv.v, vec.u), 9) AS score FROM hv, vec")
 part("test_scores", "tv vec", "SELECT query_id, item_idx, round(list_dot_product(tv.v, vec.u), 9) AS score FROM tv, vec")
-K_CANDS = 20
+K_CANDS = 200
 
 
 def candidates(name: str, scores: str, source: str, k: int) -> None:

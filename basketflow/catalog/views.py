@@ -16,7 +16,7 @@ from basketflow.session import settle
 from basketflow.sources.retail import event_lines, item_vectors, raw_lines
 
 KS = (5, 10, 20)
-K_CANDS = 20
+K_CANDS = 200
 
 
 def priced(spark: SparkSession, d: str) -> DataFrame:

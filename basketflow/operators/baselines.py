@@ -37,17 +37,10 @@ def most_popular(items: DataFrame, n: int) -> DataFrame:
     return items.orderBy(F.col("popularity").desc(), "item_idx").limit(n)
 
 
-def seen_by(users: DataFrame, matrix: DataFrame, key: str = "user_idx") -> DataFrame:
-    """``(key, item_idx)`` of items not to recommend.
-
-    With key 'query_id' each query keeps its own list, without its
-    ``truth``, so the held-out item stays recommendable.
-    """
+def seen_by(users: DataFrame, matrix: DataFrame) -> DataFrame:
+    """``(user_idx, item_idx)`` of items not to recommend."""
     cells = matrix.where(F.col("weight") != 0).select("user_idx", "item_idx")
-    if key == "user_idx":
-        return cells.join(users.select("user_idx"), "user_idx", "left_semi")
-    own = users.select(key, "user_idx", "truth").join(cells, "user_idx")
-    return own.where(F.col("item_idx") != F.col("truth")).select(key, "item_idx")
+    return cells.join(users.select("user_idx"), "user_idx", "left_semi")
 
 
 def enough_popular(users: DataFrame, ranked: DataFrame, seen: DataFrame, k: int, key: str) -> DataFrame:
@@ -64,8 +57,20 @@ def enough_popular(users: DataFrame, ranked: DataFrame, seen: DataFrame, k: int,
 def recommend_popular(
     matrix: DataFrame, users: DataFrame, k: int, seen: DataFrame | None = None, key: str = "user_idx"
 ) -> DataFrame:
-    """k most popular unseen items per user."""
-    seen = seen_by(users, matrix, key) if seen is None else seen
+    """k most popular unseen items per user; with key 'query_id' a query's ``truth`` counts as unseen.
+
+    Queries share the list of their user, to which the truth is added where
+    the user has seen it: users·k + queries·(k + 1) rows, whatever was seen.
+    """
+    if key == "query_id":
+        people = users.select("user_idx").distinct()
+        lists = recommend_popular(matrix, people, k).select("user_idx", "item_idx", "score")
+        pop = popularity(matrix).select(F.col("item_idx").alias("truth"), F.col("pop").alias("score"))
+        known = matrix.where(F.col("weight") != 0).select("user_idx", F.col("item_idx").alias("truth"))
+        held = users.select(key, "user_idx", "truth").join(known, ["user_idx", "truth"], "left_semi").join(pop, "truth")
+        rows = users.select(key, "user_idx").join(lists, "user_idx").select(key, "item_idx", "score")
+        return top_items(rows.unionByName(held.select(key, F.col("truth").alias("item_idx"), "score")), k, key)
+    seen = seen_by(users, matrix) if seen is None else seen
     rows = enough_popular(users, ranked_popularity(popularity(matrix)), seen, k, key)
     rows = rows.join(seen, [key, "item_idx"], "left_anti").withColumnRenamed("pop", "score")
     return top_items(rows, k, key)
@@ -79,11 +84,13 @@ def recommend_item_knn(
     alpha: float = POP_ALPHA,
     seen: DataFrame | None = None,
     key: str = "user_idx",
+    users: DataFrame | None = None,
 ) -> DataFrame:
     """k unseen items by Σ profile weight · similarity + alpha · scaled popularity.
 
     ``profile`` has (key, item_idx, weight); seen defaults to the profile's
-    items.  Items without any similar profile item differ only by popularity,
+    items.  ``users`` (key) defaults to those with a profile; one without a
+    profile is ranked by the popularity term alone.  Items without any similar profile item differ only by popularity,
     so the most popular unseen ones stand in for all of them.
     """
     seen = profile.where(F.col("weight") > 0).select(key, "item_idx") if seen is None else seen
@@ -92,7 +99,7 @@ def recommend_item_knn(
     scored = scored.agg(F.sum(F.col("weight") * F.col("similarity")).alias("score"))
     if alpha:
         ranked = settle(ranked_popularity(scaled_popularity(matrix)))
-        filler = enough_popular(profile, ranked, seen, k, key).select(key, "item_idx", F.lit(0.0).alias("score"))
+        filler = enough_popular(profile if users is None else users, ranked, seen, k, key).select(key, "item_idx", F.lit(0.0).alias("score"))
         scored = scored.unionByName(filler).groupBy(key, "item_idx").agg(F.sum("score").alias("score"))
         scored = scored.join(ranked.select("item_idx", "pop"), "item_idx", "left")
         scored = scored.withColumn("score", F.col("score") + alpha * F.coalesce("pop", F.lit(0.0)))

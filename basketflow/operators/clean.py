@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from basketflow.functions.text import NON_PRODUCT_PATTERNS, is_non_product, normalize_text
 from basketflow.operators.ingest import as_number, finite, has, recompute_amount
-from basketflow.operators.quantiles import ONE_TASK_ROWS, exact_quantiles
+from basketflow.operators.quantiles import exact_quantiles
 from basketflow.session import settle
 
 CORE_COLUMNS = ("invoice_date", "stock_code", "description", "country", "customer_id")
@@ -39,8 +39,9 @@ class CleaningRules:
 # They keep to plain comparisons, so the scan can apply them, and also work on a stream.
 
 def has_core(df: DataFrame) -> Column | None:
-    present = [F.col(c).isNotNull() for c in CORE_COLUMNS if c in df.columns]
-    return _all(present)
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    missing = lambda c: F.col(c).isNull() | F.isnan(c) if c in floats else F.col(c).isNull()
+    return _all([~missing(c) for c in CORE_COLUMNS if c in df.columns])
 
 
 def is_sale(df: DataFrame) -> Column | None:
@@ -54,8 +55,12 @@ def is_sale(df: DataFrame) -> Column | None:
 def is_positive(df: DataFrame, column: str) -> Column | None:
     if not has(df, column):
         return None
-    typed = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType, T.IntegralType))
-    return (F.col(column) if typed else as_number(F.col(column))) > 0
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.col(column) > 0
+    number = F.col(column) if isinstance(kind, (T.DoubleType, T.FloatType)) else as_number(F.col(column))
+    # NaN stands above all numbers in comparisons, but is a missing value here.
+    return (number > 0) & ~F.isnan(number)
 
 
 def _all(conditions: Iterable[Column]) -> Column | None:
@@ -118,20 +123,14 @@ def merge_lines(df: DataFrame) -> DataFrame:
     return merged
 
 
-def iqr_bounds(
-    df: DataFrame,
-    columns=MEASURES,
-    multiplier: float = 3.0,
-    epsilon: float = 1e-6,
-    one_task_rows: int = ONE_TASK_ROWS,
-) -> DataFrame:
+def iqr_bounds(df: DataFrame, columns=MEASURES, multiplier: float = 3.0, epsilon: float = 1e-6) -> DataFrame:
     """One row with ``<column>_lo`` and ``<column>_hi``: quartiles ± multiplier·IQR on the log scale.
 
     A column without values gets the bounds 0 and infinity.
     """
     logs = {c: F.log(F.greatest(F.col(c).cast("double"), F.lit(epsilon))) for c in columns}
     logs = {c: F.when(F.col(c).isNotNull(), log) for c, log in logs.items()}
-    quartiles = exact_quantiles(df, logs, [0.25, 0.75], one_task_rows)
+    quartiles = exact_quantiles(df, logs, [0.25, 0.75])
     out = []
     for c in columns:
         low, high = F.get(F.col(c), F.lit(0)), F.get(F.col(c), F.lit(1))

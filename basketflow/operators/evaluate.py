@@ -48,8 +48,16 @@ def _tidy(df: DataFrame, keys: list[str], cells: dict[tuple[str, int], str]) ->
     return df.select(*keys, F.inline(F.array(*rows)))
 
 
-def ranking_metrics(ranks: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """Recall, NDCG and MRR from ``truth_ranks``."""
+def _of_every(models: Sequence[str] | None, table: DataFrame) -> DataFrame:
+    """``table`` with a row for each of ``models``, empty where it has none."""
+    if models is None:
+        return table
+    names = table.sparkSession.createDataFrame([(m,) for m in models], "model string")
+    return names.join(table, "model", "left")
+
+
+def ranking_metrics(ranks: DataFrame, ks: Sequence[int], models: Sequence[str] | None = None) -> DataFrame:
+    """Recall, NDCG and MRR from ``truth_ranks``; 0 for those of ``models`` without any query."""
     columns, cells = [], {}
     for k in ks:
         within = F.col("hit") <= k
@@ -61,21 +69,21 @@ def ranking_metrics(ranks: DataFrame, ks: Sequence[int]) -> DataFrame:
         for metric, gain in gains.items():
             cells[metric, k] = f"{metric}_{k}"
             columns.append(F.avg(F.when(within, gain).otherwise(0.0)).alias(f"{metric}_{k}"))
-    return _tidy(ranks.groupBy("model").agg(*columns), ["model"], cells)
+    return _tidy(_of_every(models, ranks.groupBy("model").agg(*columns)), ["model"], cells)
 
 
-def coverage_metrics(lists: DataFrame, n_items: int, ks: Sequence[int]) -> DataFrame:
-    """Share of the catalog that occurs in some list's first k entries.
+def coverage_metrics(lists: DataFrame, n_items: int, ks: Sequence[int], models: Sequence[str] | None = None) -> DataFrame:
+    """Share of the catalog that occurs in some list's first k entries; 0 for those of ``models`` without lists.
 
     Each item's best rank is found first, so all K come from one row per item.
     """
     best = lists.groupBy("model", "item_idx").agg(F.min("rank").alias("best"))
     cells = {("Coverage", k): f"c{k}" for k in ks}
     share = [(F.sum((F.col("best") <= k).cast("long")) / float(max(n_items, 1))).alias(f"c{k}") for k in ks]
-    return _tidy(best.groupBy("model").agg(*share), ["model"], cells)
+    return _tidy(_of_every(models, best.groupBy("model").agg(*share)), ["model"], cells)
 
 
-def id_diversity(lists: DataFrame, ks: Sequence[int]) -> DataFrame:
+def id_diversity(lists: DataFrame, ks: Sequence[int], models: Sequence[str] | None = None) -> DataFrame:
     """Mean share of distinct items over lists with more than one entry."""
     items = lists.groupBy("model", "query_id", "item_idx")
     counts = [F.sum((F.col("rank") <= k).cast("long")).alias(f"n{k}") for k in ks]
@@ -85,7 +93,7 @@ def id_diversity(lists: DataFrame, ks: Sequence[int]) -> DataFrame:
         *[F.sum((F.col(f"n{k}") > 0).cast("long")).alias(f"d{k}") for k in ks],
     )
     shares = [F.avg(F.when(F.col(f"n{k}") > 1, F.col(f"d{k}") / F.col(f"n{k}"))).alias(f"v{k}") for k in ks]
-    return _tidy(per_list.groupBy("model").agg(*shares), ["model"], {("Diversity", k): f"v{k}" for k in ks})
+    return _tidy(_of_every(models, per_list.groupBy("model").agg(*shares)), ["model"], {("Diversity", k): f"v{k}" for k in ks})
 
 
 def _list_spread(ks: Sequence[int]):
@@ -96,29 +104,31 @@ def _list_spread(ks: Sequence[int]):
             at = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             vectors = flat(at["vectors"])
             to, rows = bounds(vectors), unit_rows(as_matrix(vectors.flatten()))
-            gap = at["gap"].to_numpy(zero_copy_only=False)
-            models, queries, sizes, values = [], [], [], []
-            for q in range(batch.num_rows):
-                v = rows[to[q]:to[q + 1]]
-                sums = np.cumsum(v, axis=0)
-                own = np.cumsum((v * v).sum(axis=1))
-                for k in ks:
-                    m = min(k, int(at["n"][q].as_py()))
-                    if m < 2 or gap[q] <= m:
-                        continue
-                    apart = (sums[m - 1] @ sums[m - 1] - own[m - 1]) / (m * (m - 1))
-                    models.append(at["model"][q].as_py())
-                    queries.append(at["query_id"][q].as_py())
-                    sizes.append(k)
-                    values.append(1.0 - apart)
-            yield pa.record_batch({
-                "model": pa.array(models, pa.string()), "query_id": pa.array(queries, pa.int64()),
-                "k": pa.array(sizes, pa.int64()), "spread": pa.array(values, pa.float64()),
-            })
+            gap, n = (at[c].to_numpy(zero_copy_only=False) for c in ("gap", "n"))
+            squares = (rows * rows).sum(axis=1)
+            for k in ks:
+                m = np.minimum(k, n)
+                good = np.flatnonzero((m >= 2) & (gap > m))
+                if not len(good):
+                    continue
+                size = m[good]
+                # the first m rows of each list, one list after the other
+                starts = np.cumsum(size) - size
+                heads = np.arange(size.sum()) - np.repeat(starts - to[:-1][good], size)
+                sums = np.add.reduceat(rows[heads], starts, axis=0)
+                own = np.add.reduceat(squares[heads], starts)
+                apart = ((sums * sums).sum(axis=1) - own) / (size * (size - 1))
+                lists = pa.array(good)
+                yield pa.record_batch({
+                    "model": at["model"].take(lists), "query_id": at["query_id"].take(lists),
+                    "k": pa.array(np.full(len(good), k), pa.int64()), "spread": pa.array(1.0 - apart, pa.float64()),
+                })
     return compute
 
 
-def feature_diversity(lists: DataFrame, vectors: DataFrame, ks: Sequence[int]) -> DataFrame:
+def feature_diversity(
+    lists: DataFrame, vectors: DataFrame, ks: Sequence[int], models: Sequence[str] | None = None
+) -> DataFrame:
     """Mean of 1 − average cosine inside the list; lists with an unknown item are left out.
 
     The cosines of a list sum to |Σ unit vectors|² minus the diagonal, so no
@@ -134,7 +144,7 @@ def feature_diversity(lists: DataFrame, vectors: DataFrame, ks: Sequence[int]) -
         _list_spread(tuple(ks)), "model string, query_id long, k long, spread double"
     )
     means = [F.avg(F.when(F.col("k") == k, F.col("spread"))).alias(f"v{k}") for k in ks]
-    return _tidy(spread.groupBy("model").agg(*means), ["model"], {("Diversity", k): f"v{k}" for k in ks})
+    return _tidy(_of_every(models, spread.groupBy("model").agg(*means)), ["model"], {("Diversity", k): f"v{k}" for k in ks})
 
 
 def diversity(lists: DataFrame, ks: Sequence[int], vectors: DataFrame | None = None) -> DataFrame:
@@ -149,12 +159,12 @@ def all_metrics(
     n_items: int | None = None,
     vectors: DataFrame | None = None,
 ) -> DataFrame:
-    """``(model, metric, k, value)`` of every metric the arguments allow."""
-    out = ranking_metrics(truth_ranks(lists, truths, models), ks)
+    """``(model, metric, k, value)`` of every metric the arguments allow, 0 where nothing was counted."""
+    out = ranking_metrics(truth_ranks(lists, truths, models), ks, models)
     if n_items is not None:
-        out = out.unionByName(coverage_metrics(lists, n_items, ks))
+        out = out.unionByName(coverage_metrics(lists, n_items, ks, models))
     if vectors is not None:
-        out = out.unionByName(feature_diversity(lists, vectors, ks))
+        out = out.unionByName(feature_diversity(lists, vectors, ks, models))
     return out
 
 
@@ -194,6 +204,10 @@ def improvement(metrics: DataFrame, model: str, baseline: str) -> DataFrame:
                        change.alias("improvement_pct"))
 
 
+# The columns of the summary, with the K they are shown at.
+SUMMARY_COLUMNS = ("Model", "Recall@{k}", "NDCG@{k}", "Coverage@{k}", "Notes")
+
+
 def summary_row(metrics: DataFrame, model: str, baseline: str, k: int = 10) -> DataFrame:
     """The one-row summary: Model, Recall, NDCG, Coverage at K with 4 decimals, and a note on the NDCG change."""
     at = lambda name, metric: F.max(F.when(
@@ -203,8 +217,6 @@ def summary_row(metrics: DataFrame, model: str, baseline: str, k: int = 10) -> D
         at(baseline, "NDCG").alias("base"),
     )
     four = lambda col: F.format_string("%.4f", col)
-    note = F.concat(F.lit(f"{model} vs {baseline}: delta NDCG@{k}="), F.format_string("%+.4f", F.col("ndcg") - F.col("base")))
-    return wide.select(
-        F.lit(model).alias("Model"), four(F.col("recall")).alias(f"Recall@{k}"), four(F.col("ndcg")).alias(f"NDCG@{k}"),
-        four(F.col("coverage")).alias(f"Coverage@{k}"), note.alias("Notes"),
-    )
+    note = F.concat(F.lit(f"NDCG@{k} of {model} against {baseline}: "), F.format_string("%+.4f", F.col("ndcg") - F.col("base")))
+    cells = [F.lit(model), *[four(F.col(c)) for c in ("recall", "ndcg", "coverage")], note]
+    return wide.select(*[c.alias(name.format(k=k)) for c, name in zip(cells, SUMMARY_COLUMNS, strict=True)])

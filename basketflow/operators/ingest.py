@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketflow.functions.dates import parse_sale_date
 
@@ -40,8 +41,9 @@ def standardize_columns(df: DataFrame, names: Mapping[str, str] = RAW_COLUMN_NAM
 
 
 def as_number(col: Column) -> Column:
-    """Numeric value, or null where the text is no finite-format number."""
-    return col.try_cast("double")
+    """Numeric value, or null where the text is no number; NaN is no number."""
+    number = col.try_cast("double")
+    return F.when(~F.isnan(number), number)
 
 
 def parse_dates(df: DataFrame, column: str = "invoice_date") -> DataFrame:
@@ -81,6 +83,12 @@ def recompute_amount(df: DataFrame) -> DataFrame:
     return df.withColumn("line_amount", F.when(F.col("price").isNotNull(), product).otherwise(F.col("line_amount")))
 
 
+def nan_as_missing(df: DataFrame) -> DataFrame:
+    """NaN of floating columns becomes null."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast(df.schema[c].dataType)) for c in floats})
+
+
 def typed_lines(df: DataFrame) -> DataFrame:
-    """Rename, parse dates, price: everything before cleaning."""
-    return df.transform(standardize_columns).transform(parse_dates).transform(compute_prices)
+    """Rename, NaN to null, parse dates, price: everything before cleaning."""
+    return df.transform(standardize_columns).transform(nan_as_missing).transform(parse_dates).transform(compute_prices)

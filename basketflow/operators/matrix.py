@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.operators.ordering import hot_keys
 from basketflow.operators.sequences import until_last_train
 
 # A user (or item) with more partners than this takes the block product.
@@ -79,11 +78,13 @@ def pair_products(
     wide² rows each, and summed before the shuffle.  Wider keys are cut into
     blocks of keys × partners × partners: each cell is one bounded NumPy
     product that leaves the task already summed over its keys, so one key
-    that meets a third of all partners is spread over many tasks.
+    that meets a third of all partners is spread over many tasks.  A cell of
+    the table goes to the blocks of its own key's partners only: a key with d
+    partners copies each at most min(d, ids / block) times.
     """
     rows = matrix.where(F.col("weight") != 0)
     rows = rows.select(F.col(key).alias("key"), F.col(ident).alias("id"), F.col("weight").cast("double").alias("weight"))
-    wide_keys = hot_keys(rows, ["key"], wide)
+    wide_keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > wide).select("key")
     usual = rows.join(wide_keys, "key", "left_anti")
     left = usual.select("key", F.col("id").alias("a"), F.col("weight").alias("w"))
     right = usual.select("key", F.col("id").alias("b"), F.col("weight").alias("v"))
@@ -92,11 +93,13 @@ def pair_products(
     large = rows.join(wide_keys, "key", "left_semi")
     # Ids are dense, so a block of ids never holds more than `block` of them.
     large = large.withColumn("kb", F.floor(F.col("key") / block)).withColumn("ib", F.floor(F.col("id") / block))
-    last = large.agg(F.max("ib")).scalar()
-    first = large.select("*", F.explode(F.sequence("ib", last)).alias("jb"))
+    partners = large.groupBy("key").agg(F.collect_set("ib").alias("_blocks"))
+    large = large.join(partners, "key")
+    own = ["key", "id", "weight", "kb"]
+    first = large.select(*own, "ib", F.explode(F.filter("_blocks", lambda b: b >= F.col("ib"))).alias("jb"))
     # Both sides come from one table; new names keep their columns apart.
-    second = large.select(*[F.col(c).alias("jb" if c == "ib" else c) for c in large.columns])
-    second = second.select("*", F.explode(F.sequence(F.lit(0).cast("long"), "jb")).alias("ib"))
+    second = large.select(*[F.col(c).alias(c) for c in own], F.col("ib").alias("jb"), "_blocks")
+    second = second.select(*own, "jb", F.explode(F.filter("_blocks", lambda b: b <= F.col("jb"))).alias("ib"))
     cell = ["kb", "ib", "jb"]
     blocks = first.groupBy(*cell).cogroup(second.groupBy(*cell))
     blocks = blocks.applyInArrow(_block_product, "a long, b long, product double")

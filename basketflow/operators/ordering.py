@@ -1,10 +1,11 @@
-"""Order-dependent numbers over a whole table, without putting the table in one task.
+"""Order-dependent numbers over a whole table, without putting the table or a frequent key in one task.
 
 A window without partition keys sends every row to one task, and a window
 over a very frequent key sends that key's rows there.  The operators here
-range-partition by the full order instead, number rows inside each partition,
-and add the offset of the partition.  The laid-out rows are settled first, so
-the offsets and the rows they apply to come from the same layout.
+range-partition by the full order instead, work inside the partitions, and
+carry over what the partitions before contribute: an offset, or a few rows.
+They do so at every size.  The laid-out rows are settled first, so what is
+carried over and the rows it applies to come from the same layout.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ from pyspark.sql import Window as W
 
 from basketflow.session import settle
 
-# A key with more rows than this is not left to a single task.
-HOT_ROWS = 2_000_000
-
 
 def _laid_out(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Rows in range partitions of ``order``, tagged with partition and position."""
+    """Rows in range partitions of ``order``, tagged with partition and position.
+
+    The number of partitions is that of any shuffle, so small tables take the same way as large ones.
+    """
     tag = F.monotonically_increasing_id()
-    rows = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_tag", tag))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = settle(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_tag", tag))
     return rows.select(
         *df.columns,
         F.shiftright("_tag", 33).alias("_part"),
@@ -36,90 +38,63 @@ def _earlier(col: str, window) -> Column:
     return F.coalesce(F.sum(col).over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
 
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """``(_part, _n, _start)``: size of each range partition and the rows before it; one row per partition."""
+    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    return parts.withColumn("_start", _earlier("_n", W.orderBy("_part")))
+
+
 def row_index(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Adds 0, 1, 2, … in ``order``, which must leave no ties."""
     rows = _laid_out(df, order)
     # One row per range partition: bounded by the partition count, whatever the data.
-    starts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select("_part", _earlier("_n", W.orderBy("_part")).alias("_start"))
-    return rows.join(F.broadcast(starts), "_part").select(
-        *df.columns, (F.col("_start") + F.col("_pos")).cast("long").alias(name)
-    )
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame:
-    """Key values with more than ``limit`` rows: at most rows / limit of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
-
+    starts = F.broadcast(_starts(rows).select("_part", "_start"))
+    return rows.join(starts, "_part").select(*df.columns, (F.col("_start") + F.col("_pos")).cast("long").alias(name))
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: str, name: str) -> DataFrame:
+    """Adds the sum of ``weight`` over the rows of the same keys that come earlier in ``order``."""
+    rows = _laid_out(df, [*map(F.col, keys), *order])
+    sums = rows.groupBy("_part", *keys).agg(F.sum(weight).alias("_sum"))
+    carried = sums.withColumn("_carried", _earlier("_sum", W.partitionBy(*keys).orderBy("_part")))
+    # Of the keys of a partition only its first one can have begun before it: one row per partition at most.
+    first = W.partitionBy(*keys).orderBy("_part")
+    carried = carried.withColumn("_again", F.row_number().over(first) > 1).where("_again")
+    carried = carried.select(F.col("_part").alias("_of"), F.struct(*keys).alias("_key"), "_carried")
+    inside = W.partitionBy("_part", *keys).orderBy("_pos")
+    same = F.col("_part") == F.col("_of")
+    if keys:
+        same = same & F.struct(*keys).eqNullSafe(F.col("_key"))
+    spread = rows.withColumn("_inside", _earlier(weight, inside)).join(F.broadcast(carried), same, "left")
+    return spread.select(*df.columns, (F.coalesce("_carried", F.lit(0)) + F.col("_inside")).alias(name))
 
-def running_total(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: str, name: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Adds the sum of ``weight`` over the rows of the same keys that come earlier in ``order``.
 
-    Keys up to ``hot_rows`` rows use a plain window; larger ones are spread
-    over range partitions.
-    """
-    window = W.partitionBy(*keys).orderBy(*order)
-    if keys:
-        hot = hot_keys(df, keys, hot_rows)
-        if hot.isEmpty():
-            return df.withColumn(name, _earlier(weight, window))
-        hot = settle(hot)
-        usual = df.join(hot, list(keys), "left_anti").withColumn(name, _earlier(weight, window))
-        rows = _laid_out(df.join(hot, list(keys), "left_semi"), [*map(F.col, keys), *order])
-    else:
-        usual = None
-        rows = _laid_out(df, order)
-    starts = rows.groupBy("_part", *keys).agg(F.sum(weight).alias("_n"))
-    starts = starts.withColumn("_start", _earlier("_n", W.partitionBy(*keys).orderBy("_part"))).drop("_n")
-    inside = W.partitionBy("_part", *keys).orderBy("_pos")
-    spread = (
-        rows.withColumn("_inside", _earlier(weight, inside))
-        .join(starts, ["_part", *keys])
-        .select(*df.columns, (F.col("_start") + F.col("_inside")).alias(name))
-    )
-    return spread if usual is None else usual.unionByName(spread)
-
-
-def previous_values(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    value: str,
-    name: str,
-    count: int,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def previous_values(df: DataFrame, key: str, order: Sequence[str], value: str, name: str, count: int) -> DataFrame:
     """Adds the array of the ``count`` values of the same key just before each row.
 
-    A key above ``hot_rows`` rows is cut into runs of consecutive rows; each
-    run also gets the last ``count`` rows of the run before it as context.
+    The last ``count`` rows before a range partition are copied into it as context.
     """
-    before = (-count, -1)
-    window = W.partitionBy(key).orderBy(*order).rowsBetween(*before)
-    hot = hot_keys(df, [key], hot_rows)
-    if hot.isEmpty():
-        return df.withColumn(name, F.collect_list(value).over(window))
-    hot = settle(hot)
-    usual = df.join(hot, key, "left_anti").withColumn(name, F.collect_list(value).over(window))
-    rows = row_index(df.join(hot, key, "left_semi"), [F.col(c) for c in (key, *order)], "_row")
-    length = max(hot_rows, 2 * count)
-    run = F.floor(F.col("_row") / length)
-    runs = F.when(F.col("_row") % length >= length - count, F.array(run, run + 1)).otherwise(F.array(run))
-    in_run = W.partitionBy("_run", key).orderBy("_row").rowsBetween(*before)
-    spread = (
+    rows = _laid_out(df, [F.col(c) for c in (key, *order)])
+    # One row per range partition, with the next ones: no more than `count` of them can begin so near.
+    after = F.collect_list(F.struct("_start", "_part")).over(W.orderBy("_part").rowsBetween(1, count))
+    starts = _starts(rows).withColumn("_next", after)
+    rows = rows.join(F.broadcast(starts), "_part").withColumn("_row", F.col("_start") + F.col("_pos"))
+    follows = F.filter("_next", lambda p: p["_start"] <= F.col("_row") + count)
+    follows = F.transform(follows, lambda p: p["_part"])
+    own = F.array("_part")
+    runs = F.when(F.col("_pos") >= F.col("_n") - count, F.concat(own, follows)).otherwise(own)
+    in_run = W.partitionBy("_run", key).orderBy("_row").rowsBetween(-count, -1)
+    return (
         rows.withColumn("_run", F.explode(runs))
         .withColumn(name, F.collect_list(value).over(in_run))
-        .where(F.col("_run") == run)
+        .where(F.col("_run") == F.col("_part"))
         .select(*df.columns, name)
     )
-    return usual.unionByName(spread)
 
 
-def all_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def all_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """Adds the 1-based rank of every row within its keys, however many rows a key has."""
-    ranked = running_total(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", "_before", hot_rows)
+    ranked = running_total(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", "_before")
     return ranked.withColumn(name, F.col("_before") + 1).drop("_one", "_before")
 
 

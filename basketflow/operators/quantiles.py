@@ -7,11 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketflow.operators.ordering import HOT_ROWS, hot_keys, running_total
-from basketflow.session import settle
-
-# The built-in percentile holds every distinct value in one task, so it is used up to this many rows.
-ONE_TASK_ROWS = 2_000_000
+from basketflow.operators.ordering import running_total
 
 
 def _interpolated(prob: float) -> Column:
@@ -20,51 +16,36 @@ def _interpolated(prob: float) -> Column:
     end = F.col("_before") + F.col("_n")
     at = lambda rank: F.max(F.when((F.col("_before") <= rank) & (rank < end), F.col("_value")))
     share = F.max(place - F.floor(place))
-    return at(F.floor(place)) * (1 - share) + at(F.ceil(place)) * share
+    low, high = at(F.floor(place)), at(F.ceil(place))
+    # An infinite neighbor must not turn a share of nothing into NaN.
+    return F.when(share == 0, low).otherwise(low * (1 - share) + high * share)
 
 
-def exact_quantiles(
-    df: DataFrame,
-    values: Mapping[str, Column],
-    probs: Sequence[float],
-    one_task_rows: int = ONE_TASK_ROWS,
-) -> DataFrame:
-    """One row; per name an array with the quantiles of that column (nulls left out)."""
-    probs = [float(p) for p in probs]
-    if df.count() <= one_task_rows:
-        return df.agg(*[F.percentile(col, probs).alias(name) for name, col in values.items()])
-    parts = []
-    for name, col in values.items():
-        counts = df.select(col.cast("double").alias("_value")).where(F.col("_value").isNotNull())
-        counts = counts.groupBy("_value").agg(F.count(F.lit(1)).alias("_n"))
-        placed = settle(running_total(counts, [], [F.col("_value")], "_n", "_before"))
-        placed = placed.withColumn("_total", placed.agg(F.sum("_n")).scalar())
-        part = placed.agg(*[_interpolated(p).alias(f"_{i}") for i, p in enumerate(probs)])
-        found = F.when(F.col("_0").isNotNull(), F.array(*[F.col(f"_{i}") for i in range(len(probs))]))
-        parts.append(part.select(F.lit(name).alias("_name"), found.alias("_q")))
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    return stacked.agg(*[F.first(F.when(F.col("_name") == n, F.col("_q")), True).alias(n) for n in values])
+def _placed(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Value counts with the rows of their keys before each value and in all."""
+    placed = running_total(counts, keys, [F.col("_value")], "_n", "_before")
+    totals = counts.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.sum("_n").alias("_total"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return placed.join(totals, same)
 
 
-def grouped_medians(df: DataFrame, keys: Sequence[str], value: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Median of ``value`` per key.
+def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float]) -> DataFrame:
+    """One row; per name an array with the quantiles of that column (nulls left out, null without values).
 
-    Values are counted first, so the shuffle carries distinct values.  A key
-    with more than ``hot_rows`` distinct values takes the spread running total.
+    Equal values are counted first, over one scan for all columns; their
+    running total finds the ranks, at every size.
     """
+    pairs = F.array(*[F.struct(F.lit(n).alias("_name"), col.cast("double").alias("_value")) for n, col in values.items()])
+    counts = df.select(F.inline(pairs)).where(F.col("_value").isNotNull())
+    counts = counts.groupBy("_name", "_value").agg(F.count(F.lit(1)).alias("_n"))
+    found = _placed(counts, ["_name"]).groupBy("_name").agg(F.array(*[_interpolated(float(p)) for p in probs]).alias("_q"))
+    return found.agg(*[F.first(F.when(F.col("_name") == n, F.col("_q")), True).alias(n) for n in values])
+
+
+def grouped_medians(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Median of ``value`` per key; values are counted first, so the shuffle carries distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_value"))
     counts = counts.agg(F.count(F.lit(1)).alias("_n"))
-    median = F.percentile("_value", 0.5, F.col("_n")).alias(name)
-    hot = hot_keys(counts, keys, hot_rows)
-    if hot.isEmpty():
-        return counts.groupBy(*keys).agg(median)
-    hot = settle(hot)
-    usual = counts.join(hot, list(keys), "left_anti").groupBy(*keys).agg(median)
-    large = counts.join(hot, list(keys), "left_semi")
-    placed = running_total(large, keys, [F.col("_value")], "_n", "_before", hot_rows)
-    totals = large.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    spread = placed.join(totals, list(keys)).groupBy(*keys)
-    return usual.unionByName(spread.agg(_interpolated(0.5).alias(name)))
-
+    return _placed(counts, keys).groupBy(*keys).agg(_interpolated(0.5).alias(name))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from basketflow.functions.mixing import mix, mix_unit
 from basketflow.functions.vectors import SCORE_DIGITS, as_matrix, bounds, flat, unit_rows
 from basketflow.operators.ordering import top_rows
-from basketflow.operators.retrieval import gather, top_items
+from basketflow.operators.retrieval import top_items
 from basketflow.operators.sequences import MAX_HISTORY, last_items
 
 FEATURES = ("dot_uv", "max_sim_recent", "pop", "hist_len", "price_z")
@@ -43,14 +43,22 @@ def _pair_features(max_history: int):
             hist, cand = flat(at["hist"]), flat(at["cand"])
             h_to, c_to = bounds(hist), bounds(cand)
             h_all, c_all = as_matrix(hist.flatten()), as_matrix(cand.flatten())
-            dots, sims = np.zeros(len(c_all)), np.zeros(len(c_all))
-            for q in range(batch.num_rows):
-                h, c = h_all[h_to[q]:h_to[q + 1]], c_all[c_to[q]:c_to[q + 1]]
-                if len(h) and len(c):
-                    span = slice(c_to[q], c_to[q + 1])
-                    dots[span] = c @ unit_rows(h.mean(axis=0, keepdims=True))[0]
-                    sims[span] = (unit_rows(c) @ unit_rows(h).T).max(axis=1)
-            counts = np.diff(c_to)
+            counts, known = np.diff(c_to), np.diff(h_to)
+            of = np.repeat(np.arange(batch.num_rows), counts)
+            dim = c_all.shape[1] if len(c_all) else 1
+            # history vectors of all queries in one block, padded to the longest history
+            place = np.arange(len(h_all)) - np.repeat(h_to[:-1] - h_to[0], known)
+            padded = np.zeros((batch.num_rows, max(int(known.max(initial=0)), 1), dim))
+            if len(h_all):
+                padded[np.repeat(np.arange(batch.num_rows), known), place] = h_all
+            means = unit_rows(padded.sum(axis=1) / np.maximum(known, 1)[:, None])
+            dots = np.einsum("cd,cd->c", c_all, means[of]) if len(c_all) else np.zeros(0)
+            unit_c, sims = unit_rows(c_all) if len(c_all) else c_all, np.full(len(c_all), -np.inf)
+            for slot in range(padded.shape[1]):
+                held = known[of] > slot
+                near = np.einsum("cd,cd->c", unit_c[held], unit_rows(padded[:, slot])[of[held]])
+                sims[held] = np.maximum(sims[held], near)
+            sims[np.isinf(sims)] = 0.0
             items = flat(at["items"]).flatten().to_numpy()
             positive = np.repeat(at["pos_item_idx"].to_numpy(), counts)
             yield pa.record_batch({
@@ -70,16 +78,22 @@ def pair_features(queries: DataFrame, vectors: DataFrame, max_history: int = MAX
 
     History and candidate vectors of a query are gathered by one join and one
     grouping; both lists have a fixed bound (history length, k), so a row
-    stays small and the arithmetic is one NumPy product per query.
+    stays small and the arithmetic is one NumPy product per batch.  History
+    items without a vector are passed over; a candidate without one keeps its
+    row, with 0 in both vector features.
     """
     own = queries.select("query_id", "pos_item_idx", last_items(F.col("history"), max_history).alias("history"), "cands")
     entry = lambda role: lambda x, i: F.struct(F.lit(role).alias("role"), i.alias("slot"), x.alias("item_idx"))
     entries = F.concat(F.transform("history", entry(0)), F.transform("cands", entry(1)))
     rows = own.select("query_id", "pos_item_idx", F.size("history").alias("n_hist"), F.inline(entries))
+    dim = vectors.agg(F.max(F.size("vector"))).scalar()
+    zero = F.array_repeat(F.lit(0.0), F.coalesce(dim, F.lit(0)))
+    rows = rows.join(vectors.select("item_idx", F.col("vector").cast("array<double>").alias("vector")), "item_idx", "left")
+    rows = rows.where(F.col("vector").isNotNull() | (F.col("role") == 1)).withColumn("vector", F.coalesce("vector", zero))
     sorted_of = lambda role: F.array_sort(
         F.collect_list(F.when(F.col("role") == role, F.struct("slot", "item_idx", "vector")))
     )
-    lists = gather(rows, vectors).groupBy("query_id").agg(
+    lists = rows.groupBy("query_id").agg(
         F.first("pos_item_idx").alias("pos_item_idx"), F.first("n_hist").cast("long").alias("n_hist"),
         sorted_of(0).alias("h"), sorted_of(1).alias("c"),
     )

@@ -247,8 +247,11 @@ def as_lists(ranked: DataFrame, key: str = "query_id", name: str = "cands") -> D
 
 
 def candidate_lists(queries: DataFrame, items: DataFrame, k: int, force: bool = True, **how) -> DataFrame:
-    """``(query_id, history, pos_item_idx, cands, ts)`` with the positive among the candidates."""
-    lists = as_lists(nearest_items(history_vectors(queries, items), items, k, **how))
+    """``(query_id, history, pos_item_idx, cands, ts)`` with the positive among the candidates, for every query.
+
+    A history without any known item is a zero vector, which is as near to one item as to the next.
+    """
+    lists = as_lists(nearest_items(history_vectors(queries, items, keep_empty=True), items, k, **how))
     rows = queries.join(lists, "query_id")
     cands = force_positive(F.col("cands"), F.col("pos_item_idx")) if force else F.col("cands")
     return rows.select("query_id", "history", "pos_item_idx", cands.alias("cands"), "ts")

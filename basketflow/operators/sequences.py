@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 
 from basketflow.functions.dates import micros
 from basketflow.functions.text import format_id_list, parse_id_list
-from basketflow.operators.ordering import HOT_ROWS, previous_values, row_index
-from basketflow.operators.quantiles import ONE_TASK_ROWS, exact_quantiles
+from basketflow.operators.ordering import previous_values, row_index
+from basketflow.operators.quantiles import exact_quantiles
+from basketflow.session import settle
 
 MAX_HISTORY = 15
 MIN_HISTORY = 2
 
 
-def time_cutoffs(
-    lines: DataFrame, ts: str = "ts", probs=(0.80, 0.90), one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def time_cutoffs(lines: DataFrame, ts: str = "ts", probs=(0.80, 0.90)) -> DataFrame:
     """One row with ``cutoffs``: exact time quantiles in microseconds."""
-    return exact_quantiles(lines, {"cutoffs": micros(F.col(ts))}, probs, one_task_rows)
+    return exact_quantiles(lines, {"cutoffs": micros(F.col(ts))}, probs)
 
 
 def split_of(ts: Column, cutoffs: DataFrame) -> Column:
@@ -41,19 +40,21 @@ def build_sequences(
     min_history: int = MIN_HISTORY,
     train_share: float = 0.80,
     val_share: float = 0.90,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One sample per line with at least ``min_history`` earlier lines of its customer.
 
     ``lines`` has customer_id, user_idx, item_idx, ts and ``tie``, which orders
     lines of one customer and time; country is optional.  History may reach
-    back over a split boundary.  Without a ``query_id`` column samples are
-    numbered in (customer, time, tie) order.
+    back over a split boundary.  Lines without a time are no events: they are
+    no samples and stand in no history.  Without a ``query_id`` column samples
+    are numbered in (customer, time, tie) order.
     """
     order = ["ts", tie]
     extra = [query_id] if query_id and query_id != tie else []
-    rows = lines.select("customer_id", "user_idx", "item_idx", *order, *extra)
-    samples = previous_values(rows, "user_idx", order, "item_idx", "history", max_history, hot_rows)
+    country = ["country"] if "country" in lines.columns else []
+    # Read by the layout, the cutoffs and the countries.
+    lines = settle(lines.where(F.col("ts").isNotNull()).select("customer_id", "user_idx", "item_idx", *order, *extra, *country))
+    samples = previous_values(lines.drop("country"), "user_idx", order, "item_idx", "history", max_history)
     samples = samples.where(F.size("history") >= min_history)
     samples = samples.withColumn("split", split_of(F.col("ts"), time_cutoffs(lines, "ts", (train_share, val_share))))
     if "country" in lines.columns:
@@ -62,7 +63,6 @@ def build_sequences(
         samples = samples.withColumnRenamed(query_id, "query_id")
     else:
         samples = row_index(samples, [F.col(c) for c in ("user_idx", *order)], "query_id")
-    country = ["country"] if "country" in lines.columns else []
     return samples.select(
         "query_id", "customer_id", "user_idx", "ts", "history",
         F.col("item_idx").alias("pos_item_idx"), *country, "split",

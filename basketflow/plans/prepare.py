@@ -7,10 +7,9 @@ runs once and later steps start from files that survive a lost executor.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from basketflow.operators.clean import CleaningRules, clean_lines, quality_counts, row_counts, size_checks
-from basketflow.operators.ingest import typed_lines
+from basketflow.operators.ingest import require_dates, typed_lines
 from basketflow.operators.negatives import with_negatives
 from basketflow.operators.sequences import build_sequences
 from basketflow.operators.tables import (
@@ -29,6 +28,8 @@ def prepare(
     """Writes every prepared table below ``folder``."""
     spark: SparkSession = raw.sparkSession
     lines = typed_lines(raw)
+    if "invoice_date" in lines.columns:
+        require_dates(lines)
     write_table(interactions_table(clean_lines(lines, rules)), f"{folder}/interactions_clean")
     interactions = spark.read.parquet(f"{folder}/interactions_clean")
     write_table(item_catalog(interactions), f"{folder}/items_clean")
@@ -52,7 +53,3 @@ def prepare(
 
 def prepared(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}")
-
-
-def split_sizes(sequences: DataFrame) -> DataFrame:
-    return sequences.groupBy("split").agg(F.count(F.lit(1)).alias("samples"))

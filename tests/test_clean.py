@@ -60,16 +60,18 @@ def test_bounds_match_numpy(spark):
     values = [1.0, 2.0, 3.0, 10.0]
     rows = spark.createDataFrame([(v, v, v) for v in values], "price double, quantity double, line_amount double")
     q1, q3 = np.percentile(np.log(values), [25, 75])
-    for one_task in (100, 0):
-        got = C.iqr_bounds(rows, one_task_rows=one_task).first()
+    for parts in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = C.iqr_bounds(rows).first()
         assert math.isclose(got["price_lo"], math.exp(q1 - 3 * (q3 - q1)), rel_tol=1e-9)
         assert math.isclose(got["line_amount_hi"], math.exp(q3 + 3 * (q3 - q1)), rel_tol=1e-9)
 
 
 def test_bounds_of_nothing(spark):
     rows = spark.createDataFrame([(None, 1.0, 1.0)], "price double, quantity double, line_amount double")
-    for one_task in (100, 0):
-        got = C.iqr_bounds(rows, one_task_rows=one_task).first()
+    for parts in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = C.iqr_bounds(rows).first()
         assert got["price_lo"] == 0.0 and got["price_hi"] == float("inf")
 
 
@@ -122,8 +124,9 @@ def test_large_quantiles_match_numpy(spark):
     values = rng.integers(0, 40, 999).astype(float)
     rows = spark.createDataFrame([(float(v),) for v in values], "v double")
     probs = [0.0, 0.1, 0.25, 0.8, 0.9, 1.0]
-    for one_task in (10_000, 0):
-        got = exact_quantiles(rows, {"q": F.col("v")}, probs, one_task).first()["q"]
+    for parts in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = exact_quantiles(rows, {"q": F.col("v")}, probs).first()["q"]
         assert np.allclose(got, np.quantile(values, probs))
 
 
@@ -132,6 +135,7 @@ def test_medians_of_hot_and_usual_keys(spark):
     keys = np.where(rng.random(900) < 0.5, 0, rng.integers(1, 20, 900))
     values = rng.integers(0, 300, 900) / 4
     rows = spark.createDataFrame([(int(k), float(v)) for k, v in zip(keys, values)], "k long, v double")
-    for hot_rows in (10_000, 30):
-        got = {r["k"]: r["m"] for r in grouped_medians(rows, ["k"], "v", "m", hot_rows).collect()}
+    for parts in (1, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r["k"]: r["m"] for r in grouped_medians(rows, ["k"], "v", "m").collect()}
         assert all(math.isclose(got[k], np.median(values[keys == k])) for k in set(keys.tolist()))

@@ -29,8 +29,9 @@ def test_running_total(spark):
     want, sums = {}, defaultdict(int)
     for u, _, i, x in sorted(rows, key=lambda r: (r[0], r[2])):
         want[i], sums[u] = sums[u], sums[u] + x
-    for hot_rows in (10_000, 50):
-        got = {r["id"]: r["b"] for r in running_total(df, ["u"], [F.col("id")], "x", "b", hot_rows).collect()}
+    for parts in (1, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r["id"]: r["b"] for r in running_total(df, ["u"], [F.col("id")], "x", "b").collect()}
         assert got == want
 
 
@@ -40,8 +41,9 @@ def test_previous_values_of_a_hot_key(spark):
     for u, _, i, x in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         want[i] = seen[u][-4:]
         seen[u].append(x)
-    for hot_rows in (10_000, 60, 9):
-        got = {r["id"]: r["h"] for r in previous_values(df, "u", ["t", "id"], "x", "h", 4, hot_rows).collect()}
+    for parts in (1, 3, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r["id"]: r["h"] for r in previous_values(df, "u", ["t", "id"], "x", "h", 4).collect()}
         assert got == want
 
 
@@ -51,8 +53,9 @@ def test_all_ranks_of_a_hot_key(spark):
     for u, t, i, _ in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
         counts[u] += 1
         want[i] = counts[u]
-    for hot_rows in (10_000, 50):
-        got = {r["id"]: r["n"] for r in all_ranks(df, ["u"], [F.col("t").desc(), F.col("id")], "n", hot_rows).collect()}
+    for parts in (1, 9):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r["id"]: r["n"] for r in all_ranks(df, ["u"], [F.col("t").desc(), F.col("id")], "n").collect()}
         assert got == want
 
 
@@ -101,7 +104,8 @@ def test_split_borders(spark):
 def test_sequences_without_ids_and_with_hot_customer(spark):
     rows = events(spark, 60, 3)
     usual = S.build_sequences(rows, tie="event").orderBy("query_id").collect()
-    hot = S.build_sequences(rows, tie="event", hot_rows=20).orderBy("query_id").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", 30)
+    hot = S.build_sequences(rows, tie="event").orderBy("query_id").collect()
     assert [r["query_id"] for r in usual] == list(range(len(usual)))
     assert usual == hot
 
@@ -112,7 +116,7 @@ def test_history_never_holds_later_rows(spark):
     lines = spark.createDataFrame([(u, u, start + dt.timedelta(days=t), i, i) for u, t, i, _ in rows],
                                   "customer_id long, user_idx long, ts timestamp_ntz, event long, item_idx long")
     when = {i: (u, t, i) for u, t, i, _ in rows}
-    for r in S.build_sequences(lines, tie="event", query_id="event", hot_rows=40).collect():
+    for r in S.build_sequences(lines, tie="event", query_id="event").collect():
         own = when[r["query_id"]]
         assert all(when[h][0] == own[0] and when[h][1:] < own[1:] for h in r["history"])
 
