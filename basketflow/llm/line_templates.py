@@ -17,13 +17,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketflow.llm.bitmap import bitmap
 from basketflow.session import Scratch, settle
 
 LEADING = 3  # tokens that lead down the tree, after the number of tokens
@@ -64,7 +64,7 @@ def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "leaf", "line"])
 
 
-def _line_tokens(bitmap):
+def _line_tokens(reached):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple[int, int], list[bytes]] = {}
@@ -72,7 +72,7 @@ def _line_tokens(bitmap):
                 for tokens in _lines(text.as_py()):
                     place = leaf_and_line(tokens)
                     slot = place[0] & ((1 << BITMAP_BITS) - 1)
-                    if place not in found and int(bitmap.value[slot >> 6]) >> (slot & 63) & 1:
+                    if place not in found and int(reached.value[slot >> 6]) >> (slot & 63) & 1:
                         found[place] = tokens
             leafs, lines = zip(*found, strict=True) if found else ((), ())
             texts = pa.array([[t.decode("utf-8", "replace") for t in tokens] for tokens in found.values()], pa.list_(pa.string()))
@@ -81,16 +81,6 @@ def _line_tokens(bitmap):
     return run
 
 
-def _bitmap(leafs: DataFrame) -> np.ndarray:
-    """2 ** BITMAP_BITS bits, in which the slots of all ``leafs`` are set; the driver gets two MB at most."""
-    slot = F.col("leaf").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    bit = F.expr(f"shiftleft(1L, int(leaf & {63}))")
-    words = leafs.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return bitmap.view(np.uint64)
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """(key, text): equal texts have one key, so copies of a document count once."""
     return docs.select(F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
@@ -107,8 +97,8 @@ def line_templates(docs: DataFrame, scratch: Scratch, min_texts: int = MIN_TEXTS
     reached = held.groupBy("leaf").agg(F.countDistinct("key").alias("_texts")).where(F.col("_texts") >= min_texts).select("leaf")
     known = scratch.settle(held.join(reached, "leaf", "left_semi"))
     support = scratch.settle(known.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("weight")))
-    bitmap = spark.sparkContext.broadcast(_bitmap(support.select("leaf")))
-    texts = keyed.select("text").mapInArrow(_line_tokens(bitmap), "leaf long, line long, tokens array<string>")
+    marks = spark.sparkContext.broadcast(bitmap(support.select("leaf"), "leaf", BITMAP_BITS))
+    texts = keyed.select("text").mapInArrow(_line_tokens(marks), "leaf long, line long, tokens array<string>")
     lines = support.join(texts.groupBy("leaf", "line").agg(F.first("tokens").alias("tokens")), ["leaf", "line"])
     lines = scratch.settle(lines)
     each = lines.select("leaf", "line", "weight", F.posexplode("tokens").alias("place", "token"))

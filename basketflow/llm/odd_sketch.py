@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketflow.llm.bitmap import bitmap, is_set
 from basketflow.llm.components import components
 from basketflow.llm.words import shingle_hashes, words_of
 from basketflow.session import Scratch, settle
@@ -35,6 +36,7 @@ BANDS, ROWS = 18, 4  # of the first BANDS * ROWS samples
 SAMPLES, BITS = 128, 256  # folded into the sketch, and its length
 MARGIN = 5.5  # deviations of the estimate
 BLOCK_ROWS = 1024  # members of a bucket or group that meet in a task, from each side
+BITMAP_BITS = 25  # of the documents whose full sets are needed: 4 MB, whatever the input
 BLOCK_SHINGLES = 1 << 21  # at most so many shingles in a block, unless one set alone has more
 
 _A = (np.random.default_rng(5).integers(0, 1 << 31, SAMPLES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -104,11 +106,19 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures, schema)
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_hashes(words_of(t.as_py())) for t in batch.column(0)]
-        keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["set_key", "shingles"])
+def _shingle_sets(needed):
+    """The full sets of the documents whose bit is set, by the key of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.filter(pa.array(is_set(needed.value, batch.column(0).to_numpy()))).column(1)
+            for start in range(0, len(texts), 500):
+                sets = [shingle_hashes(words_of(t.as_py())) for t in texts[start : start + 500]]
+                keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                shingles = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, shingles], names=["set_key", "shingles"])
+
+    return run
 
 
 class Forest:
@@ -276,19 +286,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
         weighed = groups.drop("doc_id").join(weights.select("group", chunks.alias("chunks")), "group")
         weighed = weighed.withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks"))
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        needed = texts.join(groups.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-        shingles = needed.mapInArrow(_shingle_sets, "set_key binary, shingles array<long>")
+        # only the sets of candidates travel, and a few more; the join below keeps the candidates
+        needed = spark.sparkContext.broadcast(bitmap(groups, "doc_id", BITMAP_BITS))
+        shingles = texts.where("doc_id IS NOT NULL").mapInArrow(_shingle_sets(needed), "set_key binary, shingles array<long>")
         shingles = shingles.groupBy("set_key").agg(F.first("shingles").alias("shingles"))
         blocks = _blocks(weighed.join(shingles, "set_key").drop("set_key"), "group", "chunk", "chunks")
         links = _in_blocks(blocks, _link_forest(percent, allowed))
         # 5. a document with several texts connects them
-        held = scratch.settle(known.select("doc_id", "n_shingles", "set_key").join(sets.select("set_key", "id"), "set_key").drop("set_key"))
-        several = held.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("_last")).where("a < _last")
-        repeats = held.join(several, "doc_id").select("a", F.col("id").alias("b"))
+        members_of = scratch.settle(known.select("doc_id", "n_shingles", "set_key").join(sets.select("set_key", "id"), "set_key").drop("set_key"))
+        several = members_of.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("_last")).where("a < _last")
+        repeats = members_of.join(several, "doc_id").select("a", F.col("id").alias("b"))
         linked = components(links.union(repeats), scratch).withColumnRenamed("node", "id")
         smallest = sets.select("id", "doc_id").join(linked, "id", "left").withColumn("group", F.coalesce("component", "id"))
         names = smallest.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-        found = held.join(smallest.select("id", "group"), "id").join(names, "group").select("doc_id", "n_shingles", "component_id")
+        found = members_of.join(smallest.select("id", "group"), "id").join(names, "group").select("doc_id", "n_shingles", "component_id")
         alone = rows.where("doc_id IS NULL OR set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         everything = found.union(alone)
         return settle(everything.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
