@@ -13,29 +13,28 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     ``edges`` has long columns a and b.  Each round points the larger
     neighbors of a node at its smallest one (large star), then the smaller
-    ones (small star), until no edge changes: a logarithmic number of rounds
-    in practice.  A node with a great many edges is one join key of the
-    round; adaptive execution splits it.  Nothing leaves the cluster but one
-    row of counts per round.  Nulls and loops are no edges.
+    ones (small star), until every edge leads from a node with no other edge
+    to its component: a logarithmic number of rounds in practice.  A node with
+    a great many edges is one join key of the round; adaptive execution splits
+    it.  Nothing leaves the cluster but one row per round.  Nulls and loops
+    are no edges.
     """
     current = scratch.settle(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    state = None
     while True:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(near, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.settle(large)
+        large = both.join(near, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         following = scratch.settle(small.where("a <> b").distinct())
         scratch.drop(current)
-        scratch.drop(large)
         current = following
-        totals = F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).cast("string")
-        before, state = state, tuple(current.agg(F.count(F.lit(1)), totals).first())
-        if state == before:
+        ends = F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+        nodes = current.select(ends).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if nodes.where("up > 1 OR up = 1 AND down = 1").isEmpty():
             break
     leaves = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())

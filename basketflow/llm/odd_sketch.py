@@ -138,8 +138,16 @@ class Forest:
             self.parent[max(x, y)] = min(x, y)
         return x != y
 
-    def roots(self) -> np.ndarray:
-        return np.array([self.root(x) for x in range(len(self.parent))])
+    def stars(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges from the first member of each tree to all others."""
+        roots = np.array([self.root(x) for x in range(len(self.parent))], np.int64)
+        others = np.flatnonzero(roots != np.arange(len(roots)))
+        return ids[roots[others]], ids[others]
+
+
+def _edges(stars: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    columns = [np.concatenate([np.empty(0, np.int64), *[s[i] for s in stars]]) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -182,7 +190,7 @@ def _candidate_forest(threshold: int, allowed: int):
     """In each block of a bucket: a spanning forest of the pairs that may be links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        stars = []
         for table in _runs(batches, 3):
             if table.num_rows < 2:
                 continue
@@ -191,13 +199,12 @@ def _candidate_forest(threshold: int, allowed: int):
             forest = Forest(len(ids))
             for row in range(len(ids) - 1):
                 for other in _similar(sizes, sketches, row, np.arange(row + 1, len(ids)), threshold, allowed).tolist():
-                    if forest.join(row, other):
-                        a.append(ids[row])
-                        b.append(ids[other])
-            if len(a) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    forest.join(row, other)
+            stars.append(forest.stars(ids))
+            if len(stars) >= 10_000:
+                yield _edges(stars)
+                stars = []
+        yield _edges(stars)
 
     return run
 
@@ -206,7 +213,7 @@ def _link_forest(threshold: int, allowed: int):
     """In each block of a candidate group: a spanning forest of its links, decided on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        stars = []
         for table in _runs(batches, 3):
             if table.num_rows < 2:
                 continue
@@ -224,10 +231,9 @@ def _link_forest(threshold: int, allowed: int):
                 at = np.minimum(np.searchsorted(shingles[row], joined), len(shingles[row]) - 1)
                 shared = np.add.reduceat((shingles[row][at] == joined).astype(np.int64), ends - sizes[others])
                 for other in others[100 * shared >= threshold * (sizes[others] + sizes[row] - shared)].tolist():
-                    if forest.join(row, other):
-                        a.append(ids[row])
-                        b.append(ids[other])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    forest.join(row, other)
+            stars.append(forest.stars(ids))
+        yield _edges(stars)
 
     return run
 
