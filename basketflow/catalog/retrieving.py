@@ -125,9 +125,7 @@ def _against_exact(found):
 
 
 def _by_cell(spark, d):
-    items = V.vectors(spark, d)
-    model = R.fit_cells(items, 16)
-    return R.nearest_by_cell(_self_queries(spark, d), R.with_cells(items, model), model, 10, 8)
+    return R.nearest_by_cell(_self_queries(spark, d), R.CellIndex.build(V.vectors(spark, d), 16), 10, 8)
 
 
 @query("e6_nearest_by_cell", "SELECT true AS all_known, true AS exact_scores, true AS enough_found")
@@ -137,9 +135,7 @@ def e6(spark, d):
 
 @query("e6_all_cells_probed", sql("self_scores", ranked("self_scores", 10)))
 def e6_all(spark, d):
-    items = V.vectors(spark, d)
-    model = R.fit_cells(items, 8)
-    return R.nearest_by_cell(_self_queries(spark, d), R.with_cells(items, model), model, 10, 8)
+    return R.nearest_by_cell(_self_queries(spark, d), R.CellIndex.build(V.vectors(spark, d), 8), 10, 8)
 
 
 def _by_hash(spark, d):
@@ -157,11 +153,15 @@ def e8(spark, d):
     return R.nearest_items(R.history_vectors(V.sequences(spark, d), items), items, 10)
 
 
+def _written_index(spark, d, cells):
+    path = fresh_path(spark, "index")
+    R.CellIndex.build(V.vectors(spark, d), cells).write(path)
+    return R.CellIndex.read(spark, path)
+
+
 @query("e9_index_table", "SELECT vec_id AS item_idx, 64::BIGINT AS dimension, 1.0::DOUBLE AS length, true AS cell_known FROM embeddings")
 def e9(spark, d):
-    items, path = V.vectors(spark, d), fresh_path(spark, "index")
-    R.write_index(items, R.fit_cells(items, 16), path)
-    return spark.read.parquet(path).select(
+    return _written_index(spark, d, 16).vectors.select(
         "item_idx", F.size("vector").cast("long").alias("dimension"), F.round(X.norm(F.col("vector")), 6).alias("length"),
         F.col("cell").between(0, 15).alias("cell_known"))
 
@@ -219,6 +219,12 @@ def e13_bare(spark, d):
     return rows.select("query_id", "pos_item_idx", "ts", format_id_list(F.col("cands")).alias("cands"))
 
 
+@query("e13_candidates_by_cells", sql("cands", "SELECT query_id, pos_item_idx, ts, array_to_string(cands, ' ') AS cands FROM cands"))
+def e13_cells(spark, d):
+    rows = R.candidate_lists(V.tests(spark, d), V.vectors(spark, d), V.K_CANDS, index=_written_index(spark, d, 8), probes=8)
+    return rows.select("query_id", "pos_item_idx", "ts", format_id_list(F.col("cands")).alias("cands"))
+
+
 @query("k5_forced_positive", sql("seq", """
 SELECT query_id, array_to_string(CASE WHEN list_contains(history, pos_item_idx) THEN history
   ELSE list_append(history[:len(history) - 1], pos_item_idx) END, ' ') AS cands FROM seq"""))

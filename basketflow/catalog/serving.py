@@ -9,6 +9,7 @@ from basketflow.catalog.ranking import _dense_first
 from basketflow.catalog.sql import features as define_features, history_vectors as define_vectors, part, sql, top
 from basketflow.operators import serving as S, tables as T
 from basketflow.operators.baselines import most_popular
+from basketflow.operators.retrieval import CellIndex
 from basketflow.operators.scoring import score_features
 
 LABEL = "upper({0}[1:1]) || lower({0}[2:])"
@@ -108,11 +109,11 @@ SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY popular
 FROM (SELECT DISTINCT customer_id FROM clean WHERE customer_id NOT IN (SELECT query_id FROM sfeat_scores)) CROSS JOIN popular_items""")
 
 
-def _served(spark, d):
+def _served(spark, d, **search):
     rows = V.clean(spark, d)
     items, item_map, vectors = T.item_catalog(rows), T.item_id_map(rows), V.vectors(spark, d)
     scorer = lambda features: score_features(features, V.dense_ranker())
-    ranked = S.recommend_customers(rows, items, item_map, vectors, scorer, 10)
+    ranked = S.recommend_customers(rows, items, item_map, vectors, scorer, 10, **search)
     popular = S.popular_fallback(rows.select("customer_id").distinct(), ranked, items, item_map, 10)
     return ranked.unionByName(popular), items, item_map
 
@@ -122,6 +123,11 @@ def r19(spark, d):
     return _served(spark, d)[0]
 
 
+@query("r19_recommendations_by_cells", sql("served", "SELECT customer_id, rank, item_idx, score, source FROM served"))
+def r19_cells(spark, d):
+    return _served(spark, d, index=CellIndex.build(V.vectors(spark, d), 8), probes=8)[0]
+
+
 @query("r20_popular_fallback", sql("served", "SELECT customer_id, rank, item_idx FROM served WHERE source = 'popular'"))
 def r20(spark, d):
     return _served(spark, d)[0].where(F.col("source") == "popular").select("customer_id", "rank", "item_idx")

@@ -14,6 +14,7 @@ from basketflow.operators.ingest import as_number, finite, has, recompute_amount
 from basketflow.operators.quantiles import exact_quantiles
 from basketflow.session import settle
 
+# The columns a line must have, the names of the counters, and of the settings below.
 CORE_COLUMNS = ("invoice_date", "stock_code", "description", "country", "customer_id")
 MERGE_KEYS = ("customer_id", "stock_code", "invoice_date")
 MERGED_ATTRIBUTES = ("description", "country", "brand", "category", "vendor")
@@ -199,55 +200,64 @@ def clean_lines(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFr
     return keep_frequent(df, "customer_id", rules.min_events_per_user)
 
 
-def quality_counts(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
-    """Rows removed per step: ``(ordinal, step, rows_removed)``.
+def clean_with_counts(df: DataFrame, rules: CleaningRules = CleaningRules()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The clean lines, rows removed per step ``(ordinal, step, rows_removed)``, and the distinct input with ``_copies``.
 
-    The row rules are counted in one pass over the lines; each later branch
-    starts at a shuffle (duplicates, merge, frequency).
+    The input is scanned once, into its distinct rows with their number of
+    copies; the row rules are counted there, the merged lines come from there.
     """
-    checks = row_rules(df, rules)
+    distinct = settle(df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies")))
+    checks = row_rules(distinct, rules)
     passed, columns = F.lit(True), []
     for name, keep in checks.items():
         keep = F.coalesce(keep, F.lit(False))
-        columns.append(F.sum((passed & ~keep).cast("long")).alias(name))
+        columns.append(F.coalesce(F.sum(F.when(passed & ~keep, F.col("_copies")).otherwise(0)), F.lit(0)).alias(name))
         passed = passed & keep
-    first = df.agg(*columns, F.sum(passed.cast("long")).alias("_valid"))
-    valid = keep_valid_rows(df, rules)
-    # Descriptions and the copy count are all the second branch needs from a distinct row.
-    distinct = valid.groupBy(*valid.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    noise = is_non_product(normalize_text(F.col("description")), rules.non_product_patterns)
+    first = distinct.agg(*columns) if columns else None
+    valid = keep_valid_rows(distinct, rules)
+    noise = is_non_product(normalize_text(F.col("description")), rules.non_product_patterns) if has(df, "description") else F.lit(False)
     kept_copies = F.lit(1) if rules.drop_duplicates else F.col("_copies")
-    second = distinct.agg(
-        F.sum(F.col("_copies") - kept_copies).alias("drop_duplicates"),
-        F.sum(F.when(noise, kept_copies).otherwise(0)).alias("drop_non_product_patterns"),
-        F.sum(F.when(noise, 0).otherwise(kept_copies)).alias("_products"),
+    second = valid.agg(
+        F.coalesce(F.sum(F.col("_copies") - kept_copies), F.lit(0)).alias("drop_duplicates"),
+        F.coalesce(F.sum(F.when(noise, kept_copies).otherwise(0)), F.lit(0)).alias("drop_non_product_patterns"),
+        F.coalesce(F.sum(F.when(noise, 0).otherwise(kept_copies)), F.lit(0)).alias("_products"),
     )
-    merged = settle(until_merged(df, rules))
-    drops = rules.handle_outliers and not rules.winsorize
-    inside = inside_bounds(merged, _bounds(merged, rules)) if drops else F.lit(True)
+    lines = valid
+    if not rules.drop_duplicates:
+        lines = lines.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_copy")
+    merged = settle(merge_lines(drop_non_products(normalize_lines(lines.drop("_copies")), rules.non_product_patterns)))
+    kept, drops = merged, rules.handle_outliers and not rules.winsorize
+    inside = F.lit(True)
+    if rules.handle_outliers:
+        bounds = settle(_bounds(merged, rules))
+        kept = (winsorize if rules.winsorize else drop_outliers)(merged, bounds)
+        inside = inside_bounds(merged, bounds) if drops else inside
     rows = lambda d: d.agg(F.count(F.lit(1)).alias("n")).scalar()
     second = second.withColumn("aggregated_duplicate_lines", F.col("_products") - rows(merged))
-    third = merged.agg(F.sum((~inside).cast("long")).alias("drop_outliers"))
-    pieces = [
-        _stack(first, list(checks), 0),
+    third = merged.agg(F.coalesce(F.sum((~inside).cast("long")), F.lit(0)).alias("drop_outliers"))
+    frequent = keep_frequent(kept, "stock_code", rules.min_purchases_per_item)
+    final = keep_frequent(frequent, "customer_id", rules.min_events_per_user)
+    pieces = [_stack(first, list(checks), 0)] if checks else []
+    pieces += [
         _stack(second, ["drop_duplicates", "drop_non_product_patterns", "aggregated_duplicate_lines"], 4),
         _stack(third, ["drop_outliers"], 7),
     ]
-    kept = _handle_outliers(merged, rules)
-    frequent = keep_frequent(kept, "stock_code", rules.min_purchases_per_item)
-    final = keep_frequent(frequent, "customer_id", rules.min_events_per_user)
-    if rules.min_purchases_per_item > 1:
-        pieces.append(kept.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(8).alias("ordinal"), F.lit("drop_rare_items").alias("step"),
-            (F.col("n") - rows(frequent)).alias("rows_removed")))
-    if rules.min_events_per_user > 1:
-        pieces.append(frequent.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(9).alias("ordinal"), F.lit("drop_rare_users").alias("step"),
-            (F.col("n") - rows(final)).alias("rows_removed")))
+    for ordinal, step, before, after, least in (
+        (8, "drop_rare_items", kept, frequent, rules.min_purchases_per_item),
+        (9, "drop_rare_users", frequent, final, rules.min_events_per_user),
+    ):
+        if least > 1:
+            removed = before.agg(F.count(F.lit(1)).alias("n"))
+            pieces.append(removed.select(F.lit(ordinal).alias("ordinal"), F.lit(step).alias("step"), (F.col("n") - rows(after)).alias("rows_removed")))
     report = pieces[0]
     for piece in pieces[1:]:
         report = report.unionByName(piece)
-    return report.select(F.col("ordinal").cast("long"), "step", F.col("rows_removed").cast("long"))
+    return final, report.select(F.col("ordinal").cast("long"), "step", F.col("rows_removed").cast("long")), distinct
+
+
+def quality_counts(df: DataFrame, rules: CleaningRules = CleaningRules()) -> DataFrame:
+    """Rows removed per step: ``(ordinal, step, rows_removed)``."""
+    return clean_with_counts(df, rules)[1]
 
 
 def _stack(counts: DataFrame, names: list[str], start: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketflow.functions.mixing import mix
+from basketflow.operators.ordering import row_index
 
 
 def next_prime(n: int) -> int:
@@ -55,13 +56,14 @@ def with_epoch_negatives(sequences: DataFrame, n_items: int, n: int, epoch: int
 
 
 def fixed_sample(df: DataFrame, n: int, key: str = "query_id", seed: int = 42) -> DataFrame:
-    """A repeatable sample of ``n`` rows (all rows when there are fewer)."""
-    return df.orderBy(mix(seed, F.col(key)), F.col(key)).limit(n)
+    """A repeatable sample of ``n`` rows (all rows when there are fewer), however many ``n`` is."""
+    return row_index(df, [mix(seed, F.col(key)), F.col(key)], "_place").where(F.col("_place") < n).drop("_place")
 
 
 def shuffled(df: DataFrame, key: str = "query_id", seed: int = 42) -> DataFrame:
-    """Rows in a seeded pseudo-random order, for feeding in batches."""
-    return df.orderBy(mix(seed, F.col(key)), F.col(key))
+    """Rows in a seeded pseudo-random order, for feeding in batches: dealt by one hash, ordered by another."""
+    dealt = df.repartition(mix(seed + 1, F.col(key)))
+    return dealt.sortWithinPartitions(mix(seed, F.col(key)), F.col(key))
 
 
 def set_difference(left: Column, right: Column) -> Column:

@@ -94,12 +94,6 @@ def mse(scored: DataFrame) -> DataFrame:
     return scored.agg(F.avg(F.pow(F.col("score") - F.col("label"), F.lit(2.0))).alias("loss"))
 
 
-OBJECTIVES = {
-    "info_nce": info_nce, "bpr": bpr, "contrastive": contrastive, "triplet": triplet,
-    "sampled_softmax": sampled_softmax, "bce": bce_with_logits, "mse": mse,
-}
-
-
 def weighted_sum(losses: Mapping[str, DataFrame], weights: Mapping[str, float] | None = None) -> DataFrame:
     """``(name, loss, weight)`` per objective and a ``total`` row with Σ weight·loss."""
     weights = weights or {name: 1.0 for name in losses}

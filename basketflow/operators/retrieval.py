@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketflow.functions.vectors import (
-    SCORE_DIGITS, as_matrix, bounds, flat, list_column, unit, unit_rows,
+    SCORE_DIGITS, as_matrix, bounds, flat, list_column, norm, unit, unit_rows,
 )
 from basketflow.operators.ordering import top_rows
 from basketflow.operators.sequences import last_items
@@ -180,8 +181,17 @@ def top_items(scores: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     )
 
 
-def nearest_items(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", **blocks) -> DataFrame:
-    """Exact k nearest items per query: cosine, dot, or l2 (score = −distance)."""
+def nearest_items(
+    queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", index: CellIndex | None = None, probes: int = 0, **blocks
+) -> DataFrame:
+    """The k nearest items per query: cosine, dot, or l2 (score = −distance).
+
+    Exact without an ``index``; with one, cosine search in the ``probes`` nearest cells of each query.
+    """
+    if index is not None:
+        if metric != "cosine":
+            raise ValueError("cells are searched by cosine")
+        return nearest_by_cell(queries, index, k, probes)
     return top_items(block_scores(queries, items, k, metric, **blocks), k)
 
 
@@ -294,24 +304,45 @@ def with_cells(items: DataFrame, model) -> DataFrame:
     return model.transform(_ml_vectors(items)).drop("_features")
 
 
-def write_index(items: DataFrame, model, path: str) -> None:
-    """Unit vectors partitioned by cell, so a search reads the cells it probes."""
-    cells = with_cells(items, model).withColumn("vector", unit(F.col("vector")))
-    cells.write.mode("overwrite").partitionBy("cell").parquet(path)
+@dataclass(frozen=True)
+class CellIndex:
+    """Items by cell: ``vectors`` (item_idx, vector of length 1, length, cell) and ``centers`` (item_idx = cell, vector)."""
+
+    vectors: DataFrame
+    centers: DataFrame
 
+    @classmethod
+    def build(cls, items: DataFrame, n_cells: int, seed: int = 42) -> CellIndex:
+        model = fit_cells(items, n_cells, seed)
+        rows = with_cells(items.withColumn("length", norm(F.col("vector"))), model)
+        # one center per cell, and the number of cells is an argument
+        centers = [(i, [float(x) for x in center]) for i, center in enumerate(model.clusterCenters())]
+        frame = items.sparkSession.createDataFrame(centers, "item_idx long, vector array<double>")
+        return cls(rows.withColumn("vector", unit(F.col("vector"))), frame)
 
-def cell_centers(spark, model) -> DataFrame:
-    """``(item_idx, vector)``: the model's centers, one row per cell."""
-    rows = [(i, [float(x) for x in center]) for i, center in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, "item_idx long, vector array<double>")
+    def write(self, path: str) -> None:
+        """Vectors partitioned by cell, so a search reads the cells it probes, and the centers next to them."""
+        self.vectors.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+        self.centers.write.mode("overwrite").parquet(f"{path}/centers")
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> CellIndex:
+        return cls(spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/centers"))
 
-def nearest_by_cell(queries: DataFrame, indexed: DataFrame, model, k: int, probes: int) -> DataFrame:
-    """The k best items among those in each query's ``probes`` nearest cells."""
-    queries = unit_vectors(queries.select("query_id", "vector"))
-    near = nearest_items(queries, cell_centers(queries.sparkSession, model), probes, "l2")
+
+def nearest_by_cell(queries: DataFrame, index: CellIndex, k: int, probes: int) -> DataFrame:
+    """The k best items among those in each query's ``probes`` nearest cells.
+
+    A query whose cells hold fewer than k items is searched in all cells, so every query gets k items where there are k.
+    """
+    queries = settle(unit_vectors(queries.select("query_id", "vector")))
+    near = nearest_items(queries, index.centers, probes, "l2")
     probed = queries.join(near.select("query_id", F.col("item_idx").cast("int").alias("cell")), "query_id")
-    return top_items(block_scores(probed, indexed, k, "cosine", ["cell"]), k)
+    found = settle(top_items(block_scores(probed, index.vectors, k, "cosine", ["cell"]), k))
+    full = found.where(F.col("rank") == k).select("query_id")
+    short = queries.join(full, "query_id", "left_anti")
+    again = top_items(block_scores(short, index.vectors, k, "cosine"), k)
+    return found.join(full, "query_id", "left_semi").unionByName(again)
 
 
 def nearest_by_hash(

@@ -93,9 +93,6 @@ class WideRanker:
         return (_linear(x[:, list(self.wide_columns)], self.wide) + _linear(deep, self.out))[:, 0]
 
 
-RANKERS = {"mlp": DenseRanker, "deep_cross": CrossRanker, "wide_deep": WideRanker}
-
-
 def score_features(df: DataFrame, ranker, features=FEATURES, name: str = "score") -> DataFrame:
     """Adds the ranker's score; rows keep their order and partition."""
     columns = list(features)

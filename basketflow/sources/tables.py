@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from basketflow.operators.negatives import shuffled
 from basketflow.schemas import CUSTOMER_MAP, ITEM_MAP
@@ -16,12 +15,25 @@ SPLITS = ("train", "val", "test")
 SHARD_ROWS = 1_000_000
 
 
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders directly in a folder; none for a file or a missing path."""
+    system, target = _folder(spark, path)
+    if not system.exists(target) or system.getFileStatus(target).isFile():
+        return []
+    return [status.getPath().getName() for status in system.listStatus(target)]
+
+
 def read_lines(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Raw transaction lines from Parquet or from CSV with a header.
+    """Raw transaction lines from Parquet or from CSV with a header, a file or a folder of such files.
 
     A path that does not exist raises when the table is opened.
     """
-    if path.rstrip("/").endswith(".csv"):
+    if any(name.endswith((".csv", ".csv.gz")) for name in (path.rstrip("/"), *_names_in(spark, path))):
         reader = spark.read.option("header", True)
         return (reader.schema(schema) if schema else reader).csv(path)
     return spark.read.parquet(path)
@@ -65,8 +77,10 @@ def write_sequences(sequences: DataFrame, path: str) -> None:
 
 
 def _splits_in(spark: SparkSession, path: str) -> set[str]:
-    folders = spark.read.parquet(path).select("split").distinct()
-    return {row["split"] for row in folders.collect()}  # one row per split folder
+    names = _names_in(spark, path)
+    if not names:
+        raise FileNotFoundError(f"no table in {path}")
+    return {name.removeprefix("split=") for name in names if name.startswith("split=")}
 
 
 def read_sequences(spark: SparkSession, path: str, splits: Sequence[str] = SPLITS) -> DataFrame:
@@ -111,10 +125,9 @@ def write_summary(summary: DataFrame, path: str) -> None:
 def first_existing(spark: SparkSession, paths: Sequence[str], name: str) -> DataFrame:
     """Table ``name`` from the first folder that has it."""
     for path in paths:
-        try:
-            return spark.read.parquet(f"{path.rstrip('/')}/{name}")
-        except AnalysisException:
-            continue
+        system, target = _folder(spark, f"{path.rstrip('/')}/{name}")
+        if system.exists(target):
+            return spark.read.parquet(target.toString())
     raise FileNotFoundError(f"{name} is in none of {list(paths)}")
 
 

@@ -157,10 +157,9 @@ def test_hot_cell_and_hot_bucket(spark):
     items = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "item_idx long, vector array<double>")
     q = items.withColumnRenamed("item_idx", "query_id")
     exact = lists(R.nearest_items(q, items, 5), "query_id")
-    model = R.fit_cells(items, 8)
-    indexed = R.with_cells(items, model)
-    assert lists(R.nearest_by_cell(q, indexed, model, 5, 8), "query_id") == exact
-    few = lists(R.nearest_by_cell(q, indexed, model, 5, 4), "query_id")
+    index = R.CellIndex.build(items, 8)
+    assert lists(R.nearest_by_cell(q, index, 5, 8), "query_id") == exact
+    few = lists(R.nearest_by_cell(q, index, 5, 4), "query_id")
     hashed = lists(R.nearest_by_hash(q, items, 5), "query_id")
     for found in (few, hashed):
         share = np.mean([len(set(found[i]) & set(exact[i])) / 5 for i in exact])
