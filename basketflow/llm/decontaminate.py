@@ -42,10 +42,28 @@ BATCH_WORDS = 200_000
 HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def question_and_answer(words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
-    """All sentences but the last, and the last; an item of one sentence is both."""
+# Whatever stands around a word in ASCII and is no letter or digit; whitespace is gone already.
+_AROUND = bytes(c for c in range(128) if not chr(c).isalnum())
+
+
+def _bare(words: list[bytes]) -> list[bytes]:
+    return [w for w in (x.strip(_AROUND) for x in words) if w]
+
+
+def bare_words(text: str | None) -> list[bytes]:
+    """The words of a text without the ASCII signs around them, so that marks set beside an item do not hide it."""
+    return _bare(words_of(text))
+
+
+def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
+    """The words of all sentences but the last, and of the last; an item of one sentence is both."""
+    words = words_of(text)
     ends = [i for i, w in enumerate(words[:-1]) if w[-1:] in (b".", b"?", b"!")]
-    return (words[: ends[-1] + 1], words[ends[-1] + 1 :]) if ends else (words, words)
+    if ends:
+        question, answer = _bare(words[: ends[-1] + 1]), _bare(words[ends[-1] + 1 :])
+        if question and answer:
+            return question, answer
+    return _bare(words), _bare(words)
 
 
 @dataclass(frozen=True)
@@ -65,7 +83,7 @@ class Shard:
 
 def build_shard(items: list[tuple[int | None, str]], frequencies: dict[bytes, int], total: int, mean_words: float, span: int) -> Shard:
     """The index of ``items``; ``frequencies``, ``total``, ``mean_words`` and ``span`` are those of all items of all shards."""
-    words = [words_of(text) for _, text in items]
+    words = [bare_words(text) for _, text in items]
     # items of like length stand together, which makes block maxima tighter
     order = sorted(range(len(items)), key=lambda i: (len(words[i]), words[i]))
     terms: dict[bytes, int] = {}
@@ -91,7 +109,7 @@ def build_shard(items: list[tuple[int | None, str]], frequencies: dict[bytes, in
     blocks *= np.float32(1 + 1e-6)  # single precision must not fall below a weight
     parts = []
     for i in order:
-        parts.append(tuple((min(5, len(p)), shingle_hashes(p)) for p in question_and_answer(words[i])))
+        parts.append(tuple((min(5, len(p)), shingle_hashes(p)) for p in question_and_answer(items[i][1])))
     return Shard(
         [items[i][0] for i in order], terms, [np.array([p for p, _ in e]) for e in found], [np.array([w for _, w in e]) for e in found],
         blocks.max(axis=1, initial=0.0), blocks, block_items, span, parts,
@@ -200,7 +218,7 @@ def _portions(ids: list, texts: pa.Array) -> Iterator[tuple[int, list, list[list
     """(first row, ids, words) of consecutive rows with about BATCH_WORDS words together."""
     start, held, words = 0, [], 0
     for row, text in enumerate(texts):
-        held.append(words_of(text.as_py()))
+        held.append(bare_words(text.as_py()))
         words += len(held[-1])
         if words >= BATCH_WORDS or row == len(texts) - 1:
             yield start, ids[start : row + 1], held
@@ -234,7 +252,7 @@ def _without_hits(shared, at: int, share: float, overlap: float):
 
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = [words_of(t.as_py()) for t in batch.column(1)]
+        words = [bare_words(t.as_py()) for t in batch.column(1)]
         terms = [sorted(set(w)) for w in words]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(terms, pa.list_(pa.binary()))],
@@ -246,7 +264,7 @@ def shards(benchmark: DataFrame, scratch: Scratch) -> Iterator[Shard]:
     """The index of ``benchmark`` (item_id, text), a shard at a time; items without words are in none."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    items = items.where(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
     size = items.agg(F.count(F.lit(1)).alias("items"), F.sum(F.octet_length("text")).alias("bytes")).first()
     if not size["items"]:
         return

@@ -7,8 +7,7 @@ import numpy as np
 import pytest
 
 from basketflow.llm import decontaminate
-from basketflow.llm.decontaminate import block_max_wand, build_shard, clean_documents, contaminated, question_and_answer
-from basketflow.llm.words import words_of
+from basketflow.llm.decontaminate import bare_words, block_max_wand, build_shard, clean_documents, contaminated, question_and_answer
 
 DOCS = "doc_id long, text string, lang string, source string, score string, item_id string"
 
@@ -26,8 +25,8 @@ def bench(seed, count):
 
 
 def shard_of(items):
-    df = Counter(w for _, t in items for w in set(words_of(t)))
-    sizes = [len(words_of(t)) for _, t in items]
+    df = Counter(w for _, t in items for w in set(bare_words(t)))
+    sizes = [len(bare_words(t)) for _, t in items]
     return build_shard(items, df, len(items), float(np.mean(sizes)), max(sizes))
 
 
@@ -47,7 +46,7 @@ def test_wand_finds_all_above_the_threshold(least):
 
 def brute(docs, items):
     """Pairs with a window that holds enough of both parts, by plain sets and all windows."""
-    span = max(len(words_of(t)) for _, t in items)
+    span = max(len(bare_words(t)) for _, t in items)
     shard = shard_of(items)
     weights = {i: {} for i in range(len(items))}
     for term, t in shard.terms.items():
@@ -60,7 +59,7 @@ def brute(docs, items):
 
     found = set()
     for doc_id, text in docs:
-        words = words_of(text)
+        words = bare_words(text)
         for start in range(0, max(1, len(words)), span):
             window = words[start : start + 2 * span]
             if start and len(words) <= start + span:
@@ -68,7 +67,7 @@ def brute(docs, items):
             for place, item_id in enumerate(shard.items):
                 if sum(w for t, w in weights[place].items() if t in set(window)) < 0.6 - 1e-9:
                     continue
-                parts = question_and_answer(words_of(texts[item_id]))
+                parts = question_and_answer(texts[item_id])
                 if all(
                     len(grams(p, min(5, len(p))) & grams(window, min(5, len(p)))) >= 0.8 * len(grams(p, min(5, len(p)))) for p in parts
                 ):
@@ -83,8 +82,10 @@ def planted(items, seed=5):
     for i in range(120):
         words = draw.choices(filler, k=draw.choice([0, 3, 40, 300]))
         kind = i % 4
-        item = words_of(draw.choice(items)[1])
+        item = bare_words(draw.choice(items)[1])
         item = [w.decode() for w in item]
+        if i % 8 == 0:
+            item[-1] += ".***"
         if kind == 0:
             at = draw.randint(0, len(words))
             words[at:at] = item
