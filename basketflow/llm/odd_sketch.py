@@ -311,7 +311,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
         return settle(everything.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def _marked(marks, at: int, wanted: bool):
+    """The rows whose doc_id has, or has not, its bit set; a null id has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(at).cast(pa.int64())
+            found = is_set(marks.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(found == wanted))
+
+    return run
+
+
 def one_per_group(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """``docs`` without the documents that are not kept; rows that repeat a doc_id stay or go together."""
-    dropped = near_duplicates(docs, threshold).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that are not kept; rows that repeat a doc_id stay or go together.
+
+    Only rows that a bitmap of the dropped ids marks are joined with these ids; all others stay without a shuffle.
+    """
+    dropped = settle(near_duplicates(docs, threshold).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct())
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(dropped, "_dropped", BITMAP_BITS))
+    at = docs.columns.index("doc_id")
+    sure = docs.mapInArrow(_marked(marks, at, False), docs.schema)
+    maybe = docs.mapInArrow(_marked(marks, at, True), docs.schema)
+    return sure.union(maybe.join(dropped, maybe["doc_id"] == dropped["_dropped"], "left_anti"))
