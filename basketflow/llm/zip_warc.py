@@ -29,9 +29,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketflow.llm.bitmap import bitmap, is_set
 from basketflow.session import Scratch, fresh_path, settle
 
 PACKAGE_RECORDS, PACKAGE_BYTES = 50_000, 512 << 20  # a package ends with the record that reaches either
+BITMAP_BITS = 23  # of the payloads that several pages share: 1 MB, whatever the input
 RANGE_BYTES = 4 << 20  # records that begin in one such stretch are fetched together
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -236,6 +238,17 @@ def _writer(folder: str, run: str, date: str):
     return run_
 
 
+def _marked(marks, wanted: bool):
+    """The rows whose payload may, or cannot, belong to a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = batch.column(batch.num_columns - 1).to_numpy()
+            yield batch.filter(pa.array(is_set(marks.value, slots) == wanted))
+
+    return run
+
+
 def write_packages(pages: DataFrame, least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", folder: str | None = None) -> DataFrame:
     """Writes a WARC record for every row of ``pages`` (page_id, url, html); returns the packages (path, bytes, records).
 
@@ -255,14 +268,21 @@ def write_packages(pages: DataFrame, least_bytes: int = 0, date: str = "1970-01-
             pages.select(
                 F.monotonically_increasing_id().alias("number"), F.col("page_id").cast("long").alias("page_id"),
                 F.col("url").cast("string").alias("url"), body.alias("html"), F.sha2(body.cast("binary"), 256).alias("key"),
-            )
+            ).withColumn("slot", F.xxhash64("key"))
         )
         large = rows.where(F.octet_length("html") >= least_bytes)
         groups = large.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "number", "url")).alias("first"))
         groups = groups.where("n > 1").select("key", F.col("first.number").alias("target"), F.col("first.url").alias("target_url"))
+        groups = scratch.settle(groups)
+        # only pages whose payload others may share meet the groups; the rest stays without a shuffle
+        marks = spark.sparkContext.broadcast(bitmap(groups.select(F.xxhash64("key").alias("slot")), "slot", BITMAP_BITS))
+        alone = rows.mapInArrow(_marked(marks, False), rows.schema)
+        shared = rows.mapInArrow(_marked(marks, True), rows.schema).join(groups, "key", "left")
+        columns = ["number", "page_id", "url", "html"]
+        none = [F.lit(None).cast("long").alias("target"), F.lit(None).cast("string").alias("target_url")]
         other = F.col("target") != F.col("number")
-        records = rows.join(groups, "key", "left").select(
-            "number", "page_id", "url", "html", *[F.when(other, F.col(c)).alias(c) for c in ("target", "target_url")]
+        records = alone.select(*columns, *none).union(
+            shared.select(*columns, *[F.when(other, F.col(c)).alias(c) for c in ("target", "target_url")])
         )
         return settle(records.mapInArrow(_writer(folder, uuid.uuid4().hex, date), "path string, bytes long, records long"))
 
