@@ -97,7 +97,11 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 MARKERS = ("licen", "copyright", "warrant", "permission", "redistribut", "rights reserved", "liab", "public domain")
 
 COMMENT_MARKS = r"(?m)^[ \t]*[#*/%;!<>-]+[ \t]*"
-SENTENCE_END = r"[.;:!?]+(?: |$)|\n\n"
+# signs inside known sentences end none
+INSIDE = r"(?!(?<=spdx-license-identifier): |(?<=mozilla public license, v)\. 2|(?<=without any warranty); without even )"
+SENTENCE_END = INSIDE + r"[.;:!?]+(?: |$)|\n\n"
+# the address of a licence often stands below an empty line
+BEFORE_ADDRESS = r"(?<=copy of the license at):? ?\x01 ?(?=https?://)"
 
 
 def _marked(text: Column) -> Column:
@@ -108,11 +112,12 @@ def _marked(text: Column) -> Column:
 
 
 def normalised(text: Column) -> Column:
-    """Lower case, without comment marks; white space is one space, an empty line is a sentence end."""
+    """Lower case, without comment marks; white space is one space, an empty line is a sentence end, except before the address of a licence."""
     plain = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
     plain = F.regexp_replace(plain, COMMENT_MARKS, "")
     plain = F.regexp_replace(plain, r"\n[ \t]*(?:\n[ \t]*)+", "\u0001")
     plain = F.regexp_replace(plain, r"[\t\n\x0b\f ]+", " ")
+    plain = F.regexp_replace(plain, BEFORE_ADDRESS, " ")
     return F.regexp_replace(plain, " ?\u0001 ?", "\n\n")
 
 
