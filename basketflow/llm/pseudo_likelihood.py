@@ -8,7 +8,8 @@ token), probabilities = softmax(hidden x output + output bias).
 Training goes over the whole corpus in rounds.  In a round every task takes
 gradient steps (Adagrad) on one masked position of every MASK_EVERY of its
 texts, from the weights of the round before; the weights of the tasks are
-averaged by the number of their examples.  A score is the sum of the
+averaged by the number of their examples.  All rounds together train every
+position.  A score is the sum of the
 conditional log-probabilities of all tokens of the whole text.
 """
 
@@ -31,7 +32,7 @@ from basketflow.session import Scratch, settle
 WORDS, BUCKETS = 191, 64  # token 0 stands outside the text, so a token is one byte
 SIZE = 1 + WORDS + BUCKETS
 WINDOW, HIDDEN = 2, 24
-MASK_EVERY, ROUNDS = 12, 2
+MASK_EVERY = ROUNDS = 2  # so each position is masked in one round
 BATCH, RATE = 1024, 0.1
 CHUNK = 4096  # positions scored at once
 GROUPS = 64  # of tasks whose weights are added before the driver sees them
@@ -108,26 +109,30 @@ class Trainer:
     def __init__(self, network: Network):
         self.net = network
         self.squares = [np.full_like(a, 1e-3) for a in network.arrays()]
+        self.space = np.empty((0, SIZE), np.float32)
 
     def step(self, windows: np.ndarray, targets: np.ndarray) -> None:
         """``windows`` holds the context tokens (examples x offsets)."""
         net, count = self.net, len(targets)
-        total = np.broadcast_to(net.bias, (count, HIDDEN)).copy()
+        hidden = np.broadcast_to(net.bias, (count, HIDDEN)).copy()
         for i, table in enumerate(net.context):
-            total += table[windows[:, i]]
-        hidden = np.tanh(total)
-        logits = hidden @ net.output + net.output_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        wrong = np.exp(logits)
-        wrong /= wrong.sum(axis=1, keepdims=True)
-        wrong[np.arange(count), targets] -= 1
-        wrong /= count
+            hidden += table.take(windows[:, i], axis=0)
+        np.tanh(hidden, out=hidden)
+        if len(self.space) < count:
+            self.space = np.empty((count, SIZE), np.float32)
+        wrong = np.matmul(hidden, net.output, out=self.space[:count])
+        wrong += net.output_bias
+        wrong -= wrong.max(axis=1, keepdims=True)
+        np.exp(wrong, out=wrong)
+        wrong /= wrong.sum(axis=1, keepdims=True) * np.float32(count)
+        wrong[np.arange(count), targets] -= np.float32(1 / count)
         inner = (wrong @ net.output.T) * (1 - hidden * hidden)
-        columns = np.arange(HIDDEN)
-        tables = np.stack([
-            np.bincount((windows[:, i].astype(np.int64)[:, None] * HIDDEN + columns).ravel(), inner.ravel(), SIZE * HIDDEN).reshape(SIZE, HIDDEN)
-            for i in range(len(_OFFSETS))
-        ]).astype(np.float32)
+        tables = np.zeros_like(net.context)
+        for i, table in enumerate(tables):
+            order = np.argsort(windows[:, i], kind="stable")
+            column = windows[order, i]
+            starts = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
+            table[column[starts]] = np.add.reduceat(inner[order], starts, axis=0)
         for array, square, gradient in zip(
             net.arrays(), self.squares, (tables, inner.sum(axis=0), hidden.T @ wrong, wrong.sum(axis=0)), strict=True
         ):
@@ -166,7 +171,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flushed()
 
 
-def _train(shared, turn: int):
+def _train(shared, turn: int, rounds: int):
+    parts = min(rounds, MASK_EVERY)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network.unpacked(shared.value)
         trainer, examples = Trainer(network), 0
@@ -174,9 +181,10 @@ def _train(shared, turn: int):
         waiting = number = 0
         for batch in batches:
             tokens, at, _ = padded(_texts(batch, 0))
-            # one position of every MASK_EVERY, another one in each round
+            # one position of every MASK_EVERY, another one in each round, none left out
             drawn = (np.arange(number, number + len(at), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            chosen = at[drawn % np.uint64(MASK_EVERY) == np.uint64(turn % MASK_EVERY)]
+            # with fewer rounds than MASK_EVERY, a round takes several residues
+            chosen = at[drawn % np.uint64(MASK_EVERY) % np.uint64(parts) == np.uint64(turn % parts)]
             number += len(at)
             held.append((np.stack([tokens[chosen + o] for o in _OFFSETS], axis=1), tokens[chosen]))
             waiting += len(chosen)
@@ -211,7 +219,7 @@ def train(encoded: DataFrame, counts: np.ndarray, scratch: Scratch, rounds: int
     weights = Network.fresh(counts).packed()
     for turn in range(rounds):
         shared = encoded.sparkSession.sparkContext.broadcast(weights)
-        trained = encoded.select("tokens").mapInArrow(_train(shared, turn), "part int, examples long, weights binary")
+        trained = encoded.select("tokens").mapInArrow(_train(shared, turn, rounds), "part int, examples long, weights binary")
         sums = scratch.settle(trained.groupBy("part").applyInPandas(_added, "examples long, weights binary")).toArrow()
         examples = sum(sums["examples"].to_pylist())
         if examples:

@@ -2,8 +2,10 @@
 
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from basketflow.llm import pseudo_likelihood as pl
 from basketflow.llm.pseudo_likelihood import SIZE, WINDOW, Network, TokenIds, Trainer, padded, pseudo_likelihood
@@ -81,6 +83,21 @@ def test_held_out_text_is_likelier_than_shuffled(spark, monkeypatch):
     assert next(r.n_tokens for r in got if r.doc_id == 30_002) == 70_000
 
 
+def test_rounds_train_every_position():
+    """Over the rounds, as set for production or fewer, the targets are all tokens of all texts, short ones too."""
+    draw = np.random.default_rng(4)
+    texts = [draw.integers(1, SIZE, n).astype(np.uint8).tobytes() for n in (1, 2, 0, 3, 500, 1, 4000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(part, pa.binary())], names=["tokens"]) for part in (texts[:4], texts[4:])]
+    shared = SimpleNamespace(value=Network.fresh(np.ones(SIZE)).packed())
+
+    def trained(rounds):
+        return [sum(sum(out["examples"].to_pylist()) for out in pl._train(shared, turn, rounds)(iter(batches))) for turn in range(rounds)]
+
+    total = sum(map(len, texts))
+    assert sum(trained(pl.ROUNDS)) == sum(trained(1)) == total and min(trained(pl.ROUNDS)) > 0
+    assert min(trained(3)) > 0 and sum(trained(3)[:2]) == total
+
+
 def test_empty_table_and_rare_words(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pseudo_likelihood(docs).collect() == []
