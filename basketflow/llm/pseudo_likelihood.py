@@ -1,16 +1,22 @@
 """Masked pseudo-likelihood: a small two-sided window network predicts every token; its log-probabilities score texts.
 
 Tokens are the most frequent words of the whole corpus; all other words share
-hash buckets.  A token is predicted from WINDOW tokens on each side, itself
-masked: hidden = tanh(bias + sum over the offsets of a table row per context
-token), probabilities = softmax(hidden x output + output bias).
+hash buckets.  The probability of a word is that of its token by the network
+times the word's share of the token's count in the corpus, so every word has
+its own, however many there are.  A token is predicted from WINDOW tokens on
+each side, itself masked: hidden = tanh(bias + sum over the offsets of a table
+row per context token), probabilities = softmax(hidden x output + output bias).
 
 Training goes over the whole corpus in rounds.  In a round every task takes
 gradient steps (Adagrad) on one masked position of every MASK_EVERY of its
 texts, from the weights of the round before; the weights of the tasks are
 averaged by the number of their examples.  All rounds together train every
-position.  A score is the sum of the
-conditional log-probabilities of all tokens of the whole text.
+position.  A score is the sum of the conditional log-probabilities of all
+words of the whole text.
+
+The counts of the words stay a table.  Texts are encoded in chunks, which list
+their words outside the frequent ones once; these lists are joined with the
+counts, and each chunk meets the counts of its own words in one task.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +42,8 @@ WINDOW, HIDDEN = 2, 24
 MASK_EVERY = ROUNDS = 2  # so each position is masked in one round
 BATCH, RATE = 1024, 0.1
 CHUNK = 4096  # positions scored at once
+SCORED_TEXTS = 1000  # whose positions are held at once
+CHUNK_WORDS, CHUNK_TOKENS = 1 << 17, 1 << 21  # a chunk of texts ends with the text that reaches either
 GROUPS = 64  # of tasks whose weights are added before the driver sees them
 _OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 
@@ -50,6 +59,27 @@ class TokenIds(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint8, len(words))
 
 
+class Codes(dict):
+    """Code of a word in a chunk of texts: its token if it is frequent, else SIZE + its slot among the chunk's other words."""
+
+    def __init__(self, ids: TokenIds):
+        super().__init__(ids)
+        self.ids, self.others, self.tokens = ids, [], bytearray(range(SIZE))
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = SIZE + len(self.others)
+        self.others.append(word)
+        self.tokens.append(self.ids[word])
+        return code
+
+    def of(self, text: str | None) -> tuple[bytes, bytes]:
+        """The tokens of a text, and the slots of its words outside the frequent ones."""
+        words = words_of(text)
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        slots = codes[codes >= SIZE] - SIZE
+        return np.frombuffer(self.tokens, np.uint8)[codes].tobytes(), slots.astype(np.uint32).tobytes()
+
+
 @dataclass
 class Network:
     context: np.ndarray  # offsets x SIZE x HIDDEN
@@ -228,32 +258,68 @@ def train(encoded: DataFrame, counts: np.ndarray, scratch: Scratch, rounds: int
 
 
 def _encode(shared):
+    """Rows of texts (doc_id, tokens, slots) by chunk; a last row of each chunk has the chunk's other words in place of a text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, number = TaskContext.get().partitionId() << 32, 0
+        codes, size = Codes(shared.value), 0
+        rows: list[tuple] = []
+
+        def flushed() -> pa.RecordBatch:
+            columns = zip(*rows, strict=True) if rows else [[]] * len(_ENCODED)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ENCODED.values(), strict=True)], names=list(_ENCODED))
+            rows.clear()
+            return batch
+
         for batch in batches:
-            tokens = [shared.value.of(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary())], names=["doc_id", "tokens"])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens, slots = codes.of(text.as_py())
+                rows.append((first + number, doc_id, tokens, slots, None))
+                size += len(tokens)
+                if size >= CHUNK_TOKENS or len(codes.others) >= CHUNK_WORDS:
+                    rows.append((first + number, None, None, None, codes.others))
+                    codes, size, number = Codes(shared.value), 0, number + 1
+            yield flushed()
+        rows.append((first + number, None, None, None, codes.others))
+        yield flushed()
 
     return run
 
 
+_ENCODED = {"chunk": pa.int64(), "doc_id": pa.int64(), "tokens": pa.binary(), "slots": pa.binary(), "words": pa.list_(pa.binary())}
+
+
 def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network = Network.unpacked(shared.value)
-        for batch in batches:
-            texts = _texts(batch, 1)
-            tokens, at, owner = padded(texts)
-            scores = np.bincount(owner, network.log_probabilities(tokens, at), len(texts))
-            sizes = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(scores)], names=["doc_id", "n_tokens", "score"])
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        flat, totals = shared.value
+        network = Network.unpacked(flat)
+        counts = np.ones(words.num_rows)
+        counts[words["slot"].to_numpy()] = words["n"].to_numpy()
+        logs, log_totals = np.log(counts), np.log(np.maximum(totals, 1))
+        parts = []
+        for batch in texts.to_batches(max_chunksize=SCORED_TEXTS):
+            tokens, at, owner = padded(_texts(batch, 2))
+            scores = network.log_probabilities(tokens, at)
+            own = tokens[at]
+            others = np.flatnonzero(own > WORDS)
+            slots = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(x.as_py(), np.uint32) for x in batch.column(3)]])
+            scores[others] += logs[slots] - log_totals[own[others]]
+            sizes = np.bincount(owner, minlength=batch.num_rows)
+            scores = np.bincount(owner, scores, batch.num_rows)
+            parts.append(pa.table({"doc_id": batch.column(1), "n_tokens": pa.array(sizes, pa.int64()), "score": pa.array(scores, pa.float64())}))
+        return pa.concat_tables(parts) if parts else _NOTHING
 
     return run
 
 
+_NOTHING = pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Rows (doc_id, n_tokens, score, mean_score) of every row of ``docs``, by a network trained on all of them.
 
-    score is the sum of the log-probabilities of all tokens, 0 for a null or
-    empty text, mean_score its share per token, null there.  Words are counted
+    score is the sum of the log-probabilities of all words, 0 for a null or
+    empty text, mean_score its share per word, null there.  Words are counted
     over the whole corpus; ties among frequent words go to the smaller one.
     Repeated rows are scored each, equal texts alike to single precision.
     Other columns are not read.  The result is settled.
@@ -262,12 +328,23 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with Scratch(spark) as scratch:
         counted = texts.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        counted = scratch.settle(counted)
         frequent = counted.orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
         ids = TokenIds({w: i + 1 for i, w in enumerate(frequent["word"].to_pylist())})
-        encoded = scratch.settle(texts.mapInArrow(_encode(spark.sparkContext.broadcast(ids)), "doc_id long, tokens binary"))
         counts = np.zeros(SIZE)
-        counts[1 : 1 + len(ids)] = frequent["n"].to_numpy()
-        network = train(encoded, counts, scratch, rounds)
-        scored = encoded.mapInArrow(_score(spark.sparkContext.broadcast(network.packed())), "doc_id long, n_tokens long, score double")
+        buckets = counted.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+        counts[1 + WORDS + buckets["bucket"].to_numpy()] = buckets["n"].to_numpy()
+        for word, n in zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True):
+            counts[ids[word]] = n
+            counts[TokenIds()[word]] -= n
+        schema = "chunk long, doc_id long, tokens binary, slots binary, words array<binary>"
+        encoded = scratch.settle(texts.mapInArrow(_encode(spark.sparkContext.broadcast(ids)), schema))
+        rows = encoded.where("words IS NULL").drop("words")
+        network = train(rows, counts, scratch, rounds)
+        # every chunk with the counts of its words
+        words = encoded.where("words IS NOT NULL").select("chunk", F.posexplode("words").alias("slot", "word"))
+        known = words.join(counted, "word").select(F.col("chunk").alias("of_chunk"), "slot", "n")
+        shared = spark.sparkContext.broadcast((network.packed(), counts))
+        scored = rows.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_score(shared), "doc_id long, n_tokens long, score double")
         mean = F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens"))
         return settle(scored.withColumn("mean_score", mean))

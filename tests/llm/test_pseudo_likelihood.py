@@ -98,6 +98,31 @@ def test_rounds_train_every_position():
     assert min(trained(3)) > 0 and sum(trained(3)[:2]) == total
 
 
+def test_words_of_one_bucket_have_probabilities_of_their_own(spark, monkeypatch):
+    """Two words of one token differ by their counts, in whatever chunk, and the probabilities of a token's words add up to its own."""
+    common = [f"f{i}" for i in range(pl.WORDS)]
+    ids, by_bucket = TokenIds({}), {}
+    for i in range(200):
+        by_bucket.setdefault(ids[f"r{i}".encode()], []).append(f"r{i}")
+    often, seldom, once = max(by_bucket.values(), key=len)[:3]
+    texts = [" ".join(common)] * 90 + [f"f1 f2 {w} f3 f4" for w, n in ((often, 60), (seldom, 20), (once, 1)) for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: r.score for r in pseudo_likelihood(docs.coalesce(1)).collect()}
+    assert math.isclose(whole[90] - whole[150], math.log(60 / 20), abs_tol=1e-3)
+    assert math.isclose(whole[90] - whole[170], math.log(60), abs_tol=1e-3)
+    # the same in chunks of a text or two
+    monkeypatch.setattr(pl, "CHUNK_TOKENS", 8)
+    small = {r.doc_id: r.score for r in pseudo_likelihood(docs.coalesce(1)).collect()}
+    assert small.keys() == whole.keys() and all(math.isclose(small[i], whole[i], abs_tol=1e-3) for i in whole)
+
+
+def test_codes_of_a_chunk():
+    codes = pl.Codes(TokenIds({b"the": 1}))
+    tokens, slots = codes.of("The xyzzy the plugh xyzzy")
+    assert list(np.frombuffer(slots, np.uint32)) == [0, 1, 0] and codes.others == [b"xyzzy", b"plugh"]
+    assert tokens == TokenIds({b"the": 1}).of("The xyzzy the plugh xyzzy").tobytes() and codes.of(None) == (b"", b"")
+
+
 def test_empty_table_and_rare_words(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pseudo_likelihood(docs).collect() == []
