@@ -13,8 +13,9 @@
    sets, unless they are connected already; links leave as a forest too.
 5. The components of the links are the result.
 
-A pair with similarity s shares no band with probability (1 - s^ROWS)^BANDS,
-2e-6 at 0.85; above that the result is exact.
+A pair with similarity s shares no band with probability (1 - s^ROWS)^bands,
+2e-6 at 0.85 with BANDS; a lower threshold takes more bands, so that it is
+found as surely; above that the result is exact.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from basketflow.llm.components import components
 from basketflow.llm.words import shingle_hashes, words_of
 from basketflow.session import Scratch, settle
 
-BANDS, ROWS = 18, 4  # of the first BANDS * ROWS samples
+BANDS, ROWS = 18, 4  # of the first BANDS * ROWS samples; the bands are those of a threshold of 0.85
 SAMPLES, BITS = 128, 256  # folded into the sketch, and its length
 MARGIN = 5.5  # deviations of the estimate
 BLOCK_ROWS = 1024  # members of a bucket or group that meet in a task, from each side
@@ -54,10 +55,16 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def bands_of(samples: np.ndarray) -> list[int]:
+def bands_for(threshold: float) -> int:
+    """So many bands that a pair at ``threshold`` is missed no more often than one at 0.85 by BANDS, as far as the samples go."""
+    needed = np.log(1 - 0.85**ROWS) * BANDS / np.log(1 - min(threshold, 0.85) ** ROWS)
+    return min(int(np.ceil(needed - 1e-9)), SAMPLES // ROWS)
+
+
+def bands_of(samples: np.ndarray, bands: int = BANDS) -> list[int]:
     """One 64-bit key per band."""
     return [
-        xxhash.xxh3_64_intdigest(samples[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) - (1 << 63) for i in range(BANDS)
+        xxhash.xxh3_64_intdigest(samples[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i) - (1 << 63) for i in range(bands)
     ]
 
 
@@ -82,28 +89,31 @@ def bits_allowed(threshold: float) -> int:
     return int(counts[estimate(counts) >= threshold - MARGIN * deviation].max(initial=0))
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            shingles = shingle_hashes(words_of(text.as_py()))
-            if len(shingles):
-                samples = minhash(shingles)
-                rows.append((doc_id, len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), bands_of(samples), odd_sketch(samples).tolist()))
-            else:
-                rows.append((doc_id, 0, None, None, None))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SIGNATURE_TYPES, strict=True)], names=_SIGNATURE_NAMES)
+def _signatures(bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shingles = shingle_hashes(words_of(text.as_py()))
+                if len(shingles):
+                    samples = minhash(shingles)
+                    rows.append((doc_id, len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()), bands_of(samples, bands), odd_sketch(samples).tolist()))
+                else:
+                    rows.append((doc_id, 0, None, None, None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SIGNATURE_TYPES, strict=True)], names=_SIGNATURE_NAMES)
+
+    return run
 
 
 _SIGNATURE_NAMES = ["doc_id", "n_shingles", "set_key", "bands", "sketch"]
 _SIGNATURE_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """Per row: doc_id, size and 128-bit key of the shingle set, band keys, odd sketch (null without words)."""
     schema = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures(bands), schema)
 
 
 def _shingle_sets(needed):
@@ -269,7 +279,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     percent = round(100 * threshold)
     allowed = bits_allowed(threshold)
     with Scratch(spark) as scratch:
-        rows = scratch.settle(signatures(docs))
+        rows = scratch.settle(signatures(docs, bands_for(threshold)))
         known = rows.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
         # 1. one row per set, with a number of its own
         firsts = [F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]

@@ -1,12 +1,14 @@
 """The pipeline's stages, each judged on its own input, on the smallest tables."""
 
+import random
 from collections import Counter, defaultdict
 
 import pytest
 
-from test_odd_sketch import brute
+from test_odd_sketch import brute, shingles
 
 import corpus_pipeline
+from basketflow.llm import odd_sketch
 from basketflow.session import settle
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -43,6 +45,31 @@ def test_one_document_of_each_group(steps):
     assert {r.doc_id for r in steps[2]} == kept
 
 
+def test_near_copies_from_four_fifths_on_go(spark):
+    """Pairs of a similarity between 0.75 and 0.9, judged by comparing all pairs at 80 percent."""
+    draw = random.Random(8)
+    rows = []
+    for g in range(60):
+        base = [f"w{draw.randrange(10**6)}" for _ in range(400)]
+        copy = list(base)
+        for i in range(5 + g % 7):
+            copy[20 + 30 * i] = f"w{draw.randrange(10**6)}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    sets = {i: shingles(t) for i, t in rows}
+    share = lambda a, b: 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    linked = {b for a in sets for b in sets if a < b and share(a, b) >= 80}
+    between = {b for a in sets for b in sets if a < b and 80 <= share(a, b) < 85}
+    assert len(between) >= 15 and len(linked) < 60
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == COLUMNS and {r.doc_id for r in kept.collect()} == set(sets) - linked
+
+
+def test_bands_find_the_threshold_as_surely():
+    missed = lambda s: (1 - s**odd_sketch.ROWS) ** odd_sketch.bands_for(s)
+    assert odd_sketch.bands_for(0.85) == odd_sketch.bands_for(0.95) == odd_sketch.BANDS and missed(0.8) <= missed(0.85)
+
+
 def test_documents_with_items_go(spark, steps):
     items = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
     left = {r.doc_id for r in steps[3]}
