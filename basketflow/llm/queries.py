@@ -17,6 +17,7 @@ from basketflow.llm.norm_search import integer_vectors, top_products
 from basketflow.llm.odd_sketch import near_duplicates
 from basketflow.llm.pseudo_likelihood import pseudo_likelihood
 from basketflow.llm.temperature_mix import temperature_mix
+from basketflow.llm.token_counts import token_counts
 from basketflow.llm.zip_warc import page_records, write_packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +93,8 @@ def op8_sentence_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op6_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     kept = drop_templates(table(spark, folder, "documents"))
     return kept.select("doc_id", "lines", "lines_dropped", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+@query()
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"))
