@@ -148,3 +148,22 @@ done AS (
 SELECT d.doc_id, coalesce(lines, 0)::INT AS lines, coalesce(lines_dropped, 0)::INT AS lines_dropped, md5(kept) AS kept_md5
 FROM documents d LEFT JOIN done USING (text)
 """
+
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_CASES = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+TERM_SEARCH = rf"""
+WITH d AS (SELECT doc_id, terms, len(terms)::BIGINT AS size
+           FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_CASES}), '{_TERMS}') AS terms FROM documents) WHERE len(terms) > 0),
+c AS (SELECT count(*)::BIGINT AS documents, sum(size)::BIGINT AS total FROM d),
+q AS (SELECT item_id, term, count(*)::BIGINT AS times
+      FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_CASES}), '{_TERMS}')) AS term FROM benchmark) GROUP BY ALL),
+p AS (SELECT doc_id, size, term, count(*)::BIGINT AS tf
+      FROM (SELECT doc_id, size, unnest(terms) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY term, documents),
+s AS (SELECT q.item_id, p.doc_id,
+             sum(q.times * w.weight * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * p.size * c.documents) // c.total))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s WHERE score > 0)
+SELECT item_id, place::INT AS rank, doc_id, score FROM r WHERE place <= 10
+"""

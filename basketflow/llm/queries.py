@@ -17,6 +17,7 @@ from basketflow.llm.norm_search import integer_vectors, top_products
 from basketflow.llm.odd_sketch import near_duplicates
 from basketflow.llm.pseudo_likelihood import pseudo_likelihood
 from basketflow.llm.temperature_mix import temperature_mix
+from basketflow.llm.term_search import term_search
 from basketflow.llm.token_counts import token_counts
 from basketflow.llm.zip_warc import page_records, write_packages
 
@@ -98,3 +99,8 @@ def op6_line_templates(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"))
+
+
+@query(oracles.TERM_SEARCH)
+def op13_term_at_a_time(spark: SparkSession, folder: str) -> DataFrame:
+    return term_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
