@@ -167,3 +167,32 @@ s AS (SELECT q.item_id, p.doc_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s WHERE score > 0)
 SELECT item_id, place::INT AS rank, doc_id, score FROM r WHERE place <= 10
 """
+
+SPELLING_GROUPS = rf"""
+WITH RECURSIVE bits AS (
+    SELECT list_transform(range(0, 256), lambda i: list_reduce([0, 1, 2, 3, 4, 5, 6, 7],
+               lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS crcs),
+runs AS (SELECT doc_id, run, count(*) AS n, hex(coalesce(doc_id::VARCHAR, '') || ':' || run) AS body
+         FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_CASES}), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+         WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (
+    SELECT run, n, xor(list_reduce(range(0, length(body) // 2), lambda c, i: xor(c >> 8, crcs[xor(c & 255, ('0x' || substr(body, 2 * i + 1, 2))::BIGINT) + 1]),
+                                   4294967295), 4294967295) AS h FROM runs, bits),
+words AS (
+    SELECT word, sum(n)::BIGINT AS n
+    FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, n, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM near GROUP BY word, n),
+forms AS (SELECT word, n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM best),
+way AS (
+    SELECT word, word AS root, 0 AS steps FROM words
+    UNION ALL SELECT way.word, forms.form, steps + 1 FROM way JOIN forms ON forms.word = way.root WHERE forms.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, steps) AS root FROM way GROUP BY word)
+SELECT w.word, f.form, e.root, w.n, coalesce(f.n_near, 0)::BIGINT AS n_near, f.form_n
+FROM words w JOIN ends e USING (word) LEFT JOIN forms f USING (word)
+"""

@@ -16,6 +16,7 @@ from basketflow.llm.nbsvm import quality_scores
 from basketflow.llm.norm_search import integer_vectors, top_products
 from basketflow.llm.odd_sketch import near_duplicates
 from basketflow.llm.pseudo_likelihood import pseudo_likelihood
+from basketflow.llm.spelling_groups import spelling_groups
 from basketflow.llm.temperature_mix import temperature_mix
 from basketflow.llm.term_search import term_search
 from basketflow.llm.token_counts import token_counts
@@ -104,3 +105,8 @@ def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query(oracles.TERM_SEARCH)
 def op13_term_at_a_time(spark: SparkSession, folder: str) -> DataFrame:
     return term_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(oracles.SPELLING_GROUPS)
+def op11_trie_frontier(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_groups(table(spark, folder, "documents"))
