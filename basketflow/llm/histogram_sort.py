@@ -143,14 +143,16 @@ def shard_rows(
     bytes, round down to s: shards differ by less than twice the largest row.
     slot numbers the rows of a shard from 0 without gaps.  A null text has
     no checksum; a null doc_id comes first; equal rows differ by their number
-    and may be cut apart.  Columns named as the added ones are replaced.  The
+    and may be cut apart, as are equal texts where a shard ends among them.
+    Columns named as the added ones are replaced, all others are kept.  The
     rows are settled first, so that the rows counted are the rows exchanged.
     """
     added = ["size", "text_crc32", "shard", "slot"]
     carry = tuple(c for c in (carry or docs.columns) if c not in added)
     body = F.col("text").cast("string")
+    # whatever their names, the caller's columns stay apart from those of the sort
     prepared = docs.select(
-        *carry,
+        F.struct(*carry).alias("_carried"),
         (F.coalesce(F.octet_length(body), F.lit(0)) + 1).cast("long").alias("_size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.coalesce(md5_long(body), F.lit(-1).cast("long")).alias("_hash"),
@@ -179,7 +181,7 @@ def shard_rows(
     dealt = rows.mapInArrow(deal, schema).repartitionById(shards * parts, F.col("_part"))
     place = F.row_number().over(W.partitionBy("_part").orderBy(*_KEY))
     return dealt.select(
-        *carry,
+        *[F.col("_carried")[c].alias(c) for c in carry],
         F.col("_size").alias("size"),
         "text_crc32",
         F.floor(F.col("_part") / parts).cast("int").alias("shard"),

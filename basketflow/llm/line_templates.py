@@ -113,6 +113,13 @@ def line_templates(docs: DataFrame, scratch: Scratch, min_texts: int = MIN_TEXTS
     return shaped.join(counted, "template"), held
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, longer where a column has it already."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def _without(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     """Replaces the text by its kept lines; the last column holds the hashes of the lines to drop."""
     for batch in batches:
@@ -137,7 +144,7 @@ def drop_templates(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     Lines end at line feeds; those below MIN_TOKENS tokens and empty ones
     stay.  Texts count once however many rows repeat them.  A null text stays
     null and has no lines; an empty text has one empty line.  Columns named as
-    the added ones are replaced.  The result is settled.
+    the added ones are replaced, all others are kept.  The result is settled.
     """
     carried = [c for c in docs.columns if c not in ("lines", "lines_dropped")]
     at = carried.index("text")
@@ -145,8 +152,11 @@ def drop_templates(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
         recurring, held = line_templates(docs, scratch, min_texts)
         dropped = held.join(recurring.select("leaf", "line"), ["leaf", "line"]).groupBy("key").agg(F.collect_set("line").alias("_dropped"))
         dropped = dropped.withColumnRenamed("key", "_key")
-        rows = docs.select(*carried).withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
-        joined = rows.join(dropped, rows["_text_key"] == dropped["_key"], "left").select(*carried, "_dropped")
+        # whatever their names, the caller's columns stay apart from those of the join
+        rows = docs.select(F.struct(*carried).alias("_row"), F.xxhash64(F.col("text").cast("string")).alias("_text_key"))
+        joined = rows.join(dropped, rows["_text_key"] == dropped["_key"], "left")
+        gone = free_name("dropped", carried)
+        joined = joined.select(*[F.col("_row")[c].alias(c) for c in carried], F.col("_dropped").alias(gone))
         added = [T.StructField(c, T.IntegerType()) for c in ("lines", "lines_dropped")]
         schema = T.StructType([*docs.select(*carried).schema.fields, *added])
         return settle(joined.mapInArrow(lambda batches: _without(batches, at), schema))

@@ -72,7 +72,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
-def licence_scan() -> str:
+def licence_scan(source: str = "documents") -> str:
     """One CTE per rule: each uses up its identifiers and adds its licence."""
     from basketflow.llm.licence_rules import MARKERS, RULES, SENTENCES
 
@@ -83,7 +83,11 @@ def licence_scan() -> str:
     plain = rf"regexp_replace({plain}, '(?m)^[ \t]*[#*/%;!<>-]+[ \t]*', '', 'g')"
     plain = rf"regexp_replace({plain}, '\n[ \t]*(?:\n[ \t]*)+', chr(1), 'g')"
     plain = rf"regexp_replace({plain}, '[\t\n\x0b\f ]+', ' ', 'g')"
+    plain = rf"regexp_replace({plain}, 'copy of the license at:? ?\x01 ?(https?://)', 'copy of the license at \1', 'g')"
     plain = rf"regexp_replace({plain}, ' ?\x01 ?', chr(10) || chr(10), 'g')"
+    # signs inside known sentences are set aside while texts are cut
+    for start, sign, end, mark in (("spdx-license-identifier", ":", " ", 2), ("mozilla public license, v", ".", " 2", 3), ("without any warranty", ";", " without even ", 4)):
+        plain = f"replace({plain}, '{start}{sign}{end}', '{start}' || chr({mark}) || '{end}')"
     ids = ", ".join(f"CASE WHEN regexp_matches(s, '{p}') THEN '{name}' END" for name, p in SENTENCES)
     steps = []
     for i, (name, sequence) in enumerate(RULES):
@@ -93,9 +97,9 @@ def licence_scan() -> str:
             f"CASE WHEN contains(rest, '{text}') AND NOT list_contains(names, '{name}') THEN list_append(names, '{name}') ELSE names END AS names FROM r{i})"
         )
     return rf"""
-WITH cut AS (SELECT doc_id, string_split_regex({plain}, '[.;:!?]+(?: |$)|\n\n') AS parts FROM documents WHERE {marked("lower(text)")}),
+WITH cut AS (SELECT doc_id, string_split_regex({plain}, '[.;:!?]+(?: |$)|\n\n') AS parts FROM {source} WHERE {marked("lower(text)")}),
 found AS (
-    SELECT doc_id, flatten(list_transform(list_filter(list_transform(parts, lambda p: trim(p)), lambda s: {marked("s")}),
+    SELECT doc_id, flatten(list_transform(list_filter(list_transform(parts, lambda p: replace(replace(replace(trim(p), chr(2), ':'), chr(3), '.'), chr(4), ';')), lambda s: {marked("s")}),
            lambda s: list_filter([{ids}], lambda x: x IS NOT NULL))) AS ids FROM cut),
 r0 AS (SELECT doc_id, ids, list_aggregate(list_transform(ids, lambda x: '<' || x || '>'), 'string_agg', '') AS rest, []::VARCHAR[] AS names
        FROM found WHERE len(ids) > 0),
@@ -105,6 +109,25 @@ SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string(names,
 FROM r{len(RULES)}
 """
 
+# Licence headers as files carry them: known sentences with signs inside, and notices in several sentences.
+HEADERS = (
+    "// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: Apache-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy was not distributed, obtain one.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published; "
+    "either version 2 of the License, or (at your option) any later version.\nIt is distributed in the hope that it will be useful, "
+    "but WITHOUT ANY WARRANTY; without even the implied warranty of fitness. See the GNU General Public License for more details.",
+    "Licensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.\n"
+    "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"
+    "Software distributed under the License is distributed on an 'AS IS' BASIS.",
+)
+
+
+def headed_documents() -> str:
+    """The documents, each below one of HEADERS, by its id."""
+    lists = ", ".join("'" + h.replace("'", "''") + "'" for h in HEADERS)
+    return f"(SELECT doc_id, [{lists}][doc_id % {len(HEADERS)} + 1] || chr(10) || chr(10) || coalesce(text, '') AS text FROM documents)"
+
+
 PAGE_RECORDS = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first FROM p)

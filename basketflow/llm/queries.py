@@ -91,6 +91,16 @@ def op8_sentence_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("sentence_ids", "licences")})
 
 
+@query(oracles.licence_scan(oracles.headed_documents()))
+def op8_sentence_rules_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document below a licence header that its id chooses: sentences with inner signs, notices of several sentences."""
+    headers = F.array(*[F.lit(h) for h in oracles.HEADERS])
+    header = F.get(headers, F.pmod(F.col("doc_id"), F.lit(len(oracles.HEADERS))).cast("int"))
+    docs = table(spark, folder, "documents").select("doc_id", F.concat(header, F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    found = licence_scan(docs)
+    return found.withColumns({c: F.array_join(c, ",") for c in ("sentence_ids", "licences")})
+
+
 @query(oracles.LINE_TEMPLATES)
 def op6_line_templates(spark: SparkSession, folder: str) -> DataFrame:
     kept = drop_templates(table(spark, folder, "documents"))

@@ -152,21 +152,25 @@ def temperature_mix(
     Adds mix_tokens, mix_pass (from 0), mix_weight, mix_quota.  A source gives
     at most its quota of tokens and falls short of it by less than one
     document; rows equal in doc_id and text are taken or left together in the
-    last pass.  With ``budget_share`` None the budget is the smallest that
-    uses every document.  A null source is a source; a null or empty text is
+    last pass.  Columns named as the added ones are replaced, all others are
+    kept.  With ``budget_share`` None the budget is the smallest that uses
+    every document.  A null source is a source; a null or empty text is
     one token.  Without rows the result is empty.
     """
     with Scratch(docs.sparkSession) as scratch:
         plan = source_plan(docs, scratch, source, target_entropy, max_repeats, budget_share, seed)
     plan = plan.select(F.col("_source").alias("_mix_source"), *[F.col(c).alias(f"_mix_{c}") for c in ("weight", "quota", "passes", "cut_block", "cut_document")])
-    rows = docs.withColumn("_mix_key", _document_key()).join(plan, F.col(source).eqNullSafe(F.col("_mix_source")))
+    carried = [c for c in docs.columns if c not in ("mix_tokens", "mix_weight", "mix_quota", "mix_pass")]
+    # whatever their names, the caller's columns stay apart from those of the mix
+    rows = docs.select(F.struct(*carried).alias("_mix_row"), F.col(source).alias("_mix_from"), tokens().alias("_mix_tokens"), _document_key().alias("_mix_key"))
+    rows = rows.join(plan, F.col("_mix_from").eqNullSafe(F.col("_mix_source")))
     rows = rows.withColumn("_mix_block", _block("_mix_key"))
-    order = _block_order(source, "_mix_block", "_mix_passes", seed)
+    order = _block_order("_mix_from", "_mix_block", "_mix_passes", seed)
     place = _document_order("_mix_key", "_mix_passes", seed)
     last = (order < F.col("_mix_cut_block")) | ((order == F.col("_mix_cut_block")) & (place <= F.coalesce("_mix_cut_document", F.lit(-1))))
     times = F.col("_mix_passes") + F.coalesce(last, F.lit(False)).cast("int")
     rows = rows.withColumn("_mix_times", times).where("_mix_times > 0")
     return rows.select(
-        *docs.columns, tokens().alias("mix_tokens"), F.col("_mix_weight").alias("mix_weight"), F.col("_mix_quota").alias("mix_quota"),
+        *[F.col("_mix_row")[c].alias(c) for c in carried], F.col("_mix_tokens").alias("mix_tokens"), F.col("_mix_weight").alias("mix_weight"), F.col("_mix_quota").alias("mix_quota"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_times") - 1)).alias("mix_pass"),
     )

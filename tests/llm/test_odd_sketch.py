@@ -19,8 +19,8 @@ def shingles(text):
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
-def brute(rows):
-    """(doc_id, n, component, kept) by comparing all pairs."""
+def brute(rows, percent=85):
+    """(doc_id, n, component, kept) by comparing all pairs, linked from ``percent`` of their shingles on."""
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -34,7 +34,7 @@ def brute(rows):
             if rows[i][0] is None or rows[j][0] is None:
                 continue
             same = rows[i][0] == rows[j][0] and sets[i] and sets[j]
-            if same or (sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])):
+            if same or (sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])):
                 parent[root(i)] = root(j)
     out = []
     for i, (doc_id, _) in enumerate(rows):

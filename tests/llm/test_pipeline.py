@@ -41,7 +41,7 @@ def test_quality_drops_junk_and_little_else(spark, steps):
 
 
 def test_one_document_of_each_group(steps):
-    kept = {r[0] for r in brute([(r.doc_id, r.text) for r in steps[1]]) if r[3]}
+    kept = {r[0] for r in brute([(r.doc_id, r.text) for r in steps[1]], 80) if r[3]}
     assert {r.doc_id for r in steps[2]} == kept
 
 
