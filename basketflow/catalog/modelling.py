@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from basketflow.catalog import query, views as V
-from basketflow.catalog.sql import item_knn, metrics, part, sql, top
+from basketflow.catalog.sql import FACTOR_RANK, FACTOR_ROUNDS, FACTOR_STEPS, item_knn, metrics, part, sql, top
 from basketflow.operators import baselines as B, matrix as M
 from basketflow.operators.evaluate import all_metrics, best_model, improvement
-from basketflow.plans.evaluation import baseline_lists, truths
+from basketflow.operators.factorize import factorize, loss_table
+from basketflow.plans.evaluation import BASELINES, baseline_lists, truths
 from basketflow.session import settle
 from basketflow.sources.retail import event_lines
 
-MODELS = ("Popularity", "ItemKNN", "UserKNN")
+# Few rounds, so that SQL can follow; none of them is the last by a small gain.
+FACTORS = {"rank": FACTOR_RANK, "rounds": FACTOR_ROUNDS, "tolerance": 0.0}
 
 
 @query("m1_matrix", sql("mat", "SELECT * FROM mat"))
@@ -75,9 +77,9 @@ part("pop_lists", "pop_recs tests", "SELECT 'Popularity' AS model, query_id, ran
 
 @query("m4_popularity_metrics", sql("pop_lists truths all_items", metrics("pop_lists", "truths", V.KS)))
 def m4_metrics(spark, d):
-    queries = V.tests(spark, d)
-    lists = B.for_queries(B.recommend_popular(V.matrix(spark, d), queries.select("user_idx").distinct(), 20), queries, "Popularity")
-    out = all_metrics(lists, truths(queries), ["Popularity"], V.KS, V.n_items(spark, d))
+    v = V.Shared(spark, d)
+    lists = settle(B.for_queries(B.recommend_popular(v.matrix, v.users, 20), v.tests, "Popularity"))
+    out = all_metrics(lists, truths(v.tests), ["Popularity"], V.KS, v.n_items)
     return out.withColumn("value", F.round("value", 6))
 
 
@@ -93,9 +95,16 @@ def m5_blocks(spark, d):
 
 @query("m6_item_knn", sql("iknn_recs", "SELECT user_idx, rank, item_idx, score FROM iknn_recs"))
 def m6(spark, d):
-    knn = V.knn_matrix(spark, d)
-    profile = M.user_profile(knn, V.users(spark, d))
-    return B.recommend_item_knn(profile, M.item_similarity(knn), knn, 20, users=V.users(spark, d))
+    v = V.Shared(spark, d)
+    return B.recommend_item_knn(M.user_profile(v.knn_matrix, v.users), M.item_similarity(v.knn_matrix), v.knn_matrix, 20, users=v.users)
+
+
+@query("m6_item_knn_blocks", sql("iknn_recs", "SELECT user_idx, rank, item_idx, score FROM iknn_recs"))
+def m6_blocks(spark, d):
+    """The same lists from many small blocks, as a large catalog has them."""
+    v = V.Shared(spark, d)
+    profile = M.user_profile(v.knn_matrix, v.users)
+    return B.recommend_item_knn(profile, M.item_similarity(v.knn_matrix), v.knn_matrix, 20, users=v.users, left_rows=40, right_entries=1500)
 
 
 part("strangers", "iknn_pop", "SELECT -1::BIGINT AS user_idx, item_idx, round(0.01 * pop, 9) AS score FROM iknn_pop")
@@ -104,9 +113,9 @@ part("strangers", "iknn_pop", "SELECT -1::BIGINT AS user_idx, item_idx, round(0.
 @query("m6_users_without_profile", sql("iknn_recs strangers", f"""
 SELECT user_idx, rank, item_idx, score FROM iknn_recs UNION ALL SELECT user_idx, rank, item_idx, score FROM ({top('strangers', 20, 'user_idx')})"""))
 def m6_strangers(spark, d):
-    knn, users = V.knn_matrix(spark, d), V.users(spark, d)
-    everyone = users.union(users.limit(1).select(F.lit(-1).cast("long")))
-    return B.recommend_item_knn(M.user_profile(knn, users), M.item_similarity(knn), knn, 20, users=everyone)
+    v = V.Shared(spark, d)
+    everyone = v.users.union(v.users.limit(1).select(F.lit(-1).cast("long")))
+    return B.recommend_item_knn(M.user_profile(v.knn_matrix, v.users), M.item_similarity(v.knn_matrix), v.knn_matrix, 20, users=everyone)
 
 
 @query("m7_user_similarity", sql("usim", "SELECT a, b, round(similarity, 6) AS similarity FROM usim WHERE a < b"))
@@ -116,14 +125,51 @@ def m7(spark, d):
 
 @query("m8_nearest_users", sql("uknn_near", "SELECT user_idx, neighbor, round(similarity, 9) AS similarity, rank FROM uknn_near"))
 def m8_near(spark, d):
-    near = B.nearest_users(M.user_similarity(V.matrix(spark, d)), V.users(spark, d))
+    v = V.Shared(spark, d)
+    return B.nearest_users(v.matrix, v.users).withColumn("similarity", F.round("similarity", 9))
+
+
+@query("m8_nearest_users_blocks", sql("uknn_near", "SELECT user_idx, neighbor, round(similarity, 9) AS similarity, rank FROM uknn_near"))
+def m8_near_blocks(spark, d):
+    """The same neighbors from many small blocks, as many users have them."""
+    v = V.Shared(spark, d)
+    near = B.nearest_users(v.matrix, v.users, left_rows=40, right_entries=1000)
     return near.withColumn("similarity", F.round("similarity", 9))
 
 
 @query("m8_user_knn", sql("uknn_recs", "SELECT user_idx, rank, item_idx, score FROM uknn_recs"))
 def m8(spark, d):
-    rows = V.matrix(spark, d)
-    return B.recommend_user_knn(rows, M.user_similarity(rows), V.users(spark, d), 20)
+    v = V.Shared(spark, d)
+    return B.recommend_user_knn(v.matrix, v.users, 20)
+
+
+def _factors(spark, d, rows):
+    return factorize(rows, **FACTORS, steps=FACTOR_STEPS)
+
+
+@query("m9_factor_loss", sql("mf_losses", "SELECT round, round(loss, 4) AS loss FROM mf_losses"))
+def m9_loss(spark, d):
+    """The squared error over all cells before the first round and after each."""
+    return loss_table(_factors(spark, d, V.matrix(spark, d)), spark).withColumn("loss", F.round("loss", 4))
+
+
+@query("m9_factor_vectors", sql("mf_users mf_items", """
+SELECT 'user' AS side, user_idx AS id, round(sum(x), 6) AS total, round(sum(x * (k + 1)), 6) AS weighted FROM mf_users GROUP BY 2
+UNION ALL SELECT 'item', item_idx, round(sum(x), 6), round(sum(x * (k + 1)), 6) FROM mf_items GROUP BY 2"""))
+def m9_vectors(spark, d):
+    """Every user's and item's factors, as two sums that name their values and places."""
+    model = _factors(spark, d, V.matrix(spark, d))
+    total = F.aggregate("vector", F.lit(0.0), lambda t, x: t + x)
+    placed = F.aggregate(F.transform("vector", lambda x, k: x * (k + 1)), F.lit(0.0), lambda t, x: t + x)
+    shown = lambda rows, side, ident: rows.select(
+        F.lit(side).alias("side"), F.col(ident).alias("id"), F.round(total, 6).alias("total"), F.round(placed, 6).alias("weighted"))
+    return shown(model.users, "user", "user_idx").unionByName(shown(model.items, "item", "item_idx"))
+
+
+@query("m9_factor_recommendations", sql("mf_recs", "SELECT user_idx, rank, item_idx, round(score, 6) AS score FROM mf_recs"))
+def m9_recs(spark, d):
+    v = V.Shared(spark, d)
+    return B.factor_lists(_factors(spark, d, v.matrix), v.matrix, v.users, 20).withColumn("score", F.round("score", 6))
 
 
 @query("m9_factor_lists", sql("users mat", """
@@ -132,10 +178,10 @@ SELECT u.user_idx, least(10, (SELECT count(DISTINCT item_idx) FROM mat) - count(
 FROM (SELECT user_idx FROM users SEMI JOIN mat USING (user_idx)) u
 LEFT JOIN mat m ON m.user_idx = u.user_idx AND m.weight <> 0 GROUP BY 1"""))
 def m9(spark, d):
-    """What holds of every trained list: k or all unseen items, none seen, dense ranks, falling scores."""
-    rows = V.matrix(spark, d)
-    lists = settle(B.recommend_factors(rows, V.users(spark, d), 10))
-    seen = rows.where("weight <> 0").select("user_idx", "item_idx", F.lit(1).alias("was_seen"))
+    """What holds of every trained list, here of the operator's own number of rounds: k or all unseen items, none seen, dense ranks, falling scores."""
+    v = V.Shared(spark, d)
+    lists = settle(B.recommend_factors(v.matrix, v.users, 10))
+    seen = v.matrix.where("weight <> 0").select("user_idx", "item_idx", F.lit(1).alias("was_seen"))
     marked = lists.join(seen, ["user_idx", "item_idx"], "left")
     later = F.lead("score").over(W.partitionBy("user_idx").orderBy("rank"))
     marked = marked.withColumn("falls", F.coalesce(later <= F.col("score"), F.lit(True)))
@@ -145,9 +191,9 @@ def m9(spark, d):
 
 
 def _baseline_metrics(spark, d):
-    queries = V.tests(spark, d)
-    lists = baseline_lists(V.matrix(spark, d), queries, max(V.KS), V.knn_matrix(spark, d), MODELS)
-    return all_metrics(lists, truths(queries), MODELS, V.KS, V.n_items(spark, d))
+    v = V.Shared(spark, d)
+    lists = baseline_lists(v.matrix, v.tests, max(V.KS), v.knn_matrix, **FACTORS)
+    return all_metrics(lists, truths(v.tests), BASELINES, V.KS, v.n_items)
 
 
 BASELINE_METRICS = metrics("lists", "truths", V.KS)
@@ -181,8 +227,8 @@ part("sknn_some", "sknn_scores", "SELECT * FROM sknn_scores WHERE raw_score > 0"
 
 @query("m13_item_knn_summary", sql("sknn_some", f"SELECT user_idx, rank, item_idx, score FROM ({top('sknn_some', 10, 'user_idx')})"))
 def m13(spark, d):
-    knn, profile = V.knn_matrix(spark, d), M.user_profile(V.matrix(spark, d), V.users(spark, d))
-    return B.recommend_item_knn(profile, M.item_similarity(knn), knn, 10, alpha=0.0)
+    v = V.Shared(spark, d)
+    return B.recommend_item_knn(M.user_profile(v.matrix, v.users), M.item_similarity(v.knn_matrix), v.knn_matrix, 10, alpha=0.0)
 
 
 @query("k2_top_items_per_user", sql("mat", f"SELECT user_idx, rank, item_idx, score FROM ({top('(SELECT user_idx, item_idx, weight AS score FROM mat)', 5, 'user_idx')})"))

@@ -23,18 +23,11 @@ def price(spark, d):
     return R.price_feature(T.item_catalog(rows), T.item_id_map(rows))
 
 
-def features(spark, d):
-    pop = R.popularity_feature(V.split(spark, d, "train"))
-    return R.build_features(candidates(spark, d), V.vectors(spark, d), pop, price(spark, d))
-
-
-def plain_features(spark, d, queries=None):
-    """Without the price column, which needs the sales lines."""
-    pop = R.popularity_feature(V.split(spark, d, "train"))
-    return R.build_features(candidates(spark, d) if queries is None else queries, V.vectors(spark, d), pop)
-
-
-part("plain", "feat", "SELECT * REPLACE (0.0::DOUBLE AS price_z) FROM feat")
+def features(spark, d, queries=None):
+    """All five features; ``queries`` with candidates default to those of the test split."""
+    v = V.Shared(spark, d)
+    queries = candidate_lists(v.tests, v.vectors, V.K_CANDS) if queries is None else queries
+    return R.build_features(queries, v.vectors, R.popularity_feature(v.split("train")), price(spark, d))
 
 
 @query("a4_popularity_feature", sql("pop_feat", "SELECT item_idx, round(pop, 6) AS pop FROM pop_feat"))
@@ -81,26 +74,26 @@ def r8(spark, d):
 
 def _picked(order: str, n: int) -> str:
     return f"""SELECT query_id, item_idx, label, row_number() OVER (PARTITION BY query_id ORDER BY label DESC, {order}, item_idx) AS rank
-FROM plain QUALIFY rank <= {n + 1}"""
+FROM feat QUALIFY rank <= {n + 1}"""
 
 
-@query("k6_hard_negatives", sql("plain", _picked("round(dot_uv, 9) DESC", 5)))
+@query("k6_hard_negatives", sql("feat", _picked("round(dot_uv, 9) DESC", 5)))
 def k6(spark, d):
-    return R.hard_negatives(plain_features(spark, d), 5).select("query_id", "item_idx", "label", "rank")
+    return R.hard_negatives(features(spark, d), 5).select("query_id", "item_idx", "label", "rank")
 
 
-@query("k7_random_negatives", sql("plain", _picked(mixed("42", "query_id", "item_idx"), 5)))
+@query("k7_random_negatives", sql("feat", _picked(mixed("42", "query_id", "item_idx"), 5)))
 def k7(spark, d):
-    return R.random_negatives(plain_features(spark, d), 5).select("query_id", "item_idx", "label", "rank")
+    return R.random_negatives(features(spark, d), 5).select("query_id", "item_idx", "label", "rank")
 
 
 def _masked(col: str, seed: int) -> str:
     return f"round(CASE WHEN {mixed(str(seed), 'query_id', 'item_idx')} / 2147483647.0::DOUBLE > 0.3 THEN {col} ELSE 0 END, 6) AS {col}"
 
 
-@query("r9_masked_features", sql("plain", f"SELECT query_id, item_idx, {_masked('dot_uv', 42)}, {_masked('max_sim_recent', 43)} FROM plain"))
+@query("r9_masked_features", sql("feat", f"SELECT query_id, item_idx, {_masked('dot_uv', 42)}, {_masked('max_sim_recent', 43)} FROM feat"))
 def r9(spark, d):
-    rows = R.mask_features(plain_features(spark, d), ("dot_uv", "max_sim_recent"))
+    rows = R.mask_features(features(spark, d), ("dot_uv", "max_sim_recent"))
     return rows.select("query_id", "item_idx", *V.six("dot_uv", "max_sim_recent"))
 
 
@@ -145,61 +138,60 @@ def _wide_deep(source: str) -> str:
 
 
 def _scores(inner: str) -> str:
-    return sql("plain", f"SELECT query_id, item_idx, round(score, 6) AS score FROM ({inner})")
+    return sql("feat", f"SELECT query_id, item_idx, round(score, 6) AS score FROM ({inner})")
 
 
 def _scored(spark, d, ranker):
-    return S.score_features(plain_features(spark, d), ranker)
+    return S.score_features(features(spark, d), ranker)
 
 
 def _shown(rows):
     return rows.select("query_id", "item_idx", *V.six("score"))
 
 
-@query("r10_dense_ranker", _scores(_dense_first("plain")))
+@query("r10_dense_ranker", _scores(_dense_first("feat")))
 def r10(spark, d):
     return _shown(_scored(spark, d, first))
 
 
-@query("r10_dense_ranker_norm_last", _scores(_dense_last("plain")))
+@query("r10_dense_ranker_norm_last", _scores(_dense_last("feat")))
 def r10_last(spark, d):
     return _shown(_scored(spark, d, last))
 
 
-@query("r11_cross_ranker", _scores(_crossed("plain")))
+@query("r11_cross_ranker", _scores(_crossed("feat")))
 def r11(spark, d):
     return _shown(_scored(spark, d, cross))
 
 
-@query("r11_cross_columns", sql("plain", f"""
-SELECT query_id, item_idx, round(c2[1], 6) AS cross_dot_uv, round(c2[5], 6) AS cross_price_z FROM ({_crossed('plain')})"""))
+@query("r11_cross_columns", sql("feat", f"""
+SELECT query_id, item_idx, round(c2[1], 6) AS cross_dot_uv, round(c2[5], 6) AS cross_price_z FROM ({_crossed('feat')})"""))
 def r11_columns(spark, d):
-    rows = S.cross_columns(plain_features(spark, d), [(w.tolist(), b.tolist()) for w, b in cross.cross])
+    rows = S.cross_columns(features(spark, d), [(w.tolist(), b.tolist()) for w, b in cross.cross])
     return rows.select("query_id", "item_idx", *V.six("cross_dot_uv", "cross_price_z"))
 
 
-@query("r12_wide_ranker", _scores(_wide_deep("plain")))
+@query("r12_wide_ranker", _scores(_wide_deep("feat")))
 def r12(spark, d):
     return _shown(_scored(spark, d, wide))
 
 
-@query("r12_wide_column", sql("plain", f"SELECT query_id, item_idx, round(wide, 6) AS wide FROM ({_wide_deep('plain')})"))
+@query("r12_wide_column", sql("feat", f"SELECT query_id, item_idx, round(wide, 6) AS wide FROM ({_wide_deep('feat')})"))
 def r12_column(spark, d):
-    rows = S.wide_column(plain_features(spark, d), wide.wide[0][0].tolist(), float(wide.wide[1][0]))
+    rows = S.wide_column(features(spark, d), wide.wide[0][0].tolist(), float(wide.wide[1][0]))
     return rows.select("query_id", "item_idx", *V.six("wide"))
 
 
-@query("r13_trained_ranker", sql("plain", "SELECT query_id, item_idx, true AS is_probability FROM plain"))
+@query("r13_trained_ranker", sql("feat", "SELECT query_id, item_idx, true AS is_probability FROM feat"))
 def r13(spark, d):
-    pop, vectors = R.popularity_feature(V.split(spark, d, "train")), V.vectors(spark, d)
-    train = R.build_features(candidate_lists(V.split(spark, d, "val"), vectors, V.K_CANDS), vectors, pop)
+    train = features(spark, d, candidate_lists(V.split(spark, d, "val"), V.vectors(spark, d), V.K_CANDS))
     model = S.fit_ranker(R.hard_negatives(train, 20), (128, 64), iterations=20)
-    scored = S.score_with(model, plain_features(spark, d))
+    scored = S.score_with(model, features(spark, d))
     return scored.select("query_id", "item_idx", F.col("score").between(0, 1).alias("is_probability"))
 
 
-part("dense_scores", "plain", f"SELECT query_id, item_idx, slot, label, round(score, 9) AS score FROM ({_dense_first('plain')})")
-part("cross_scores", "plain", f"SELECT query_id, item_idx, slot, label, round(score, 9) AS score FROM ({_crossed('plain')})")
+part("dense_scores", "feat", f"SELECT query_id, item_idx, slot, label, round(score, 9) AS score FROM ({_dense_first('feat')})")
+part("cross_scores", "feat", f"SELECT query_id, item_idx, slot, label, round(score, 9) AS score FROM ({_crossed('feat')})")
 
 
 @query("r14_reranked", sql("dense_scores", top("dense_scores", 10)))
@@ -212,7 +204,7 @@ SELECT query_id, rank, item_idx, score FROM ({top('dense_scores', 10)}) WHERE qu
 def r15(spark, d):
     rows = candidates(spark, d)
     one = rows.orderBy("query_id").limit(1)
-    return R.rerank(S.score_features(plain_features(spark, d, one), first), 10)
+    return R.rerank(S.score_features(features(spark, d, one), first), 10)
 
 
 part("some_scores", "dense_scores", "SELECT * FROM dense_scores WHERE query_id % 3 <> 0")
@@ -246,7 +238,7 @@ def _register_mix(method: str, combine: str) -> None:
     @query(f"r17_rankers_{method}", sql(f"mix_{method}", top(f"mix_{method}", 10)))
     def r17(spark, d):
         queries = settle(candidates(spark, d))
-        rows = settle(plain_features(spark, d, queries))
+        rows = settle(features(spark, d, queries))
         ranked = {name: R.rerank(S.score_features(rows, ranker), 10) for name, ranker in (("dense", first), ("cross", cross))}
         return R.mix_rankers(queries, ranked, 10, {"dense": 2.0, "cross": 1.0}, method)
 

@@ -19,10 +19,13 @@ def mixed(seed: str, *cols: str) -> str:
 
 
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {}
+ONCE: set[str] = set()  # parts that are computed once, however often they are read
 
 
-def part(name: str, needs: str, body: str) -> None:
+def part(name: str, needs: str, body: str, once: bool = False) -> None:
     PARTS[name] = (tuple(needs.split()), body)
+    if once:
+        ONCE.add(name)
 
 
 def sql(needs: str, body: str) -> str:
@@ -39,7 +42,8 @@ def sql(needs: str, body: str) -> str:
         add(name)
     if not chosen:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({PARTS[n][1]})" for n in chosen) + "\n" + body
+    kept = lambda n: "MATERIALIZED " if n in ONCE else ""
+    return "WITH " + ",\n".join(f"{n} AS {kept(n)}({PARTS[n][1]})" for n in chosen) + "\n" + body
 
 
 # ---- sales lines ------------------------------------------------------------------------------
@@ -108,14 +112,18 @@ FROM (SELECT *, list(item_idx) OVER (PARTITION BY user_idx ORDER BY ts, event_id
              last_value(country) OVER (PARTITION BY user_idx ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_country
       FROM ev), cutoffs WHERE len(history) >= 2""")
 part("train", "seq", "SELECT * FROM seq WHERE split = 'train'")
-part("tests", "seq", "SELECT query_id, user_idx, history, pos_item_idx, ts FROM seq WHERE split = 'test'")
+# Parts that belong to one evaluated split: those of the test split have no prefix.
+SPLITS = {"": "test", "val_": "val"}
+for _p, _split in SPLITS.items():
+    part(f"{_p}tests", "seq", f"SELECT query_id, user_idx, history, pos_item_idx, ts FROM seq WHERE split = '{_split}'")
+    part(f"{_p}users", f"{_p}tests", f"SELECT DISTINCT user_idx FROM {_p}tests")
+    part(f"{_p}truths", f"{_p}tests", f"SELECT query_id, pos_item_idx AS truth FROM {_p}tests")
 part("mat", "train", """
 SELECT user_idx, item_idx, sum(w) AS weight FROM (
   SELECT user_idx, pos_item_idx AS item_idx, 1.0::DOUBLE AS w FROM train
   UNION ALL SELECT user_idx, unnest(history), 0.5::DOUBLE FROM train) GROUP BY ALL""")
 part("knn", "ev train", """
 SELECT user_idx, item_idx, count(*)::DOUBLE AS weight FROM ev WHERE ts <= (SELECT max(ts) FROM train) GROUP BY ALL""")
-part("users", "tests", "SELECT DISTINCT user_idx FROM tests")
 part("all_items", "ev", "SELECT DISTINCT item_idx FROM ev")
 
 
@@ -139,18 +147,14 @@ FROM {source} QUALIFY rank <= {k}"""
 
 
 part("pop", "mat", "SELECT item_idx, sum(weight) AS pop FROM mat GROUP BY 1")
-part("pop_scores", "users pop mat", """
-SELECT u.user_idx, p.item_idx, p.pop AS score FROM users u, pop p
-WHERE NOT EXISTS (SELECT 1 FROM mat m WHERE m.user_idx = u.user_idx AND m.item_idx = p.item_idx AND m.weight <> 0)""")
-part("pop_recs", "pop_scores", top("pop_scores", 20, "user_idx"))
 
 
-def item_knn(name: str, profile: str, base: str, sim: str, alpha: float) -> None:
+def item_knn(name: str, profile: str, base: str, sim: str, alpha: float, users: str = "users") -> None:
     part(f"{name}_pop", base, f"""
 SELECT item_idx, sum(weight) / max(sum(weight)) OVER () AS pop FROM {base} GROUP BY item_idx""")
-    part(f"{name}_scores", f"users {profile} {sim} {name}_pop", f"""
+    part(f"{name}_scores", f"{users} {profile} {sim} {name}_pop", f"""
 SELECT u.user_idx, p.item_idx, round(coalesce(s.score, 0) + {alpha} * p.pop, 9) AS score, coalesce(s.score, 0) AS raw_score
-FROM users u CROSS JOIN {name}_pop p
+FROM {users} u CROSS JOIN {name}_pop p
 LEFT JOIN (SELECT f.user_idx, s.b AS item_idx, sum(f.weight * s.similarity) AS score
            FROM {profile} f JOIN {sim} s ON s.a = f.item_idx GROUP BY 1, 2) s
   ON s.user_idx = u.user_idx AND s.item_idx = p.item_idx
@@ -158,17 +162,77 @@ WHERE NOT EXISTS (SELECT 1 FROM {profile} m WHERE m.user_idx = u.user_idx AND m.
     part(f"{name}_recs", f"{name}_scores", top(f"{name}_scores", 20, "user_idx"))
 
 
-item_knn("iknn", "knn", "knn", "ksim", 0.01)
-part("uknn_near", "usim users", """
+def factors(name: str, source: str, rank: int, rounds: int, steps: int, seed: int = 42) -> None:
+    """Non-negative factors of a whole table by multiplicative updates from a start that a rule gives: (id, k, x) and the losses."""
+    ids = {"w": "user_idx", "h": "item_idx"}
+    part(f"{name}_size", source, f"""
+SELECT count(DISTINCT user_idx) AS n_users, count(DISTINCT item_idx) AS n_items, sum(weight) AS total, sum(weight * weight) AS squares FROM {source}""", True)
+    for turn, (side, ident) in enumerate(ids.items()):
+        part(f"{name}_{side}", f"{source} {name}_size", f"""
+SELECT {ident}, k, ({mixed(str(seed + turn), ident, 'k')} / 2147483647.0::DOUBLE + 0.5) * sqrt(total / (n_users * n_items) / {rank}) AS x
+FROM (SELECT DISTINCT {ident} FROM {source} WHERE weight <> 0), range({rank}) r(k), {name}_size""", True)
+    now = {side: f"{name}_{side}" for side in ids}
+    losses = []
+
+    def gram(side: str) -> str:
+        out = f"{now[side]}_gram"
+        part(out, now[side], f"SELECT a.k, b.k AS l, sum(a.x * b.x) AS g FROM {now[side]} a JOIN {now[side]} b USING ({ids[side]}) GROUP BY ALL", True)
+        return out
+
+    def loss(round_: int) -> None:
+        # over all cells: squares of the table, less twice the products at its cells, plus those of the factors
+        grams = gram("w"), gram("h")
+        out = f"{name}_loss{round_}"
+        part(out, f"{source} {now['w']} {now['h']} {' '.join(grams)} {name}_size", f"""
+SELECT {round_}::BIGINT AS round, squares - 2 * (SELECT sum(c.weight * w.x * h.x) FROM {source} c JOIN {now['w']} w USING (user_idx) JOIN {now['h']} h
+  ON h.item_idx = c.item_idx AND h.k = w.k) + (SELECT sum(a.g * b.g) FROM {grams[0]} a JOIN {grams[1]} b USING (k, l)) AS loss FROM {name}_size""")
+        losses.append(out)
+
+    loss(0)
+    for round_ in range(1, rounds + 1):
+        for side, other in (("w", "h"), ("h", "w")):
+            ident, fixed = ids[side], now[other]
+            products, grams = f"{name}_{side}{round_}_products", gram(other)
+            part(products, f"{source} {fixed}", f"SELECT c.{ident}, f.k, sum(c.weight * f.x) AS n FROM {source} c JOIN {fixed} f USING ({ids[other]}) GROUP BY ALL", True)
+            for step in range(steps):
+                out = f"{name}_{side}{round_}_{step}"
+                part(out, f"{now[side]} {products} {grams}", f"""
+SELECT x.{ident}, x.k, x.x * n.n / greatest(d.d, 1e-12) AS x FROM {now[side]} x JOIN {products} n USING ({ident}, k)
+JOIN (SELECT y.{ident}, g.l AS k, sum(y.x * g.g) AS d FROM {now[side]} y JOIN {grams} g ON g.k = y.k GROUP BY ALL) d USING ({ident}, k)""", True)
+                now[side] = out
+        loss(round_)
+    part(f"{name}_users", now["w"], f"SELECT * FROM {now['w']}")
+    part(f"{name}_items", now["h"], f"SELECT * FROM {now['h']}")
+    part(f"{name}_losses", " ".join(losses), " UNION ALL ".join(f"SELECT * FROM {t}" for t in losses))
+
+
+# What the queries fit: the rank of the operator's default, and few rounds, so that SQL can follow.
+FACTOR_RANK, FACTOR_ROUNDS, FACTOR_STEPS = 50, 6, 5
+factors("mf", "mat", FACTOR_RANK, FACTOR_ROUNDS, FACTOR_STEPS)
+for _p in SPLITS:
+    part(f"{_p}pop_scores", f"{_p}users pop mat", f"""
+SELECT u.user_idx, p.item_idx, p.pop AS score FROM {_p}users u, pop p
+WHERE NOT EXISTS (SELECT 1 FROM mat m WHERE m.user_idx = u.user_idx AND m.item_idx = p.item_idx AND m.weight <> 0)""")
+    part(f"{_p}pop_recs", f"{_p}pop_scores", top(f"{_p}pop_scores", 20, "user_idx"))
+    item_knn(f"{_p}iknn", "knn", "knn", "ksim", 0.01, f"{_p}users")
+    part(f"{_p}uknn_near", f"usim {_p}users", f"""
 SELECT a AS user_idx, b AS neighbor, similarity,
        row_number() OVER (PARTITION BY a ORDER BY round(similarity, 9) DESC, b) AS rank
-FROM usim SEMI JOIN users ON users.user_idx = usim.a WHERE similarity > 0 QUALIFY rank <= 50""")
-part("uknn_scores", "uknn_near mat", """
+FROM usim SEMI JOIN {_p}users u ON u.user_idx = usim.a WHERE similarity > 0 QUALIFY rank <= 50""")
+    part(f"{_p}uknn_scores", f"{_p}uknn_near mat", f"""
 SELECT n.user_idx, m.item_idx, round(sum(n.similarity * m.weight), 9) AS score
-FROM uknn_near n JOIN mat m ON m.user_idx = n.neighbor
+FROM {_p}uknn_near n JOIN mat m ON m.user_idx = n.neighbor
 WHERE NOT EXISTS (SELECT 1 FROM mat s WHERE s.user_idx = n.user_idx AND s.item_idx = m.item_idx AND s.weight <> 0)
 GROUP BY 1, 2 HAVING sum(n.similarity * m.weight) > 0""")
-part("uknn_recs", "uknn_scores", top("uknn_scores", 20, "user_idx"))
+    part(f"{_p}uknn_recs", f"{_p}uknn_scores", top(f"{_p}uknn_scores", 20, "user_idx"))
+    part(f"{_p}mf_scores", f"{_p}users mf_users mf_items mat", f"""
+SELECT w.user_idx, h.item_idx, round(sum(w.x * h.x), 9) AS score
+FROM {_p}users u JOIN mf_users w USING (user_idx) JOIN mf_items h USING (k)
+WHERE NOT EXISTS (SELECT 1 FROM mat m WHERE m.user_idx = w.user_idx AND m.item_idx = h.item_idx AND m.weight <> 0) GROUP BY 1, 2""")
+    part(f"{_p}mf_recs", f"{_p}mf_scores", top(f"{_p}mf_scores", 20, "user_idx"))
+    part(f"{_p}lists", f"{_p}pop_recs {_p}iknn_recs {_p}uknn_recs {_p}mf_recs {_p}tests", " UNION ALL ".join(
+        f"SELECT '{_name}' AS model, query_id, rank, item_idx FROM {_p}tests JOIN {_p}{_recs}_recs USING (user_idx)"
+        for _name, _recs in (("Popularity", "pop"), ("ItemKNN", "iknn"), ("UserKNN", "uknn"), ("MatrixFactorization", "mf"))))
 
 
 # ---- metrics ----------------------------------------------------------------------------------
@@ -191,12 +255,6 @@ FROM {lists} CROSS JOIN {k} ks GROUP BY 1, 3"""
     return out
 
 
-part("truths", "tests", "SELECT query_id, pos_item_idx AS truth FROM tests")
-part("lists", "pop_recs iknn_recs uknn_recs tests", """
-SELECT 'Popularity' AS model, query_id, rank, item_idx FROM tests JOIN pop_recs USING (user_idx)
-UNION ALL SELECT 'ItemKNN', query_id, rank, item_idx FROM tests JOIN iknn_recs USING (user_idx)
-UNION ALL SELECT 'UserKNN', query_id, rank, item_idx FROM tests JOIN uknn_recs USING (user_idx)""")
-
 # ---- vectors ----------------------------------------------------------------------------------
 part("vec", "", """
 SELECT vec_id AS item_idx, embedding::DOUBLE[] AS v,
@@ -216,9 +274,11 @@ SELECT query_id, [x / greatest(sqrt(list_dot_product(v, v)), 1e-8) FOR x IN v] A
 
 
 history_vectors("hv", "seq")
-history_vectors("tv", "tests")
+for _p in SPLITS:
+    history_vectors(f"{_p}tv", f"{_p}tests")
 part("near_scores", "hv vec", "SELECT query_id, item_idx, round(list_dot_product(hv.v, vec.u), 9) AS score FROM hv, vec")
-part("test_scores", "tv vec", "SELECT query_id, item_idx, round(list_dot_product(tv.v, vec.u), 9) AS score FROM tv, vec")
+for _p in SPLITS:
+    part(f"{_p}test_scores", f"{_p}tv vec", f"SELECT query_id, item_idx, round(list_dot_product(t.v, vec.u), 9) AS score FROM {_p}tv t, vec")
 K_CANDS = 200
 
 
@@ -230,7 +290,8 @@ SELECT s.query_id, s.history, s.pos_item_idx, s.ts,
 FROM {source} s JOIN (SELECT query_id, list(item_idx ORDER BY rank) AS c FROM {name}_top GROUP BY 1) l USING (query_id)""")
 
 
-candidates("cands", "test_scores", "tests", K_CANDS)
+for _p in SPLITS:
+    candidates(f"{_p}cands", f"{_p}test_scores", f"{_p}tests", K_CANDS)
 part("pop_feat", "train", """
 SELECT item_idx, (n - min(n) OVER ()) / (max(n) OVER () - min(n) OVER () + 1e-9) AS pop
 FROM (SELECT pos_item_idx AS item_idx, count(*) AS n FROM train GROUP BY 1)""")
@@ -259,7 +320,8 @@ JOIN {name}_sims s ON s.query_id = p.query_id AND s.item_idx = p.item_idx
 {f'LEFT JOIN {price} zf ON zf.item_idx = p.item_idx' if price else ''}""")
 
 
-features("feat", "cands", "tv", "pop_feat", "price_feat")
+for _p in SPLITS:
+    features(f"{_p}feat", f"{_p}cands", f"{_p}tv", "pop_feat", "price_feat")
 
 
 # ---- rankers ----------------------------------------------------------------------------------

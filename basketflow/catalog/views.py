@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +65,48 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return item_vectors(spark, d)
 
 
+class Shared:
+    """The derived tables of one query, each built and settled once however often it is read."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def sequences(self) -> DataFrame:
+        return settle(sequences(self.spark, self.d))
+
+    def split(self, *names: str) -> DataFrame:
+        return of_split(self.sequences, *names)
+
+    @property
+    def tests(self) -> DataFrame:
+        return self.split("test")
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return settle(self.tests.select("user_idx").distinct())
+
+    @cached_property
+    def matrix(self) -> DataFrame:
+        return settle(interaction_matrix(self.split("train")))
+
+    @cached_property
+    def knn_matrix(self) -> DataFrame:
+        return settle(count_matrix(event_lines(self.spark, self.d), self.sequences))
+
+    @cached_property
+    def n_items(self) -> int:
+        return n_items(self.spark, self.d)
+
+    @property
+    def vectors(self) -> DataFrame:
+        return vectors(self.spark, self.d)
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        return clean(self.spark, self.d)
+
+
 def six(*names: str):
     return [F.round(n, 6).alias(n) for n in names]
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketflow.functions.vectors import SCORE_DIGITS
+from basketflow.operators.factorize import Factors, factorize
 from basketflow.operators.matrix import both_directions, lengths
-from basketflow.operators.ordering import row_index, top_rows
-from basketflow.operators.retrieval import block_scores, fit_factors, top_items
-from basketflow.session import settle
+from basketflow.operators.neighbors import nearest_rows, profiles, sparse_products
+from basketflow.operators.ordering import row_index
+from basketflow.operators.retrieval import block_scores, top_items
 
 KNN_NEIGHBORS = 50
 POP_ALPHA = 0.01
@@ -85,65 +86,73 @@ def recommend_item_knn(
     seen: DataFrame | None = None,
     key: str = "user_idx",
     users: DataFrame | None = None,
+    **blocks,
 ) -> DataFrame:
     """k unseen items by Σ profile weight · similarity + alpha · scaled popularity.
 
     ``profile`` has (key, item_idx, weight); seen defaults to the profile's
     items.  ``users`` (key) defaults to those with a profile; one without a
-    profile is ranked by the popularity term alone.  Items without any similar profile item differ only by popularity,
-    so the most popular unseen ones stand in for all of them.
+    profile is ranked by the popularity term alone.  Profiles meet blocks of
+    similarity columns; of each block the k + (number seen) best items leave,
+    so k unseen ones are among them: users · (k + seen) · blocks rows at most.
     """
-    seen = profile.where(F.col("weight") > 0).select(key, "item_idx") if seen is None else seen
+    seen = profile.where(F.col("weight") > 0).select(key, "item_idx") if seen is None else seen.select(key, "item_idx").distinct()
+    people = (profile if users is None else users).select(key).distinct()
+    counts = seen.groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias("_seen"))
+    nothing = lambda kind: F.array().cast(f"array<{kind}>")
+    left = people.withColumnRenamed(key, "id").join(profiles(profile, key, "item_idx"), "id", "left").join(counts, "id", "left")
+    left = left.select("id", (F.coalesce("_seen", F.lit(0)) + k).alias("want"), F.coalesce("keys", nothing("bigint")).alias("keys"),
+                       F.coalesce("weights", nothing("double")).alias("weights"))
     full = both_directions(similarity, lengths(matrix, "item_idx"))
-    scored = profile.join(full.withColumnRenamed("a", "item_idx"), "item_idx").groupBy(key, F.col("b").alias("item_idx"))
-    scored = scored.agg(F.sum(F.col("weight") * F.col("similarity")).alias("score"))
+    right = full.select(F.col("a").alias("key"), F.col("b").alias("id"), F.col("similarity").alias("value"))
     if alpha:
-        ranked = settle(ranked_popularity(scaled_popularity(matrix)))
-        filler = enough_popular(profile if users is None else users, ranked, seen, k, key).select(key, "item_idx", F.lit(0.0).alias("score"))
-        scored = scored.unionByName(filler).groupBy(key, "item_idx").agg(F.sum("score").alias("score"))
-        scored = scored.join(ranked.select("item_idx", "pop"), "item_idx", "left")
-        scored = scored.withColumn("score", F.col("score") + alpha * F.coalesce("pop", F.lit(0.0)))
-    rows = scored.join(seen, [key, "item_idx"], "left_anti").withColumn("score", F.round("score", SCORE_DIGITS))
-    return top_items(rows, k, key)
+        popular = scaled_popularity(matrix).select(F.lit(None).cast("long").alias("key"), F.col("item_idx").alias("id"), (alpha * F.col("pop")).alias("value"))
+        right = right.unionByName(popular)
+    found = sparse_products(left, right, **blocks)
+    rows = found.select(F.col("id").alias(key), F.col("other").alias("item_idx"), F.round("score", SCORE_DIGITS).alias("score"))
+    return top_items(rows.join(seen, [key, "item_idx"], "left_anti"), k, key)
 
 
-def nearest_users(similarity: DataFrame, users: DataFrame, n: int = KNN_NEIGHBORS) -> DataFrame:
+def nearest_users(matrix: DataFrame, users: DataFrame, n: int = KNN_NEIGHBORS, **blocks) -> DataFrame:
     """``(user_idx, neighbor, similarity, rank)``: the n most similar other users, similarity above 0."""
-    pairs = both_directions(similarity).where(F.col("similarity") > 0)
-    pairs = pairs.select(F.col("a").alias("user_idx"), F.col("b").alias("neighbor"),
-                         "similarity")
-    pairs = pairs.join(users.select("user_idx"), "user_idx", "left_semi")
-    return top_rows(pairs, ["user_idx"], [F.round("similarity", SCORE_DIGITS).desc(), F.col("neighbor")], n)
+    return nearest_rows(matrix, users, n, **blocks)
 
 
 def recommend_user_knn(
     matrix: DataFrame,
-    similarity: DataFrame,
     users: DataFrame,
     k: int,
     neighbors: int = KNN_NEIGHBORS,
     seen: DataFrame | None = None,
+    near: DataFrame | None = None,
 ) -> DataFrame:
-    """k unseen items by Σ similarity · weight over each user's nearest users."""
-    near = nearest_users(similarity, users, neighbors).select("user_idx", "neighbor", "similarity")
+    """k unseen items by Σ similarity · weight over each user's nearest users (``near``, default those of the matrix)."""
+    near = nearest_users(matrix, users, neighbors) if near is None else near
     rows = matrix.select(F.col("user_idx").alias("neighbor"), "item_idx", "weight")
-    scored = near.join(rows, "neighbor").groupBy("user_idx", "item_idx")
+    scored = near.select("user_idx", "neighbor", "similarity").join(rows, "neighbor").groupBy("user_idx", "item_idx")
     scored = scored.agg(F.round(F.sum(F.col("similarity") * F.col("weight")), SCORE_DIGITS).alias("score"))
     seen = seen_by(users, matrix) if seen is None else seen
     return top_items(scored.where(F.col("score") > 0).join(seen, ["user_idx", "item_idx"], "left_anti"), k, "user_idx")
 
 
-def recommend_factors(matrix: DataFrame, users: DataFrame, k: int, rank: int = 50, seed: int = 42) -> DataFrame:
-    """k unseen items by the product of non-negative user and item factors."""
-    model = fit_factors(matrix, rank, seed)
+def recommend_factors(
+    matrix: DataFrame, users: DataFrame, k: int, rank: int = 50, seed: int = 42, rounds: int = 40, tolerance: float = 1e-4
+) -> DataFrame:
+    """k unseen items by the product of non-negative factors of the whole table, zeros included.
+
+    Users without a cell have no factors and no list.
+    """
+    return factor_lists(factorize(matrix, rank, rounds, tolerance=tolerance, seed=seed), matrix, users, k)
+
+
+def factor_lists(factors: Factors, matrix: DataFrame, users: DataFrame, k: int) -> DataFrame:
+    """k unseen items per user by the product of its factors with those of the items; one model serves any users."""
     known = users.select("user_idx").distinct()
-    vectors = model.userFactors.select(F.col("id").cast("long").alias("query_id"), F.col("features").alias("vector"))
-    items = model.itemFactors.select(F.col("id").cast("long").alias("item_idx"), F.col("features").alias("vector"))
-    vectors = vectors.join(known.withColumnRenamed("user_idx", "query_id"), "query_id", "left_semi")
+    vectors = factors.users.withColumnRenamed("user_idx", "query_id").join(known.withColumnRenamed("user_idx", "query_id"), "query_id", "left_semi")
     seen = seen_by(known, matrix).withColumnRenamed("user_idx", "query_id")
     more = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("_more"))
     vectors = vectors.join(more, "query_id", "left").withColumn("want", F.coalesce("_more", F.lit(0)) + k).drop("_more")
-    scores = block_scores(vectors, items, k, "dot").join(seen, ["query_id", "item_idx"], "left_anti")
+    scores = block_scores(vectors, factors.items, k, "dot").join(seen, ["query_id", "item_idx"], "left_anti")
     return top_items(scores, k).withColumnRenamed("query_id", "user_idx")
 
 

@@ -68,7 +68,7 @@ def history_vectors(
 
 # ---- block search -----------------------------------------------------------------------------
 
-def _best(scores: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def best_columns(scores: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the k best scores per row; ties go to the lower column."""
     n_rows, n_cols = scores.shape
     most = int(min(k.max(initial=0), n_cols))
@@ -103,7 +103,7 @@ def _block_scorer(metric: str):
                 else:
                     found = part @ v.T
                 found = np.round(found, SCORE_DIGITS) + 0.0
-                rows, cols = _best(found, want[at:at + CHUNK])
+                rows, cols = best_columns(found, want[at:at + CHUNK])
                 ids.append(query_ids[at + rows])
                 items.append(item_ids[cols])
                 values.append(found[rows, cols])

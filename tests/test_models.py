@@ -82,7 +82,7 @@ def test_item_knn(spark):
 def test_user_knn(spark):
     df, cells = random_matrix(spark)
     users = spark.createDataFrame([(u,) for u in range(60)], "user_idx long")
-    got = lists(B.recommend_user_knn(df, M.user_similarity(df), users, 4, neighbors=7))
+    got = lists(B.recommend_user_knn(df, users, 4, neighbors=7))
     sim = cosines(cells)
     for u in range(60):
         near = sorted((v for v in range(60) if v != u and sim[u, v] > 0), key=lambda v: (-round(sim[u, v], 9), v))[:7]
