@@ -7,7 +7,8 @@ and ``ends`` names the words that end at the child.  The frontier is a table of
 states (word, rest, node): what of the word is still to be matched below a
 node after its one edit.  Each round joins it with the edge table: labels that
 begin the rest of a word lead one level down, others end the state.  A state
-whose rest is empty at the end of a word has found a neighbor.
+whose rest is empty at the end of a word has found a neighbor.  Edges know the
+characters that begin the edges below them, so most states end without a join.
 
 A word's own nodes are its states without an edit.  They open the walk where
 at least half of the word is matched: an edge that leaves the word's own path
@@ -27,6 +28,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -131,64 +133,79 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["id", "side", "depth", "node", "following"])
 
 
+def _bit(code: str) -> str:
+    """One of 64 bits for a character; characters that share one make no difference to the result."""
+    return f"shiftleft(1L, {code} & 63)"
+
+
 def trie_paths(words: DataFrame, scratch: Scratch) -> DataFrame:
     """The path of each word through the trie, from the first node that a walk may reach.
 
-    Rows (id, side, rest, depth, node, label, child, ends): the rest of the
-    word below the node, and the edge that the word takes from there; label,
-    child and ends are null at the word's end.  Nodes without a branch, where
-    no word ends, are left out.
+    Rows (id, side, rest, depth, size, node, branches, heads, label, child,
+    ends, below): the rest of the word below the node, whether several edges
+    leave the node, the bits of the characters they begin with, and the edge
+    that the word takes from there, with the bits below its child; those are
+    null at the word's end.  Nodes without a branch, where no word ends, are
+    left out.
     """
     prefixes = scratch.settle(words.select("id", "word").mapInArrow(_prefixes, "id long, side int, depth int, node long, following int"))
-    kept = prefixes.groupBy("node").agg(F.min("following").alias("least"), F.max("following").alias("most"))
-    kept = kept.where("least < most OR least = -1").select("node")
-    nodes = prefixes.join(kept, "node", "left_semi").select("id", "side", "depth", "node")
+    onward = F.col("following") >= 0
+    kept = prefixes.groupBy("node").agg(
+        F.min("following").alias("least"), F.max("following").alias("most"), F.min(F.when(onward, F.col("following"))).alias("first"),
+        F.bit_or(F.when(onward, F.expr(_bit("following"))).otherwise(F.lit(0).cast("long"))).alias("heads"))
+    kept = kept.where("least < most OR least = -1").select("node", (F.coalesce("first", F.lit(-1)) < F.col("most")).alias("branches"), "heads")
+    nodes = prefixes.join(kept, "node").select("id", "side", "depth", "node", "branches", "heads")
     below = W.partitionBy("id", "side").orderBy("depth")
-    nodes = nodes.withColumns({"to": F.lead("depth").over(below), "child": F.lead("node").over(below)})
+    nodes = nodes.withColumns({"to": F.lead("depth").over(below), "child": F.lead("node").over(below), "below": F.lead("heads").over(below)})
     text = F.when(F.col("side") == 0, F.col("word")).otherwise(F.reverse("word"))
     rows = nodes.join(words.select("id", "word"), "id").withColumn("text", text)
-    return scratch.settle(rows.select(
-        "id", "side", F.expr("substring(text, depth + 1)").alias("rest"), "depth", F.length("word").alias("size"), "node",
+    paths = scratch.settle(rows.select(
+        "id", "side", F.expr("substring(text, depth + 1)").alias("rest"), "depth", F.length("word").alias("size"), "node", "branches", "heads",
         F.expr("substring(text, depth + 1, to - depth)").alias("label"), "child",
-        F.when(F.col("to") == F.length("word"), F.col("id")).alias("ends")))
+        F.when(F.col("to") == F.length("word"), F.col("id")).alias("ends"), "below"))
+    scratch.drop(prefixes)
+    return paths
 
 
 def near_pairs(words: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(a, b)``: ids of all pairs of different words of ``words`` (id, word) exactly one edit apart, each pair once."""
+    """``(a, b)``: ids of pairs of different words of ``words`` (id, word), each once: all that are one edit apart.
+
+    Two prefixes that share a hash may add pairs that are further apart, and
+    lose none; the caller compares the words.
+    """
     paths = trie_paths(words, scratch)
-    edges = paths.where("child IS NOT NULL").groupBy("node", "label", "child").agg(F.collect_set("ends").alias("ends"))
+    # of two words that end at one node, whose hashes then are equal, both are named
+    edges = paths.where("child IS NOT NULL").groupBy("node", "label", "child", "below").agg(F.min("ends").alias("ends"), F.max("ends").alias("last"))
     # the first character apart: a state with an edit takes only edges that begin with its next one
     edges = scratch.settle(edges.withColumn("head", F.expr("left(label, 1)")))
     start = F.when(F.col("side") == 0, F.floor(F.col("size") / 2)).otherwise(F.ceil(F.col("size") / 2))
-    own = paths.where(F.col("depth") >= start).select("id", "rest", "node")
+    own = paths.where((F.col("depth") >= start) & (F.col("branches") | ((F.col("rest") == "") & (F.col("heads") != 0)))).select("id", "rest", "node")
+
+    # A state goes on if an edge below may begin with its next character, or if it is at the end of a word.
+    alive = F.expr(f"CASE WHEN rest = '' THEN ends IS NOT NULL ELSE below & {_bit('ascii(rest)')} <> 0 END")
+    state = lambda rows: rows.where(alive).select("id", "rest", F.col("child").alias("node"), "ends", "last")
 
     # The first edit: an edge beside the word's own path.
-    rest, label, tail = F.col("rest"), F.col("label"), F.expr("substring(label, 2)")
-    after = F.expr("substring(rest, 2)")
-    other = (rest != "") & (F.col("head") > F.expr("left(rest, 1)")) & after.startswith(tail)
+    rest, tail = F.col("rest"), F.expr("substring(label, 2)")
+    other = (rest != "") & (F.col("head") > F.expr("left(rest, 1)")) & F.expr("substring(rest, 2)").startswith(tail)
     more = (F.col("head") != F.expr("left(rest, 1)")) & rest.startswith(tail)
-    left_over = lambda text, used: F.expr(f"substring({text}, length({used}) + 1)")
-    options = F.array(
-        F.when(other, left_over("rest", "label")),
-        F.when(more, F.expr("substring(rest, length(label))")),
-    )
-    opened = own.join(edges, "node").where(other | more).select("id", "child", "ends", F.explode(F.array_compact(options)).alias("rest"))
-
-    found, states = [], opened
+    options = F.array(F.when(other, F.expr("substring(rest, length(label) + 1)")), F.when(more, F.expr("substring(rest, length(label))")))
+    opened = own.join(edges, "node").where(other | more)
+    states = scratch.settle(state(opened.select("id", "child", "below", "ends", "last", F.explode(F.array_compact(options)).alias("rest"))))
+    scratch.drop(paths)
+
+    found = []
     while True:
-        states = scratch.settle(states.select("id", "rest", F.col("child").alias("node"), "ends").distinct())
-        ended = states.where((F.col("rest") == "") & (F.size("ends") > 0)).select("id", F.explode("ends").alias("near"))
-        found.append(ended)
+        ended = states.where("rest = ''").select("id", F.explode(F.array("ends", "last")).alias("near"))
+        found.append(scratch.settle(ended.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).where("a <> b").distinct()))
         going = states.where("rest <> ''").select("id", "rest", "node", F.expr("left(rest, 1)").alias("head"))
         if going.isEmpty():
-            break
-        states = going.join(edges, ["node", "head"]).where(rest.startswith(label))
-        states = states.select("id", "child", "ends", left_over("rest", "label").alias("rest"))
-    pairs = found[0]
-    for more_found in found[1:]:
-        pairs = pairs.union(more_found)
-    pairs = pairs.select(F.least("id", "near").alias("a"), F.greatest("id", "near").alias("b")).where("a <> b").distinct()
-    return pairs
+            return reduce(DataFrame.union, found).distinct()
+        met = going.join(edges, ["node", "head"]).where(rest.startswith(F.col("label")))
+        following = state(met.select("id", "child", "below", "ends", "last", F.expr("substring(rest, length(label) + 1)").alias("rest")))
+        following = scratch.settle(following)
+        scratch.drop(states)
+        states = following
 
 
 # ---- forms ------------------------------------------------------------------------------------
