@@ -8,7 +8,7 @@ from basketflow.catalog import query, views as V
 from basketflow.catalog.sql import candidates as define_candidates, history_vectors as define_vectors, part, sql, top
 from basketflow.functions import vectors as X
 from basketflow.functions.text import format_id_list
-from basketflow.operators import retrieval as R
+from basketflow.operators import graph as G, retrieval as R
 from basketflow.operators.sequences import valid_items
 from basketflow.session import fresh_path, settle
 
@@ -109,28 +109,43 @@ def e5(spark, d):
     )
 
 
-def _against_exact(found):
-    """Whether the scores are the exact cosines, and whether a share of the exact neighbors of all queries is found."""
-    def judged(spark, d, share):
-        exact = settle(R.nearest_items(_self_queries(spark, d), V.vectors(spark, d), 500))
-        mine = settle(found(spark, d))
-        both = mine.join(exact.select("query_id", "item_idx", F.col("score").alias("true"), F.col("rank").alias("place")), ["query_id", "item_idx"])
-        right = both.agg(F.count(F.lit(1)).alias("known"), F.max(F.abs(F.col("score") - F.col("true"))).alias("off"),
-                         F.sum((F.col("place") <= 10).cast("long")).alias("near"))
-        total = mine.agg(F.count(F.lit(1))).scalar()
-        wanted = exact.where("rank <= 10").agg(F.count(F.lit(1))).scalar()
-        return right.select((F.col("known") == total).alias("all_known"), (F.col("off") <= 1e-6).alias("exact_scores"),
-                            (F.col("near") >= share * wanted).alias("enough_found"))
-    return judged
+RECALL = 0.9
+
+
+def _judged(spark, d, found):
+    """Per query how many items are listed, and whether their scores are the exact cosines; whether all lists together hold RECALL of the exact ones."""
+    mine, units = settle(found), settle(R.unit_vectors(V.vectors(spark, d)))
+    pairs = mine.join(units.withColumnRenamed("vector", "theirs"), "item_idx").join(units.select(F.col("item_idx").alias("query_id"), "vector"), "query_id")
+    off = F.abs(F.col("score") - X.dot(F.col("vector"), F.col("theirs")))
+    exact = R.nearest_items(_self_queries(spark, d), V.vectors(spark, d), 10)
+    near = mine.join(exact.select("query_id", "item_idx", F.lit(1).alias("is_near")), ["query_id", "item_idx"], "left")
+    recall = near.agg(F.count("is_near") / F.count(F.lit(1))).scalar()
+    lists = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("listed"), (F.max(off) <= 1e-6).alias("exact_scores"))
+    return lists.withColumn("recall_reached", recall >= RECALL)
+
+
+LISTS = "SELECT vec_id AS query_id, 10::BIGINT AS listed, true AS exact_scores, true AS recall_reached FROM embeddings"
+
+
+def _recall_per_query(spark, d, found):
+    exact = R.nearest_items(_self_queries(spark, d), V.vectors(spark, d), 10).select("query_id", "item_idx")
+    near = exact.join(found.select("query_id", "item_idx", F.lit(1).alias("is_found")), ["query_id", "item_idx"], "left")
+    return near.groupBy("query_id").agg((F.count("is_found") / F.count(F.lit(1))).alias("recall"))
 
 
 def _by_cell(spark, d):
-    return R.nearest_by_cell(_self_queries(spark, d), R.CellIndex.build(V.vectors(spark, d), 16), 10, 8)
+    return R.nearest_by_cell(_self_queries(spark, d), R.CellIndex.build(V.vectors(spark, d), 16), 10, 11)
 
 
-@query("e6_nearest_by_cell", "SELECT true AS all_known, true AS exact_scores, true AS enough_found")
+@query("e6_nearest_by_cell", LISTS)
 def e6(spark, d):
-    return _against_exact(_by_cell)(spark, d, 0.8)
+    return _judged(spark, d, _by_cell(spark, d))
+
+
+@query("e6_recall_per_query")
+def e6_recall(spark, d):
+    """The share of the exact ten nearest that each query's list holds."""
+    return _recall_per_query(spark, d, _by_cell(spark, d))
 
 
 @query("e6_all_cells_probed", sql("self_scores", ranked("self_scores", 10)))
@@ -138,13 +153,32 @@ def e6_all(spark, d):
     return R.nearest_by_cell(_self_queries(spark, d), R.CellIndex.build(V.vectors(spark, d), 8), 10, 8)
 
 
-def _by_hash(spark, d):
-    return R.nearest_by_hash(_self_queries(spark, d), V.vectors(spark, d), 10)
+@query("e7_nearest_by_hash", LISTS)
+def e7(spark, d):
+    return _judged(spark, d, R.nearest_by_hash(_self_queries(spark, d), V.vectors(spark, d), 10, tables=6))
 
 
-@query("e7_nearest_by_hash", "SELECT true AS all_known, true AS exact_scores, true AS enough_found")
-def e7(spark, d):
-    return _against_exact(_by_hash)(spark, d, 0.8)
+def _by_graph(spark, d):
+    return G.nearest_by_graph(_self_queries(spark, d), G.NeighborGraph.build(V.vectors(spark, d)), 10)
+
+
+@query("e7_neighbor_graph", LISTS)
+def e7_graph(spark, d):
+    return _judged(spark, d, _by_graph(spark, d))
+
+
+@query("e7_graph_lists")
+def e7_lists(spark, d):
+    """The lists that the graph gives; recall is judged by e7_neighbor_graph."""
+    return _by_graph(spark, d)
+
+
+@query("e7_graph_edges", "SELECT vec_id AS id, 16::BIGINT AS degree, true AS ordered, true AS no_loop FROM embeddings")
+def e7_edges(spark, d):
+    """What holds of every node of a built graph: as many edges as asked for, none to itself, each to another node."""
+    edges = G.NeighborGraph.build(V.vectors(spark, d)).edges
+    return edges.groupBy("id").agg(
+        F.count(F.lit(1)).alias("degree"), (F.countDistinct("near") == F.count(F.lit(1))).alias("ordered"), F.bool_and(F.col("id") != F.col("near")).alias("no_loop"))
 
 
 @query("e8_nearest_for_histories", sql("near_scores", ranked("near_scores", 10)))

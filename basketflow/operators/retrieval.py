@@ -338,17 +338,17 @@ def nearest_by_cell(queries: DataFrame, index: CellIndex, k: int, probes: int) -
     queries = settle(unit_vectors(queries.select("query_id", "vector")))
     near = nearest_items(queries, index.centers, probes, "l2")
     probed = queries.join(near.select("query_id", F.col("item_idx").cast("int").alias("cell")), "query_id")
-    found = settle(top_items(block_scores(probed, index.vectors, k, "cosine", ["cell"]), k))
-    full = found.where(F.col("rank") == k).select("query_id")
-    short = queries.join(full, "query_id", "left_anti")
-    again = top_items(block_scores(short, index.vectors, k, "cosine"), k)
-    return found.join(full, "query_id", "left_semi").unionByName(again)
+    found = top_items(block_scores(probed, index.vectors, k, "cosine", ["cell"]), k)
+    return _filled(queries, found, index.vectors, k)
 
 
 def nearest_by_hash(
     queries: DataFrame, items: DataFrame, k: int, bucket_length: float = 1.0, tables: int = 4, seed: int = 42
 ) -> DataFrame:
-    """The k best items among those that share a hash bucket with the query in some table."""
+    """The k best items among those that share a hash bucket with the query in some table.
+
+    A query whose buckets hold fewer than k items is searched exactly, so every query gets k items where there are k.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import vector_to_array
 
@@ -364,8 +364,18 @@ def nearest_by_hash(
         marks = F.array(*[mark(t) for t in range(tables)])
         return model.transform(_ml_vectors(df)).select(*df.columns, F.inline(marks))
 
+    queries = settle(queries.select("query_id", "vector"))
     scores = block_scores(buckets(queries), buckets(items), k, "cosine", ["table", "bucket"])
-    return top_items(scores.dropDuplicates(["query_id", "item_idx"]), k)
+    return _filled(queries, top_items(scores.dropDuplicates(["query_id", "item_idx"]), k), items, k)
+
+
+def _filled(queries: DataFrame, found: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """``found`` with exact lists for the queries that have fewer than k items there."""
+    found = settle(found)
+    full = found.where(F.col("rank") == k).select("query_id")
+    short = queries.join(full, "query_id", "left_anti")
+    again = top_items(block_scores(short, items, k, "cosine"), k)
+    return found.join(full, "query_id", "left_semi").unionByName(again)
 
 
 def trained_vectors(matrix: DataFrame, rank: int = 64, seed: int = 42, iterations: int = 10) -> tuple[DataFrame, DataFrame]:
