@@ -264,6 +264,36 @@ def f15(spark, d):
     return C.quality_counts(V.priced(spark, d), STRICT)
 
 
+# Lines that fail every rule: no description, a returned, a negative or a free line, by their customer and item.
+FAILING = {
+    "description": ("customer_id % 37 = 0", "NULL"), "quantity": ("CAST(stock_code AS BIGINT) % 23 = 0", "-quantity"),
+    "price": ("CAST(stock_code AS BIGINT) % 29 = 0", "0.0"),
+}
+
+
+def _failing(spark, d):
+    rows = V.priced(spark, d)
+    return rows.withColumns({c: F.expr(f"CASE WHEN {when} THEN {value} ELSE {c} END") for c, (when, value) in FAILING.items()})
+
+
+part("rough", "priced", "SELECT * REPLACE (" + ", ".join(f"CASE WHEN {w} THEN {v} ELSE {c} END AS {c}" for c, (w, v) in FAILING.items()) + ") FROM priced")
+part("rough_named", "rough", "SELECT * FROM rough WHERE description IS NOT NULL")
+part("rough_sold", "rough_named", "SELECT * FROM rough_named WHERE NOT starts_with(unique_transaction, 'C')")
+part("rough_some", "rough_sold", "SELECT * FROM rough_sold WHERE quantity > 0")
+part("rough_paid", "rough_some", "SELECT * FROM rough_some WHERE price > 0")
+
+
+@query("f15_failing_rules", sql("rough rough_named rough_sold rough_some rough_paid", f"""
+SELECT * FROM (VALUES
+  (0::BIGINT, 'drop_missing_core', (SELECT count(*) FROM priced WHERE customer_id % 37 = 0)), (1, 'drop_returns', {n('rough_named')} - {n('rough_sold')}),
+  (2, 'drop_nonpositive_qty', {n('rough_sold')} - {n('rough_some')}), (3, 'drop_nonpositive_price', {n('rough_some')} - {n('rough_paid')}),
+  (4, 'drop_duplicates', {n('rough_paid')} - (SELECT count(*) FROM (SELECT DISTINCT * FROM rough_paid)))
+) t(ordinal, step, rows_removed)"""))
+def f15_failing(spark, d):
+    """The counters of the row rules over lines of which many fail, some of them several rules."""
+    return C.quality_counts(_failing(spark, d)).where("ordinal <= 4")
+
+
 @query("f16_size_checks", sql("clean", """
 SELECT "check", actual, minimum, actual >= minimum AS ok FROM (
   SELECT 'interactions' AS "check", count(*) AS actual, 1000::BIGINT AS minimum FROM clean
@@ -328,6 +358,19 @@ def a3(spark, d):
     return T.customer_table(V.clean(spark, d)).withColumn("total_spent", F.round("total_spent", 4))
 
 
+part("two_countries", "clean", "SELECT * REPLACE (CASE WHEN quantity > 20 THEN 'Elsewhere' ELSE country END AS country) FROM clean")
+
+
+@query("a3_two_countries", sql("two_countries", """
+SELECT customer_id, arg_min(country, (-n, country)) AS country_mode, count(*) AS countries
+FROM (SELECT customer_id, country, count(*) AS n FROM two_countries GROUP BY ALL) GROUP BY 1"""))
+def a3_countries(spark, d):
+    """The usual country of customers who bought in two, some as often in both."""
+    rows = V.clean(spark, d).withColumn("country", F.when(F.col("quantity") > 20, "Elsewhere").otherwise(F.col("country")))
+    countries = rows.groupBy("customer_id").agg(F.countDistinct("country").alias("countries"))
+    return T.customer_table(rows).select("customer_id", "country_mode").join(countries, "customer_id")
+
+
 @query("a9_histograms", sql("clean", """
 SELECT "column", bin, round(lo + bin * w, 9) AS low, round(lo + (bin + 1) * w, 9) AS high, count(*) AS n FROM (
   SELECT "column", lo, w, least(floor((value - lo) / w), 49)::BIGINT AS bin FROM (

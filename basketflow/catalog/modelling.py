@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from basketflow.catalog import query, views as V
 from basketflow.catalog.sql import FACTOR_RANK, FACTOR_ROUNDS, FACTOR_STEPS, item_knn, metrics, part, sql, top
 from basketflow.operators import baselines as B, matrix as M
-from basketflow.operators.evaluate import all_metrics, best_model, improvement
+from basketflow.operators.evaluate import all_metrics, best_model, distinct_items, improvement
 from basketflow.operators.factorize import factorize, loss_table
 from basketflow.plans.evaluation import BASELINES, baseline_lists, truths
 from basketflow.session import settle
@@ -240,5 +240,5 @@ def k2(spark, d):
 
 @query("u4_recommended_items", sql("pop_recs", "SELECT count(DISTINCT item_idx) AS n FROM pop_recs"))
 def u4(spark, d):
-    recs = B.recommend_popular(V.matrix(spark, d), V.users(spark, d), 20)
-    return recs.agg(F.countDistinct("item_idx").alias("n"))
+    v = V.Shared(spark, d)
+    return distinct_items(B.recommend_popular(v.matrix, v.users, 20))

@@ -69,8 +69,18 @@ def _day(text: Column) -> Column:
         a, b, c = (F.get(pieces, F.lit(i)) for i in range(3))
         x, y, z = (p.try_cast("int") for p in (a, b, c))
         made = lambda year, month, day: F.struct(year.alias("year"), month.alias("month"), day.alias("day"))
+        yearless, first = F.lit(YEARLESS_YEAR), F.lit(1)
+        # a month's name with a day or a year of four digits, or year and month; a missing day is the first
+        two = (
+            F.when(x.isNull() & (F.length(b) == 4), made(y, _month(a), first))
+            .when(x.isNull(), made(yearless, _month(a), y))
+            .when((F.length(a) == 4) & y.isNotNull(), made(x, y, first))
+            .when(F.length(a) == 4, made(x, _month(b), first))
+            .when((F.length(b) == 4) & y.isNotNull(), made(y, x, first))
+            .when(y.isNull(), made(yearless, _month(b), x))
+        )
         return (
-            F.when(F.size(pieces) == 2, F.when(F.length(a) == 3, made(F.lit(YEARLESS_YEAR), _month(a), y)))
+            F.when(F.size(pieces) == 2, two)
             .when(F.size(pieces) != 3, F.lit(None))
             .when((F.length(a) == 4) & x.isNotNull() & ((z > 12) | (text.rlike(ISO) & (y <= 12))), made(x, y, z))
             .when((F.length(a) == 4) & x.isNotNull(), made(x, z, y))

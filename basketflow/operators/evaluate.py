@@ -72,15 +72,29 @@ def ranking_metrics(ranks: DataFrame, ks: Sequence[int], models: Sequence[str] |
     return _tidy(_of_every(models, ranks.groupBy("model").agg(*columns)), ["model"], cells)
 
 
+def _item_bits(k: int | None) -> Column:
+    """A bitmap of the items of one bucket, of those up to rank ``k``."""
+    place = F.bitmap_bit_position("item_idx")
+    return F.bitmap_construct_agg(place if k is None else F.when(F.col("rank") <= k, place))
+
+
 def coverage_metrics(lists: DataFrame, n_items: int, ks: Sequence[int], models: Sequence[str] | None = None) -> DataFrame:
     """Share of the catalog that occurs in some list's first k entries; 0 for those of ``models`` without lists.
 
-    Each item's best rank is found first, so all K come from one row per item.
+    Items are bits: a task sends one bitmap per model, K and bucket of 32,768
+    items, whatever the number of lists, and bitmaps are joined and counted.
     """
-    best = lists.groupBy("model", "item_idx").agg(F.min("rank").alias("best"))
+    buckets = lists.groupBy("model", F.bitmap_bucket_number("item_idx").alias("_bucket"))
+    buckets = buckets.agg(*[_item_bits(k).alias(f"b{k}") for k in ks])
     cells = {("Coverage", k): f"c{k}" for k in ks}
-    share = [(F.sum((F.col("best") <= k).cast("long")) / float(max(n_items, 1))).alias(f"c{k}") for k in ks]
-    return _tidy(_of_every(models, best.groupBy("model").agg(*share)), ["model"], cells)
+    share = [(F.sum(F.bitmap_count(f"b{k}")) / float(max(n_items, 1))).alias(f"c{k}") for k in ks]
+    return _tidy(_of_every(models, buckets.groupBy("model").agg(*share)), ["model"], cells)
+
+
+def distinct_items(lists: DataFrame) -> DataFrame:
+    """``(n)``: how many different items the lists hold, counted in bitmaps."""
+    buckets = lists.groupBy(F.bitmap_bucket_number("item_idx").alias("_bucket")).agg(_item_bits(None).alias("bits"))
+    return buckets.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))
 
 
 def id_diversity(lists: DataFrame, ks: Sequence[int], models: Sequence[str] | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from basketflow.session import settle
 
 
-def _laid_out(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def lay_out(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Rows in range partitions of ``order``, tagged with partition and position.
 
     The number of partitions is that of any shuffle, so small tables take the same way as large ones.
@@ -46,7 +46,7 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 def row_index(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Adds 0, 1, 2, … in ``order``, which must leave no ties."""
-    rows = _laid_out(df, order)
+    rows = lay_out(df, order)
     # One row per range partition: bounded by the partition count, whatever the data.
     starts = F.broadcast(_starts(rows).select("_part", "_start"))
     return rows.join(starts, "_part").select(*df.columns, (F.col("_start") + F.col("_pos")).cast("long").alias(name))
@@ -54,7 +54,7 @@ def row_index(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], weight: str, name: str) -> DataFrame:
     """Adds the sum of ``weight`` over the rows of the same keys that come earlier in ``order``."""
-    rows = _laid_out(df, [*map(F.col, keys), *order])
+    rows = lay_out(df, [*map(F.col, keys), *order])
     sums = rows.groupBy("_part", *keys).agg(F.sum(weight).alias("_sum"))
     carried = sums.withColumn("_carried", _earlier("_sum", W.partitionBy(*keys).orderBy("_part")))
     # Of the keys of a partition only its first one can have begun before it: one row per partition at most.
@@ -70,11 +70,17 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[Column], w
 
 
 def previous_values(df: DataFrame, key: str, order: Sequence[str], value: str, name: str, count: int) -> DataFrame:
-    """Adds the array of the ``count`` values of the same key just before each row.
+    """Adds the array of the ``count`` values of the same key just before each row."""
+    rows = lay_out(df, [F.col(c) for c in (key, *order)])
+    return previous_in_layout(rows, key, value, name, count)
+
+
+def previous_in_layout(rows: DataFrame, key: str, value: str, name: str, count: int) -> DataFrame:
+    """``previous_values`` of rows that ``lay_out`` has put in the order of key and time.
 
     The last ``count`` rows before a range partition are copied into it as context.
     """
-    rows = _laid_out(df, [F.col(c) for c in (key, *order)])
+    columns = [c for c in rows.columns if c not in ("_part", "_pos")]
     # One row per range partition, with the next ones: no more than `count` of them can begin so near.
     after = F.collect_list(F.struct("_start", "_part")).over(W.orderBy("_part").rowsBetween(1, count))
     starts = _starts(rows).withColumn("_next", after)
@@ -88,7 +94,7 @@ def previous_values(df: DataFrame, key: str, order: Sequence[str], value: str, n
         rows.withColumn("_run", F.explode(runs))
         .withColumn(name, F.collect_list(value).over(in_run))
         .where(F.col("_run") == F.col("_part"))
-        .select(*df.columns, name)
+        .select(*columns, name)
     )
 
 

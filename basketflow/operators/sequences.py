@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from basketflow.functions.dates import micros
 from basketflow.functions.text import format_id_list, parse_id_list
-from basketflow.operators.ordering import previous_values, row_index
+from basketflow.operators.ordering import lay_out, previous_in_layout, row_index
 from basketflow.operators.quantiles import exact_quantiles
-from basketflow.session import settle
 
 MAX_HISTORY = 15
 MIN_HISTORY = 2
@@ -52,9 +51,11 @@ def build_sequences(
     order = ["ts", tie]
     extra = [query_id] if query_id and query_id != tie else []
     country = ["country"] if "country" in lines.columns else []
-    # Read by the layout, the cutoffs and the countries.
-    lines = settle(lines.where(F.col("ts").isNotNull()).select("customer_id", "user_idx", "item_idx", *order, *extra, *country))
-    samples = previous_values(lines.drop("country"), "user_idx", order, "item_idx", "history", max_history)
+    lines = lines.where(F.col("ts").isNotNull()).select("customer_id", "user_idx", "item_idx", *order, *extra, *country)
+    # One layout, written once, serves histories, cutoffs and countries.
+    rows = lay_out(lines, [F.col(c) for c in ("user_idx", *order)])
+    lines = rows.select(*lines.columns)
+    samples = previous_in_layout(rows.drop("country"), "user_idx", "item_idx", "history", max_history)
     samples = samples.where(F.size("history") >= min_history)
     samples = samples.withColumn("split", split_of(F.col("ts"), time_cutoffs(lines, "ts", (train_share, val_share))))
     if "country" in lines.columns:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketflow.operators.ordering import row_index
-from basketflow.operators.quantiles import grouped_medians
+from basketflow.operators.quantiles import grouped_prices
 from basketflow.schemas import INTERACTIONS
 
 
@@ -38,12 +38,10 @@ def modes(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 
 def item_catalog(interactions: DataFrame) -> DataFrame:
-    prices = interactions.groupBy("stock_code").agg(
-        F.avg("price").alias("price_mean"), F.count(F.lit(1)).alias("popularity")
-    )
-    medians = grouped_medians(interactions, ["stock_code"], "price", "price_median")
+    """Per item the usual attributes, median and mean price and the number of lines."""
+    prices = grouped_prices(interactions, ["stock_code"], "price", "price_median", "price_mean", "popularity")
     attributes = modes(interactions, "stock_code", ["description", "brand", "category", "vendor"])
-    return prices.join(medians, "stock_code", "left").join(attributes, "stock_code", "left").select(
+    return prices.join(attributes, "stock_code", "left").select(
         "stock_code", "description", "price_median", "price_mean", "popularity", "brand", "category", "vendor"
     )
 

@@ -139,3 +139,37 @@ def test_medians_of_hot_and_usual_keys(spark):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         got = {r["k"]: r["m"] for r in grouped_medians(rows, ["k"], "v", "m").collect()}
         assert all(math.isclose(got[k], np.median(values[keys == k])) for k in set(keys.tolist()))
+
+
+@pytest.mark.parametrize("limit", [3, 40, 20_000])
+def test_quantiles_by_narrowing(spark, monkeypatch, limit):
+    """Several columns, hot values, infinities, nulls and NaN; brackets of a few rows as well as one of all."""
+    from basketflow.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "SORTED", limit)
+    monkeypatch.setattr(Q, "SAMPLED", 30)
+    draw = np.random.default_rng(6)
+    a = np.where(draw.random(2000) < 0.4, 7.0, draw.normal(size=2000) * 100)
+    b = draw.integers(0, 9, 2000).astype(float)
+    c = np.where(draw.random(2000) < 0.05, np.inf, draw.random(2000))
+    rows = [(float(x), float(y), float(z)) for x, y, z in zip(a, b, c, strict=True)] + [(None, math.nan, None)] * 9
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(3)
+    probs = [0.0, 0.013, 0.25, 0.5, 0.8, 0.9, 1.0]
+    got = exact_quantiles(df, {"x": F.col("a"), "y": F.col("b"), "z": F.col("c"), "none": F.lit(None).cast("double")}, probs).first()
+    assert np.allclose(got["x"], np.quantile(a, probs)) and np.allclose(got["y"], np.quantile(b, probs))
+    assert got["z"][:5] == pytest.approx(np.quantile(c, probs[:5]).tolist()) and got["z"][-1] == math.inf
+    assert got["none"] is None
+
+
+def test_quantiles_shuffle_little_of_a_large_table(spark, monkeypatch):
+    """What leaves the tasks are samples, sums and the last bracket: far fewer rows than the table has."""
+    from basketflow.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "SORTED", 500)
+    monkeypatch.setattr(Q, "SAMPLED", 300)
+    listed = []
+    whole = Q._listed
+    monkeypatch.setattr(Q, "_listed", lambda *a: listed.append(whole(*a)) or listed[-1])
+    rows = spark.range(200_000).select((F.col("id") * 37 % 200_000).cast("double").alias("v"))
+    assert exact_quantiles(rows, {"v": F.col("v")}, [0.8, 0.9]).first()["v"] == pytest.approx([0.8 * 199_999, 0.9 * 199_999])
+    assert sum(n for found in listed for values in found.values() for _, n in values) < 12_000

@@ -26,6 +26,13 @@ def test_dates(spark):
         day(2024, 3, 4, 5, 6, 7), day(2024, 4, 3)]
 
 
+def test_dates_without_a_day_or_a_year(spark):
+    texts = ["Mar 2024", "2024-03", "03/2023", "march 2022", "2021 Oct", "5 March", "March 5", "5-3", "13-2024", "2024-13", "Foo 2024", "31 Feb"]
+    day = lambda *a: dt.datetime(*a)
+    assert column(spark, texts, parse_sale_date) == [
+        day(2024, 3, 1), day(2024, 3, 1), day(2023, 3, 1), day(2022, 3, 1), day(2021, 10, 1), day(2024, 3, 5), day(2024, 3, 5), None, None, None, None, None]
+
+
 def test_dates_from_numbers(spark):
     from pyspark.sql import types as T
 
