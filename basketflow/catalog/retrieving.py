@@ -153,6 +153,19 @@ def e6_all(spark, d):
     return R.nearest_by_cell(_self_queries(spark, d), R.CellIndex.build(V.vectors(spark, d), 8), 10, 8)
 
 
+@query("e9_nearest_by_codes", LISTS)
+def e9_codes(spark, d):
+    """Search by one-byte codes, the best of it scored exactly."""
+    items = V.vectors(spark, d)
+    return _judged(spark, d, R.nearest_by_codes(_self_queries(spark, d), R.coded_vectors(items), items, 10))
+
+
+@query("e15_similarity_table_streamed", sql("user_scores", "SELECT query_id, item_idx, score FROM user_scores"))
+def e15_streamed(spark, d):
+    """The same table from small blocks and small batches."""
+    return R.similarity_table(_user_vectors(spark, d), V.vectors(spark, d), query_block=40, item_block=64, emitted=100)
+
+
 @query("e7_nearest_by_hash", LISTS)
 def e7(spark, d):
     return _judged(spark, d, R.nearest_by_hash(_self_queries(spark, d), V.vectors(spark, d), 10, tables=6))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketflow.functions.vectors import (
-    SCORE_DIGITS, as_matrix, bounds, flat, list_column, norm, unit, unit_rows,
+    NORM_FLOOR, SCORE_DIGITS, as_matrix, bounds, flat, list_column, norm, unit, unit_rows,
 )
 from basketflow.operators.ordering import top_rows
 from basketflow.operators.sequences import last_items
@@ -22,6 +22,7 @@ QUERY_BLOCK = 65_536
 ITEM_BLOCK = 16_384
 FEW_QUERIES = 1_024
 CHUNK = 512
+EMITTED = 1 << 16  # scores that a task of the whole table holds at once
 
 
 # ---- vectors of queries -----------------------------------------------------------------------
@@ -92,7 +93,7 @@ def _block_scorer(metric: str):
         if left.num_rows and right.num_rows:
             right = right.sort_by("item_idx")
             query_ids, item_ids = left["query_id"].to_numpy(), right["item_idx"].to_numpy()
-            q, v, want = as_matrix(left["vector"]), as_matrix(right["vector"]), left["want"].to_numpy()
+            q, v, want = as_matrix(left["vector"]), item_matrix(right), left["want"].to_numpy()
             if metric == "cosine":
                 q, v = unit_rows(q), unit_rows(v)
             for at in range(0, len(q), CHUNK):
@@ -115,6 +116,15 @@ def _block_scorer(metric: str):
     return score
 
 
+def item_matrix(table: pa.Table) -> np.ndarray:
+    """The vectors of a block, from one-byte codes where the table has those."""
+    if "codes" not in table.column_names:
+        return as_matrix(table["vector"])
+    rows = table.num_rows
+    codes = np.frombuffer(b"".join(table["codes"].to_pylist()), np.int8).reshape(rows, -1)
+    return codes * table["scale"].to_numpy()[:, None]
+
+
 def _blocks(df: DataFrame, size: int, at_least: int) -> Column:
     """How many blocks of about ``size`` rows the table needs, as a scalar subquery.
 
@@ -142,6 +152,7 @@ def block_scores(
     ``group`` columns only blocks of the same group meet, and a group that
     holds a large share of the items is simply more blocks.  A ``want`` column
     in ``queries`` gives each query its own k; k=None returns every score.
+    Items may have ``codes`` and ``scale`` in place of ``vector``.
     """
     group = group or []
     most = F.lit(2**31 - 1 if k is None else k)
@@ -162,7 +173,8 @@ def block_scores(
     left = queries.select(*group, "query_id", "vector", "want", cut("query_id", "_nq").alias("_qb"),
                           F.explode(whole("_ni")).alias("_ib"))
     # Fresh aliases: queries and items may be the same table.
-    fresh = [F.col(c).alias(c) for c in (*group, "item_idx", "vector")]
+    content = ["codes", "scale"] if "codes" in items.columns else ["vector"]
+    fresh = [F.col(c).alias(c) for c in (*group, "item_idx", *content)]
     right = items.select(*fresh, cut("item_idx", "_ni").alias("_ib"),
                          F.explode(whole("_nq")).alias("_qb"))
     keys = [*group, "_qb", "_ib"]
@@ -195,9 +207,96 @@ def nearest_items(
     return top_items(block_scores(queries, items, k, metric, **blocks), k)
 
 
-def similarity_table(queries: DataFrame, items: DataFrame, metric: str = "cosine", **blocks) -> DataFrame:
-    """Every (query, item) score; the result itself has |Q|·|I| rows."""
-    return block_scores(queries, items, None, metric, **blocks)
+def _streamed_scorer(metric: str, emitted: int):
+    """Over rows in order of (qb, ib, side): keeps the items of a block, and answers its queries in batches of bounded size."""
+    def scores(queries: np.ndarray, items: np.ndarray) -> np.ndarray:
+        if metric == "l2":
+            squares = (queries * queries).sum(1)[:, None] + (items * items).sum(1)[None, :] - 2.0 * (queries @ items.T)
+            return -np.sqrt(np.maximum(squares, 0.0))
+        return queries @ items.T
+
+    def run(batches):
+        block, held, ids, items = None, [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            qb, ib, side = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.flatnonzero((np.diff(qb) != 0) | (np.diff(ib) != 0) | (np.diff(side) != 0)) + 1
+            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                part = batch.slice(start, end - start)
+                if block != (qb[start], ib[start]):
+                    block, held, items = (qb[start], ib[start]), [], None
+                own, rows = part.column(3).to_numpy(), as_matrix(part.column(4))
+                rows = unit_rows(rows) if metric == "cosine" else rows
+                if side[start] == 0:
+                    held.append((own, rows))
+                    continue
+                if not held:
+                    continue
+                if items is None:
+                    ids, items = (np.concatenate(x) for x in zip(*held, strict=True))
+                step = max(1, emitted // len(ids))
+                for at in range(0, len(own), step):
+                    some = own[at:at + step]
+                    for first in range(0, len(ids), emitted):
+                        wide = ids[first:first + emitted]
+                        found = np.round(scores(rows[at:at + step], items[first:first + emitted]), SCORE_DIGITS) + 0.0
+                        yield pa.record_batch({"query_id": np.repeat(some, len(wide)), "item_idx": np.tile(wide, len(some)), "score": found.ravel()})
+    return run
+
+
+def similarity_table(
+    queries: DataFrame, items: DataFrame, metric: str = "cosine", query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK,
+    emitted: int = EMITTED,
+) -> DataFrame:
+    """Every (query, item) score; the result itself has |Q|·|I| rows, of which a task holds ``emitted`` at a time.
+
+    Blocks of both tables are dealt and sorted side by side, so a task reads
+    the items of a block, then its queries one after the other.
+    """
+    queries = settle(queries.select("query_id", "vector"))
+    tasks = queries.sparkSession.sparkContext.defaultParallelism
+    ni, nq = _blocks(items, item_block, 0), _blocks(queries, query_block, tasks)
+    whole = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    vector = F.col("vector").cast("array<double>").alias("vector")
+
+    def dealt(rows: DataFrame, ident: str, own: str, other: str, side: int) -> DataFrame:
+        rows = rows.select(F.col(ident).cast("long").alias("id"), vector, ni.alias("_ni"), nq.alias("_nq"))
+        block = F.pmod(F.xxhash64("id"), F.col(f"_n{own[0]}")).cast("int")
+        rows = rows.select(block.alias(own), F.explode(whole(f"_n{other[0]}")).alias(other), F.lit(side).alias("side"), "id", "vector")
+        return rows.select("qb", "ib", "side", "id", "vector")
+
+    rows = dealt(items, "item_idx", "ib", "qb", 0).unionByName(dealt(queries, "query_id", "qb", "ib", 1))
+    rows = rows.repartition("qb", "ib").sortWithinPartitions("qb", "ib", "side", "id")
+    return rows.mapInArrow(_streamed_scorer(metric, emitted), "query_id long, item_idx long, score double")
+
+
+def coded_vectors(vectors: DataFrame, column: str = "vector") -> DataFrame:
+    """``(item_idx, codes, scale)``: one byte per coordinate of the vector at length 1, and what a step of the codes is worth."""
+    units = unit_vectors(vectors.where(F.col(column).isNotNull()).select("item_idx", F.col(column).alias("vector")))
+    return units.mapInArrow(_coded, "item_idx long, codes binary, scale double")
+
+
+def _coded(batches):
+    for batch in batches:
+        if batch.num_rows:
+            rows = as_matrix(batch.column(1))
+            scale = np.maximum(np.abs(rows).max(axis=1), NORM_FLOOR) / 127
+            codes = np.rint(rows / scale[:, None]).astype(np.int8)
+            yield pa.record_batch({"item_idx": batch.column(0), "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "scale": scale})
+
+
+def nearest_by_codes(queries: DataFrame, codes: DataFrame, items: DataFrame, k: int, more: int = 4, **blocks) -> DataFrame:
+    """The k best items by cosine among the ``more``·k best by one-byte codes, with exact scores.
+
+    The blocks of the first pass carry a byte per coordinate in place of
+    eight; only the vectors of the items it leaves are read in full.
+    """
+    from basketflow.operators.graph import pair_scores
+
+    queries = settle(unit_vectors(queries.select("query_id", "vector")))
+    rough = top_items(block_scores(queries, codes, more * k, "dot", **blocks), more * k).select("query_id", "item_idx")
+    return top_items(pair_scores(rough, queries, unit_vectors(items.select("item_idx", "vector")), queries.count()), k)
 
 
 def unseen_items(

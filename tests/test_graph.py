@@ -1,7 +1,10 @@
 """The neighbor graph: recall against all pairs, islands, hubs and small tables."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
+from basketflow.operators import retrieval as R
 from basketflow.operators.graph import NeighborGraph, nearest_by_graph
 
 
@@ -55,3 +58,32 @@ def test_islands_and_short_tables_give_full_lists(spark, tmp_path):
     assert len(nearest_by_graph(frame(spark, vectors[:2], "query_id"), few, 5).collect()) == 6
     none = NeighborGraph.build(frame(spark, vectors).where("false"))
     assert nearest_by_graph(frame(spark, vectors[:2], "query_id"), none, 5).collect() == []
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_whole_tables_leave_in_bounded_batches(metric):
+    draw = np.random.default_rng(8)
+    items, queries = draw.normal(size=(23, 4)), draw.normal(size=(17, 4))
+    sides = [0] * 23 + [1] * 17
+    columns = [pa.array([1] * 40, pa.int32()), pa.array([2] * 40, pa.int32()), pa.array(sides, pa.int32()),
+               pa.array([*range(23), *range(17)], pa.int64()), pa.array([v.tolist() for v in [*items, *queries]], pa.list_(pa.float64()))]
+    whole = pa.RecordBatch.from_arrays(columns, names=["qb", "ib", "side", "id", "vector"])
+    found = list(R._streamed_scorer(metric, 10)(iter([whole.slice(i, 6) for i in range(0, 40, 6)])))
+    assert max(b.num_rows for b in found) <= 10 and sum(b.num_rows for b in found) == 23 * 17
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {"cosine": unit(queries) @ unit(items).T, "dot": queries @ items.T,
+            "l2": -np.linalg.norm(queries[:, None] - items[None], axis=2)}[metric]
+    for b in found:
+        for q, i, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            assert abs(x - want[q, i]) < 1e-6
+
+
+def test_codes_hold_a_byte_per_coordinate_and_find_the_neighbors(spark):
+    vectors = np.random.default_rng(9).normal(size=(600, 32))
+    items = frame(spark, vectors)
+    codes = R.coded_vectors(items)
+    assert {len(r.codes) for r in codes.collect()} == {32} and codes.columns == ["item_idx", "codes", "scale"]
+    rows = R.nearest_by_codes(frame(spark, vectors[:50], "query_id"), codes, items, 10).collect()
+    best, scores = exact(vectors, vectors[:50], 10)
+    assert all(abs(r.score - scores[r.query_id, r.item_idx]) < 1e-8 for r in rows)
+    assert sum(r.item_idx in best[r.query_id] for r in rows) >= 0.9 * 500 and len(rows) == 500
