@@ -18,9 +18,16 @@ def candidates(spark, d):
     return candidate_lists(V.tests(spark, d), V.vectors(spark, d), V.K_CANDS)
 
 
+_PRICES: dict[tuple[str, str], object] = {}
+
+
 def price(spark, d):
-    rows = V.clean(spark, d)
-    return R.price_feature(T.item_catalog(rows), T.item_id_map(rows))
+    """The price feature of all items, which needs the clean sales lines: settled once per application and folder, as a catalog table is."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _PRICES:
+        rows = V.clean(spark, d)
+        _PRICES[key] = settle(R.price_feature(T.item_catalog(rows), T.item_id_map(rows)))
+    return _PRICES[key]
 
 
 def features(spark, d, queries=None):
