@@ -14,9 +14,11 @@ averaged by the number of their examples.  All rounds together train every
 position.  A score is the sum of the conditional log-probabilities of all
 words of the whole text.
 
-The counts of the words stay a table.  Texts are encoded in chunks, which list
-their words outside the frequent ones once; these lists are joined with the
-counts, and each chunk meets the counts of its own words in one task.
+The counts of the words stay a table.  Where a text is encoded, the counts of a
+bounded number of words are at hand; only the rarer words of a text, which are
+a small part of it and none of which is frequent, are joined with the table,
+and words that occur once need no count.  The network scores every text where
+it lies: no text is ever shuffled.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -38,12 +41,14 @@ from basketflow.session import Scratch, settle
 
 WORDS, BUCKETS = 191, 64  # token 0 stands outside the text, so a token is one byte
 SIZE = 1 + WORDS + BUCKETS
+CLASS_SIZE = 16  # tokens of like frequency make a class
+CLASSES = SIZE // CLASS_SIZE
 WINDOW, HIDDEN = 2, 24
 MASK_EVERY = ROUNDS = 2  # so each position is masked in one round
 BATCH, RATE = 1024, 0.1
-CHUNK = 4096  # positions scored at once
+CHUNK = 8192  # positions scored at once
 SCORED_TEXTS = 1000  # whose positions are held at once
-CHUNK_WORDS, CHUNK_TOKENS = 1 << 17, 1 << 21  # a chunk of texts ends with the text that reaches either
+KNOWN_WORDS, KNOWN_BYTES = 1 << 18, 32  # words whose counts every task has, and the longest of them: 12 MB at most
 GROUPS = 64  # of tasks whose weights are added before the driver sees them
 _OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 
@@ -59,52 +64,79 @@ class TokenIds(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint8, len(words))
 
 
-class Codes(dict):
-    """Code of a word in a chunk of texts: its token if it is frequent, else SIZE + its slot among the chunk's other words."""
+@dataclass(frozen=True)
+class Lexicon:
+    """Tokens of the frequent words, counts of the most frequent other words, and the counts of all tokens."""
 
-    def __init__(self, ids: TokenIds):
-        super().__init__(ids)
-        self.ids, self.others, self.tokens = ids, [], bytearray(range(SIZE))
+    ids: TokenIds
+    known: dict[bytes, int]  # word outside the frequent ones -> its count
+    totals: np.ndarray
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = SIZE + len(self.others)
-        self.others.append(word)
-        self.tokens.append(self.ids[word])
-        return code
+    def codes(self) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+        """Code per word; token and log-share of the token per code.  Frequent words are their token."""
+        words = list(self.known)
+        code = dict(self.ids) | {w: SIZE + i for i, w in enumerate(words)}
+        tokens = np.array([*range(SIZE), *map(self.ids.__missing__, words)], np.uint8)
+        logs = np.zeros(SIZE + len(words))
+        logs[SIZE:] = np.log(np.fromiter(self.known.values(), np.float64, len(words)))
+        logs[SIZE:] -= np.log(np.maximum(self.totals, 1))[tokens[SIZE:]]
+        return code, tokens, logs
 
-    def of(self, text: str | None) -> tuple[bytes, bytes]:
-        """The tokens of a text, and the slots of its words outside the frequent ones."""
-        words = words_of(text)
-        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        slots = codes[codes >= SIZE] - SIZE
-        return np.frombuffer(self.tokens, np.uint8)[codes].tobytes(), slots.astype(np.uint32).tobytes()
+
+def _log_softmax(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of the row ``own`` of each column; ``logits`` is used up."""
+    logits -= logits.max(axis=0)
+    chosen = logits[own, np.arange(logits.shape[1])].astype(np.float64)
+    np.exp(logits, out=logits)
+    return chosen - np.log(logits.sum(axis=0))
+
+
+def _errors(logits: np.ndarray, own: np.ndarray, count: int) -> np.ndarray:
+    """Softmax of each column less one at its row ``own``, over ``count``."""
+    logits -= logits.max(axis=0)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=0) * np.float32(count)
+    logits[own, np.arange(logits.shape[1])] -= np.float32(1 / count)
+    return logits
+
+
+def _by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """Places in order of their class, and the span of each class that occurs."""
+    kinds = targets // CLASS_SIZE
+    order = np.argsort(kinds, kind="stable")
+    ends = np.cumsum(np.bincount(kinds, minlength=CLASSES)).tolist()
+    spans = [(g, slice(a, b)) for g, (a, b) in enumerate(zip([0, *ends], ends, strict=False)) if b > a]
+    return order, spans
 
 
 @dataclass
 class Network:
     context: np.ndarray  # offsets x SIZE x HIDDEN
     bias: np.ndarray
-    output: np.ndarray  # HIDDEN x SIZE
+    classes: np.ndarray  # CLASSES x HIDDEN
+    class_bias: np.ndarray
+    output: np.ndarray  # SIZE x HIDDEN
     output_bias: np.ndarray
 
     @classmethod
     def fresh(cls, counts: np.ndarray, seed: int = 2) -> Network:
-        """Small random weights; the output bias starts at the smoothed token frequencies."""
+        """Small random weights; the biases start at the smoothed frequencies of classes, and of tokens in their class."""
         draw = np.random.default_rng(seed)
-        shares = (counts + 0.5) / (counts + 0.5).sum()
-        context = draw.normal(0, 0.3, (len(_OFFSETS), SIZE, HIDDEN)).astype(np.float32)
-        output = draw.normal(0, 0.1, (HIDDEN, SIZE)).astype(np.float32)
-        return cls(context, np.zeros(HIDDEN, np.float32), output, np.log(shares).astype(np.float32))
+        shares = ((counts + 0.5) / (counts + 0.5).sum()).reshape(CLASSES, CLASS_SIZE)
+        of_class = shares.sum(axis=1)
+        small = lambda scale, *shape: draw.normal(0, scale, shape).astype(np.float32)
+        return cls(small(0.3, len(_OFFSETS), SIZE, HIDDEN), np.zeros(HIDDEN, np.float32), small(0.1, CLASSES, HIDDEN),
+                   np.log(of_class).astype(np.float32), small(0.1, SIZE, HIDDEN), np.log(shares / of_class[:, None]).ravel().astype(np.float32))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.context, self.bias, self.output, self.output_bias]
+        return [self.context, self.bias, self.classes, self.class_bias, self.output, self.output_bias]
 
     def packed(self) -> np.ndarray:
         return np.concatenate([a.ravel() for a in self.arrays()]).astype(np.float64)
 
     @classmethod
     def unpacked(cls, flat: np.ndarray) -> Network:
-        shapes = [(len(_OFFSETS), SIZE, HIDDEN), (HIDDEN,), (HIDDEN, SIZE), (SIZE,)]
+        shapes = [(len(_OFFSETS), SIZE, HIDDEN), (HIDDEN,), (CLASSES, HIDDEN), (CLASSES,), (SIZE, HIDDEN), (SIZE,)]
         parts, at = [], 0
         for shape in shapes:
             size = int(np.prod(shape))
@@ -112,10 +144,11 @@ class Network:
             at += size
         return cls(*parts)
 
-    def hidden(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-        total = np.broadcast_to(self.bias, (len(at), HIDDEN)).copy()
-        for table, offset in zip(self.context, _OFFSETS, strict=True):
-            total += table[tokens[at + offset]]
+    def hidden(self, windows: list[np.ndarray]) -> np.ndarray:
+        """Examples x HIDDEN, from the context tokens of each offset."""
+        total = np.broadcast_to(self.bias, (len(windows[0]), HIDDEN)).copy()
+        for table, tokens in zip(self.context, windows, strict=True):
+            total += table.take(tokens, axis=0)
         return np.tanh(total, out=total)
 
     def log_probabilities(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -123,13 +156,19 @@ class Network:
         out = np.empty(len(at), np.float64)
         for start in range(0, len(at), CHUNK):
             some = at[start : start + CHUNK]
-            logits = self.hidden(tokens, some) @ self.output
-            logits += self.output_bias
-            own = logits[np.arange(len(some)), tokens[some]].copy()
-            top = logits.max(axis=1)
-            logits -= top[:, None]
-            np.exp(logits, out=logits)
-            out[start : start + CHUNK] = own - top - np.log(logits.sum(axis=1))
+            targets = tokens[some]
+            hidden = self.hidden([tokens[some + o] for o in _OFFSETS])
+            logits = self.classes @ hidden.T
+            logits += self.class_bias[:, None]
+            found = _log_softmax(logits, targets // CLASS_SIZE)
+            order, spans = _by_class(targets)
+            hidden, own = hidden.take(order, axis=0), targets[order] % CLASS_SIZE
+            for g, span in spans:
+                some_of = slice(g * CLASS_SIZE, (g + 1) * CLASS_SIZE)
+                logits = self.output[some_of] @ hidden[span].T
+                logits += self.output_bias[some_of, None]
+                found[order[span]] += _log_softmax(logits, own[span])
+            out[start : start + CHUNK] = found
         return out
 
 
@@ -139,33 +178,35 @@ class Trainer:
     def __init__(self, network: Network):
         self.net = network
         self.squares = [np.full_like(a, 1e-3) for a in network.arrays()]
-        self.space = np.empty((0, SIZE), np.float32)
 
     def step(self, windows: np.ndarray, targets: np.ndarray) -> None:
         """``windows`` holds the context tokens (examples x offsets)."""
         net, count = self.net, len(targets)
-        hidden = np.broadcast_to(net.bias, (count, HIDDEN)).copy()
-        for i, table in enumerate(net.context):
-            hidden += table.take(windows[:, i], axis=0)
-        np.tanh(hidden, out=hidden)
-        if len(self.space) < count:
-            self.space = np.empty((count, SIZE), np.float32)
-        wrong = np.matmul(hidden, net.output, out=self.space[:count])
-        wrong += net.output_bias
-        wrong -= wrong.max(axis=1, keepdims=True)
-        np.exp(wrong, out=wrong)
-        wrong /= wrong.sum(axis=1, keepdims=True) * np.float32(count)
-        wrong[np.arange(count), targets] -= np.float32(1 / count)
-        inner = (wrong @ net.output.T) * (1 - hidden * hidden)
-        tables = np.zeros_like(net.context)
-        for i, table in enumerate(tables):
-            order = np.argsort(windows[:, i], kind="stable")
-            column = windows[order, i]
-            starts = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]]))
-            table[column[starts]] = np.add.reduceat(inner[order], starts, axis=0)
-        for array, square, gradient in zip(
-            net.arrays(), self.squares, (tables, inner.sum(axis=0), hidden.T @ wrong, wrong.sum(axis=0)), strict=True
-        ):
+        hidden = net.hidden([windows[:, i] for i in range(len(net.context))])
+        logits = net.classes @ hidden.T
+        logits += net.class_bias[:, None]
+        wrong = _errors(logits, targets // CLASS_SIZE, count)
+        inner = wrong.T @ net.classes
+        of_classes, of_class_bias = wrong @ hidden, wrong.sum(axis=1)
+        order, spans = _by_class(targets)
+        ordered, own, back = hidden.take(order, axis=0), targets[order] % CLASS_SIZE, np.empty_like(inner)
+        of_output, of_output_bias = np.zeros_like(net.output), np.zeros_like(net.output_bias)
+        for g, span in spans:
+            some_of = slice(g * CLASS_SIZE, (g + 1) * CLASS_SIZE)
+            logits = net.output[some_of] @ ordered[span].T
+            logits += net.output_bias[some_of, None]
+            wrong = _errors(logits, own[span], count)
+            of_output[some_of], of_output_bias[some_of] = wrong @ ordered[span], wrong.sum(axis=1)
+            back[span] = wrong.T @ net.output[some_of]
+        inner[order] += back
+        inner *= 1 - hidden * hidden
+        # sums of the rows of `inner` by context token, one table per offset
+        tables, places = np.empty_like(net.context), windows.astype(np.int64) * HIDDEN
+        for i in range(len(tables)):
+            at = (places[:, i, None] + np.arange(HIDDEN)).ravel()
+            tables[i] = np.bincount(at, inner.ravel(), SIZE * HIDDEN).reshape(SIZE, HIDDEN)
+        gradients = tables, inner.sum(axis=0), of_classes, of_class_bias, of_output, of_output_bias
+        for array, square, gradient in zip(net.arrays(), self.squares, gradients, strict=True):
             square += gradient * gradient
             array -= RATE * gradient / np.sqrt(square)
 
@@ -258,61 +299,84 @@ def train(encoded: DataFrame, counts: np.ndarray, scratch: Scratch, rounds: int
 
 
 def _encode(shared):
-    """Rows of texts (doc_id, tokens, slots) by chunk; a last row of each chunk has the chunk's other words in place of a text."""
+    """Per text its tokens, the log-shares of its known words, and its rarer words, of whose shares only the tokens' part is in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, number = TaskContext.get().partitionId() << 32, 0
-        codes, size = Codes(shared.value), 0
-        rows: list[tuple] = []
-
-        def flushed() -> pa.RecordBatch:
-            columns = zip(*rows, strict=True) if rows else [[]] * len(_ENCODED)
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ENCODED.values(), strict=True)], names=list(_ENCODED))
-            rows.clear()
-            return batch
-
+        lexicon: Lexicon = shared.value
+        code, token_of, log_of = lexicon.codes()
+        minus = np.log(np.maximum(lexicon.totals, 1))
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens, slots = codes.of(text.as_py())
-                rows.append((first + number, doc_id, tokens, slots, None))
-                size += len(tokens)
-                if size >= CHUNK_TOKENS or len(codes.others) >= CHUNK_WORDS:
-                    rows.append((first + number, None, None, None, codes.others))
-                    codes, size, number = Codes(shared.value), 0, number + 1
-            yield flushed()
-        rows.append((first + number, None, None, None, codes.others))
-        yield flushed()
+            tokens, extra, words, times = [], [], [], []
+            for text in batch.column(1):
+                found = words_of(text.as_py())
+                codes = np.fromiter(map(code.get, found, repeat(-1)), np.int64, len(found))
+                own = token_of[codes]
+                rare = np.flatnonzero(codes < 0)
+                lost = [found[i] for i in rare.tolist()]
+                own[rare] = np.fromiter(map(lexicon.ids.__missing__, lost), np.uint8, len(lost))
+                counts = Counter(lost)
+                tokens.append(own.tobytes())
+                extra.append(float(log_of[codes[codes >= 0]].sum() - minus[own[rare]].sum()))
+                words.append(list(counts))
+                times.append(list(counts.values()))
+            rows = pa.array(np.arange(row, row + batch.num_rows))
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [rows, batch.column(0), pa.array(tokens, pa.binary()), pa.array(extra, pa.float64()), pa.array(words, pa.list_(pa.binary())),
+                 pa.array(times, pa.list_(pa.int64()))], names=["row", "doc_id", "tokens", "extra", "words", "times"])
 
     return run
 
 
-_ENCODED = {"chunk": pa.int64(), "doc_id": pa.int64(), "tokens": pa.binary(), "slots": pa.binary(), "words": pa.list_(pa.binary())}
-
-
 def _score(shared):
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        flat, totals = shared.value
-        network = Network.unpacked(flat)
-        counts = np.ones(words.num_rows)
-        counts[words["slot"].to_numpy()] = words["n"].to_numpy()
-        logs, log_totals = np.log(counts), np.log(np.maximum(totals, 1))
-        parts = []
-        for batch in texts.to_batches(max_chunksize=SCORED_TEXTS):
-            tokens, at, owner = padded(_texts(batch, 2))
-            scores = network.log_probabilities(tokens, at)
-            own = tokens[at]
-            others = np.flatnonzero(own > WORDS)
-            slots = np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(x.as_py(), np.uint32) for x in batch.column(3)]])
-            scores[others] += logs[slots] - log_totals[own[others]]
-            sizes = np.bincount(owner, minlength=batch.num_rows)
-            scores = np.bincount(owner, scores, batch.num_rows)
-            parts.append(pa.table({"doc_id": batch.column(1), "n_tokens": pa.array(sizes, pa.int64()), "score": pa.array(scores, pa.float64())}))
-        return pa.concat_tables(parts) if parts else _NOTHING
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = Network.unpacked(shared.value)
+        for whole in batches:
+            for start in range(0, whole.num_rows, SCORED_TEXTS):
+                batch = whole.slice(start, SCORED_TEXTS)
+                tokens, at, owner = padded(_texts(batch, 2))
+                scores = np.bincount(owner, network.log_probabilities(tokens, at), batch.num_rows) + batch.column(3).to_numpy()
+                sizes = np.bincount(owner, minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(scores)],
+                                                 names=["row", "doc_id", "n_tokens", "partial"])
 
     return run
 
 
-_NOTHING = pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+def lexicon_of(counted: DataFrame) -> Lexicon:
+    """From the counts (word, n) of all words; the driver gets WORDS + KNOWN_WORDS short words at most."""
+    frequent = counted.orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
+    ids = TokenIds({w: i + 1 for i, w in enumerate(frequent["word"].to_pylist())})
+    counts = np.zeros(SIZE)
+    buckets = counted.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+    counts[1 + WORDS + buckets["bucket"].to_numpy()] = buckets["n"].to_numpy()
+    for word, n in zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True):
+        counts[ids[word]] = n
+        counts[TokenIds()[word]] -= n
+    short = counted.where((F.octet_length("word") <= KNOWN_BYTES) & (F.col("n") > 1))
+    # from the highest level of counts down, as long as the words of all levels together are few enough
+    level = F.floor(8 * F.log2("n"))
+    levels = short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).toArrow()
+    lowest, held = 1 << 20, 0
+    for at, n in sorted(zip(levels["level"].to_pylist(), levels["words"].to_pylist(), strict=True), reverse=True):
+        held += n
+        if held > WORDS + KNOWN_WORDS:
+            break
+        lowest = at
+    known = short.where(level >= lowest).toArrow()
+    pairs = zip(known["word"].to_pylist(), known["n"].to_pylist(), strict=True)
+    return Lexicon(ids, {w: n for w, n in pairs if w not in ids}, counts)
+
+
+def fitted(texts: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, Network]:
+    """The counts of all words, the encoded rows of ``texts`` (doc_id, text), and the network trained on all of them."""
+    counted = texts.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = scratch.settle(counted)
+    lexicon = lexicon_of(counted)
+    schema = "row long, doc_id long, tokens binary, extra double, words array<binary>, times array<long>"
+    encoded = scratch.settle(texts.mapInArrow(_encode(texts.sparkSession.sparkContext.broadcast(lexicon)), schema))
+    return counted, encoded, train(encoded, lexicon.totals, scratch, rounds)
 
 
 def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -322,29 +386,19 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     empty text, mean_score its share per word, null there.  Words are counted
     over the whole corpus; ties among frequent words go to the smaller one.
     Repeated rows are scored each, equal texts alike to single precision.
-    Other columns are not read.  The result is settled.
+    The weights are averaged over tasks, so a table cut into other tasks
+    gives slightly other scores.  Other columns are not read.  The result is
+    settled.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with Scratch(spark) as scratch:
-        counted = texts.select("text").mapInArrow(_word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        counted = scratch.settle(counted)
-        frequent = counted.orderBy(F.desc("n"), "word").limit(WORDS).toArrow()
-        ids = TokenIds({w: i + 1 for i, w in enumerate(frequent["word"].to_pylist())})
-        counts = np.zeros(SIZE)
-        buckets = counted.groupBy((F.crc32("word") % BUCKETS).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
-        counts[1 + WORDS + buckets["bucket"].to_numpy()] = buckets["n"].to_numpy()
-        for word, n in zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True):
-            counts[ids[word]] = n
-            counts[TokenIds()[word]] -= n
-        schema = "chunk long, doc_id long, tokens binary, slots binary, words array<binary>"
-        encoded = scratch.settle(texts.mapInArrow(_encode(spark.sparkContext.broadcast(ids)), schema))
-        rows = encoded.where("words IS NULL").drop("words")
-        network = train(rows, counts, scratch, rounds)
-        # every chunk with the counts of its words
-        words = encoded.where("words IS NOT NULL").select("chunk", F.posexplode("words").alias("slot", "word"))
-        known = words.join(counted, "word").select(F.col("chunk").alias("of_chunk"), "slot", "n")
-        shared = spark.sparkContext.broadcast((network.packed(), counts))
-        scored = rows.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_score(shared), "doc_id long, n_tokens long, score double")
+        counted, encoded, network = fitted(texts, scratch, rounds)
+        shared = spark.sparkContext.broadcast(network.packed())
+        scored = encoded.select("row", "doc_id", "tokens", "extra").mapInArrow(_score(shared), "row long, doc_id long, n_tokens long, partial double")
+        # words that occur once have a count whose logarithm is 0
+        rare = encoded.where(F.size("words") > 0).select("row", F.inline(F.arrays_zip("words", "times"))).withColumnRenamed("words", "word")
+        rare = rare.join(counted.where("n > 1"), "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("rare"))
+        whole = scored.join(rare, "row", "left").withColumn("score", F.col("partial") + F.coalesce("rare", F.lit(0.0)))
         mean = F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens"))
-        return settle(scored.withColumn("mean_score", mean))
+        return settle(whole.select("doc_id", "n_tokens", "score", mean.alias("mean_score")))

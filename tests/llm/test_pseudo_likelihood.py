@@ -2,13 +2,16 @@
 
 import math
 import random
+from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from basketflow.llm import pseudo_likelihood as pl
 from basketflow.llm.pseudo_likelihood import SIZE, WINDOW, Network, TokenIds, Trainer, padded, pseudo_likelihood
+from basketflow.session import Scratch
 
 
 def plain_score(net, tokens):
@@ -18,11 +21,25 @@ def plain_score(net, tokens):
         a = net.bias.astype(float).copy()
         for table, o in zip(net.context, [x for x in range(-WINDOW, WINDOW + 1) if x], strict=True):
             a += table[tokens[i + o] if 0 <= i + o < len(tokens) else 0]
-        logits = np.tanh(a) @ net.output + net.output_bias
-        total += logits[token] - math.log(np.exp(logits - logits.max()).sum()) - logits.max()
+        total += token_log_probability(net, np.tanh(a), int(token))
     return total
 
 
+def token_log_probability(net, hidden, token):
+    """Of the token's class among all classes, and of the token among those of its class."""
+    of = token // pl.CLASS_SIZE
+    kinds = [float(hidden @ w + b) for w, b in zip(net.classes, net.class_bias, strict=True)]
+    first = of * pl.CLASS_SIZE
+    inside = [float(hidden @ net.output[t] + net.output_bias[t]) for t in range(first, first + pl.CLASS_SIZE)]
+    return kinds[of] - math.log(sum(map(math.exp, kinds))) + inside[token - first] - math.log(sum(map(math.exp, inside)))
+
+
+def test_probabilities_of_all_tokens_add_up_to_one():
+    net = Network.fresh(np.random.default_rng(2).integers(0, 50, SIZE).astype(float))
+    hidden = np.tanh(np.random.default_rng(3).normal(size=pl.HIDDEN))
+    assert math.isclose(sum(math.exp(token_log_probability(net, hidden, t)) for t in range(SIZE)), 1, rel_tol=1e-5)
+
+
 def test_scores_equal_a_plain_loop():
     draw = np.random.default_rng(0)
     net = Network.fresh(draw.integers(0, 99, SIZE).astype(float))
@@ -38,9 +55,8 @@ def test_a_step_follows_the_gradient():
     windows, targets = draw.integers(0, SIZE, (64, 2 * WINDOW)), draw.integers(1, SIZE, 64)
 
     def loss(net):
-        total = net.bias + sum(net.context[i][windows[:, i]] for i in range(2 * WINDOW))
-        logits = np.tanh(total) @ net.output + net.output_bias
-        return float(np.mean(np.log(np.exp(logits).sum(axis=1)) - logits[np.arange(64), targets]))
+        hidden = np.tanh(net.bias + sum(net.context[i][windows[:, i]] for i in range(2 * WINDOW)))
+        return -float(np.mean([token_log_probability(net, h, int(t)) for h, t in zip(hidden.astype(float), targets, strict=True)]))
 
     net = Network.fresh(np.ones(SIZE))
     trainer, before = Trainer(net), loss(net)
@@ -49,6 +65,32 @@ def test_a_step_follows_the_gradient():
     assert loss(net) < before - 1
 
 
+def test_gradients_equal_differences():
+    """The first Adagrad step shows the gradient of every weight; compared with differences of the loss."""
+    draw = np.random.default_rng(7)
+    windows, targets = draw.integers(0, SIZE, (40, 2 * WINDOW)), draw.integers(1, SIZE, 40)
+
+    def loss(net):
+        hidden = np.tanh(net.bias + sum(net.context[i][windows[:, i]] for i in range(2 * WINDOW)))
+        return -float(np.mean([token_log_probability(net, h, int(t)) for h, t in zip(hidden, targets, strict=True)]))
+
+    net = Network.fresh(np.ones(SIZE))
+    trainer = Trainer(net)
+    before = [a.copy() for a in net.arrays()]
+    trainer.step(windows, targets)
+    for k, (old, square) in enumerate(zip(before, trainer.squares, strict=True)):
+        place = np.unravel_index(np.argmax(square), square.shape)
+        size = math.sqrt(float(square[place]) - 1e-3)
+        ends = []
+        for step in (1e-3, -1e-3):
+            wide = Network(*[a.astype(np.float64) for a in before])
+            wide.arrays()[k][place] = old[place] + step
+            ends.append(loss(wide))
+        slope = (ends[0] - ends[1]) / 2e-3
+        assert math.isclose(abs(slope), size, rel_tol=2e-2, abs_tol=2e-4)
+        assert slope * (net.arrays()[k][place] - old[place]) <= 0
+
+
 def grammar(seed, count):
     """Texts in which each word follows from its neighbors."""
     draw = random.Random(seed)
@@ -110,17 +152,36 @@ def test_words_of_one_bucket_have_probabilities_of_their_own(spark, monkeypatch)
     whole = {r.doc_id: r.score for r in pseudo_likelihood(docs.coalesce(1)).collect()}
     assert math.isclose(whole[90] - whole[150], math.log(60 / 20), abs_tol=1e-3)
     assert math.isclose(whole[90] - whole[170], math.log(60), abs_tol=1e-3)
-    # the same in chunks of a text or two
-    monkeypatch.setattr(pl, "CHUNK_TOKENS", 8)
-    small = {r.doc_id: r.score for r in pseudo_likelihood(docs.coalesce(1)).collect()}
-    assert small.keys() == whole.keys() and all(math.isclose(small[i], whole[i], abs_tol=1e-3) for i in whole)
-
-
-def test_codes_of_a_chunk():
-    codes = pl.Codes(TokenIds({b"the": 1}))
-    tokens, slots = codes.of("The xyzzy the plugh xyzzy")
-    assert list(np.frombuffer(slots, np.uint32)) == [0, 1, 0] and codes.others == [b"xyzzy", b"plugh"]
-    assert tokens == TokenIds({b"the": 1}).of("The xyzzy the plugh xyzzy").tobytes() and codes.of(None) == (b"", b"")
+    # the same where few words, or none, have their counts at hand
+    for few in (0, 2):
+        monkeypatch.setattr(pl, "KNOWN_WORDS", few)
+        small = {r.doc_id: r.score for r in pseudo_likelihood(docs.coalesce(1)).collect()}
+        assert small.keys() == whole.keys() and all(math.isclose(small[i], whole[i], abs_tol=1e-3) for i in whole)
+
+
+@pytest.mark.parametrize("known", [0, 30, 1 << 18])
+def test_whole_scores_equal_a_plain_loop(spark, monkeypatch, known):
+    """Network, tokens and word shares together: each score from the network's own probabilities and counts of a plain dictionary."""
+    monkeypatch.setattr(pl, "KNOWN_WORDS", known)
+    draw = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(900)] + ["é" * 40, "İx", "x" * 99]
+    weights = [1 / (i + 1) for i in range(len(vocabulary))]
+    texts = [" ".join(draw.choices(vocabulary, weights, k=draw.randint(0, 60))) for _ in range(150)] + [None, "", "V1 v1\tonce", "é" * 40 + " " + "x" * 99]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    with Scratch(spark) as scratch:
+        _, _, network = pl.fitted(docs, scratch)
+    words = [(t or "").encode().lower().split() for t in texts]
+    counts = Counter(w for t in words for w in t)
+    frequent = sorted(counts, key=lambda w: (-counts[w], w))[: pl.WORDS]
+    ids = TokenIds({w: i + 1 for i, w in enumerate(frequent)})
+    totals = Counter()
+    for w, n in counts.items():
+        totals[ids[w]] += n
+    got = {r.doc_id: r for r in pseudo_likelihood(docs).collect()}
+    for i, held in enumerate(words):
+        tokens = np.array([ids[w] for w in held], np.uint8)
+        score = plain_score(network, tokens) + sum(math.log(counts[w] / totals[ids[w]]) for w in held if ids[w] > pl.WORDS)
+        assert got[i].n_tokens == len(held) and math.isclose(got[i].score, score, rel_tol=1e-4, abs_tol=1e-3)
 
 
 def test_empty_table_and_rare_words(spark):
