@@ -34,6 +34,7 @@ from basketflow.session import Scratch, fresh_path, settle
 
 PACKAGE_RECORDS, PACKAGE_BYTES = 50_000, 512 << 20  # a package ends with the record that reaches either
 BITMAP_BITS = 23  # of the payloads that several pages share: 1 MB, whatever the input
+TASK_BYTES = 128 << 20  # of packages, read by one task
 RANGE_BYTES = 4 << 20  # records that begin in one such stretch are fetched together
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -348,16 +349,26 @@ def _records(with_payload: bool):
     return run
 
 
+def read_tasks(packages: DataFrame) -> int:
+    """A task per TASK_BYTES of packages, or per package where no bytes are given; not fewer than there are cores."""
+    size = F.sum("bytes") if "bytes" in packages.columns else F.count(F.lit(1)) * TASK_BYTES
+    total = packages.agg(size).first()[0] or 0
+    return max(packages.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+
+
 def read_records(packages: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of the packages (path, …): ids, types, headers, digest and length of the payload, the payload.
 
     Revisits have no payload of their own.  Indexes are read a package per
     row; their ranges are dealt anew, so a large package is read by many tasks.
+    What is dealt are places, which are small, so the number of tasks follows
+    from the bytes that they stand for, not from their own size.
     """
-    spread = packages.select("path").repartition("path")
+    tasks = read_tasks(packages)
+    spread = packages.select("path").repartition(tasks, "path")
     ranges = spread.mapInArrow(_indexes, "path string, offset long, length long")
-    stretch = F.floor(F.col("offset") / RANGE_BYTES)
-    together = ranges.groupBy("path", stretch.alias("stretch")).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
+    ranges = ranges.withColumn("stretch", F.floor(F.col("offset") / RANGE_BYTES)).repartition(tasks, "path", "stretch")
+    together = ranges.groupBy("path", "stretch").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
     return together.select("path", "places").mapInArrow(_records(with_payload), RECORD)
 
 

@@ -121,3 +121,17 @@ def test_broken_packages_are_refused():
     (member,) = directory(reader(data), len(data))
     with pytest.raises(ValueError, match="compressed"):
         data_offset(reader(data), member)
+
+
+def test_a_task_per_share_of_the_packages(spark, monkeypatch, tmp_path):
+    """Places are small, what they stand for is not: reading is spread by bytes, whatever adaptive execution would join."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"{i} " * 4000) for i in range(300)], "page_id long, url string, html string")
+    packages = zip_warc.write_packages(pages.repartition(2), folder=str(tmp_path))
+    total = sum(r.bytes for r in packages.collect())
+    monkeypatch.setattr(zip_warc, "TASK_BYTES", 10_000)
+    monkeypatch.setattr(zip_warc, "RANGE_BYTES", 5_000)
+    assert zip_warc.read_tasks(packages) == -(-total // 10_000) > 10
+    records = zip_warc.read_records(packages)
+    assert records.rdd.getNumPartitions() == zip_warc.read_tasks(packages)
+    assert sorted(r.page_id for r in records.select("page_id").collect()) == list(range(300))
+    assert zip_warc.read_tasks(packages.select("path")) >= 2
