@@ -8,8 +8,9 @@ from basketflow.catalog import query, views as V
 from basketflow.catalog.sql import X, added, linear, mixed, normed, numbers, part, relu, sql, steps, top
 from basketflow.operators import ranking as R, scoring as S, tables as T
 from basketflow.operators.evaluate import recall_from_scores
+from basketflow.operators.gathering import BucketedVectors
 from basketflow.operators.retrieval import candidate_lists
-from basketflow.session import settle
+from basketflow.session import fresh_path, settle
 
 NAMES = ("dot_uv", "max_sim_recent", "pop", "hist_len", "price_z")
 
@@ -62,6 +63,14 @@ def r1(spark, d):
     return features(spark, d).select("query_id", "item_idx", "slot", *V.six(*NAMES), "label")
 
 
+@query("r1_features_from_buckets", sql("feat", f"SELECT {SHOWN} FROM feat"))
+def r1_buckets(spark, d):
+    v = V.Shared(spark, d)
+    stored = BucketedVectors.write(v.vectors, fresh_path(spark, "bucketed"))
+    built = R.build_features(candidate_lists(v.tests, v.vectors, V.K_CANDS), stored, R.popularity_feature(v.split("train")), price(spark, d))
+    return built.select("query_id", "item_idx", "slot", *V.six(*NAMES), "label")
+
+
 @query("r1_unknown_candidates", sql("feat cands", f"""
 SELECT {SHOWN} FROM feat
 UNION ALL SELECT query_id, 999999, len(cands)::BIGINT, 0.0, 0.0, 0.0, round(least(len(history), 15) / 15.0::DOUBLE, 6), 0.0, 0.0 FROM cands"""))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketflow.catalog import query, views as V
+from basketflow.catalog import ORACLES, query, views as V
 from basketflow.catalog.sql import candidates as define_candidates, history_vectors as define_vectors, part, sql, top
 from basketflow.functions import vectors as X
 from basketflow.functions.text import format_id_list
 from basketflow.operators import graph as G, retrieval as R
+from basketflow.operators.gathering import BucketedVectors
 from basketflow.operators.sequences import valid_items
 from basketflow.session import fresh_path, settle
 
@@ -331,6 +332,22 @@ def j5(spark, d):
     return R.gather(rows, V.vectors(spark, d)).select("query_id", "item_idx", F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
 
 
+def stored_vectors(spark, d):
+    return BucketedVectors.write(V.vectors(spark, d), fresh_path(spark, "bucketed"))
+
+
+@query("j5_gathered_from_buckets", ORACLES["j5_gathered_vectors"])
+def j5_buckets(spark, d):
+    rows = V.sequences(spark, d).select("query_id", F.explode("history").alias("item_idx"))
+    found = R.gather(rows, stored_vectors(spark, d))
+    return found.select("query_id", "item_idx", F.round(F.col("vector")[0].cast("double"), 6).alias("first"))
+
+
+@query("e1_history_vectors_from_buckets", ORACLES["e1_history_vectors"])
+def e1_buckets(spark, d):
+    return _ends(R.history_vectors(V.sequences(spark, d), stored_vectors(spark, d)))
+
+
 @query("e17_trained_vectors", sql("mat", """
 SELECT 'user' AS side, user_idx AS id, 64::BIGINT AS dimension, 1.0::DOUBLE AS length FROM (SELECT DISTINCT user_idx FROM mat)
 UNION ALL SELECT 'item', item_idx, 64, 1.0 FROM (SELECT DISTINCT item_idx FROM mat)"""))

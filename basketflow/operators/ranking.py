@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from basketflow.functions.mixing import mix, mix_unit
 from basketflow.functions.vectors import SCORE_DIGITS, as_matrix, bounds, flat, unit_rows
+from basketflow.operators.gathering import BucketedVectors, gather, rows_of
 from basketflow.operators.ordering import top_rows
 from basketflow.operators.retrieval import top_items
 from basketflow.operators.sequences import MAX_HISTORY, last_items
@@ -73,22 +74,24 @@ def _pair_features(max_history: int):
     return compute
 
 
-def pair_features(queries: DataFrame, vectors: DataFrame, max_history: int = MAX_HISTORY) -> DataFrame:
+def pair_features(queries: DataFrame, vectors: DataFrame | BucketedVectors, max_history: int = MAX_HISTORY) -> DataFrame:
     """Vector features of each candidate: ``query_id, item_idx, slot, dot_uv, max_sim_recent, hist_len, label``.
 
     History and candidate vectors of a query are gathered by one join and one
     grouping; both lists have a fixed bound (history length, k), so a row
     stays small and the arithmetic is one NumPy product per batch.  History
     items without a vector are passed over; a candidate without one keeps its
-    row, with 0 in both vector features.
+    row, with 0 in both vector features.  Vectors travel as they are stored:
+    four-byte coordinates become doubles in the arithmetic only.
     """
     own = queries.select("query_id", "pos_item_idx", last_items(F.col("history"), max_history).alias("history"), "cands")
     entry = lambda role: lambda x, i: F.struct(F.lit(role).alias("role"), i.alias("slot"), x.alias("item_idx"))
     entries = F.concat(F.transform("history", entry(0)), F.transform("cands", entry(1)))
     rows = own.select("query_id", "pos_item_idx", F.size("history").alias("n_hist"), F.inline(entries))
-    dim = vectors.agg(F.max(F.size("vector"))).scalar()
-    zero = F.array_repeat(F.lit(0.0), F.coalesce(dim, F.lit(0)))
-    rows = rows.join(vectors.select("item_idx", F.col("vector").cast("array<double>").alias("vector")), "item_idx", "left")
+    stored = rows_of(vectors)
+    dim = stored.agg(F.max(F.size("vector"))).scalar()
+    zero = F.array_repeat(F.lit(0.0), F.coalesce(dim, F.lit(0))).cast(stored.schema["vector"].dataType)
+    rows = gather(rows, vectors, "left")
     rows = rows.where(F.col("vector").isNotNull() | (F.col("role") == 1)).withColumn("vector", F.coalesce("vector", zero))
     sorted_of = lambda role: F.array_sort(
         F.collect_list(F.when(F.col("role") == role, F.struct("slot", "item_idx", "vector")))
@@ -109,7 +112,7 @@ def pair_features(queries: DataFrame, vectors: DataFrame, max_history: int = MAX
 
 def build_features(
     queries: DataFrame,
-    vectors: DataFrame,
+    vectors: DataFrame | BucketedVectors,
     pop: DataFrame | None = None,
     price: DataFrame | None = None,
     max_history: int = MAX_HISTORY,

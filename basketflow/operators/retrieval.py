@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from basketflow.functions.vectors import (
     NORM_FLOOR, SCORE_DIGITS, as_matrix, bounds, flat, list_column, norm, unit, unit_rows,
 )
+from basketflow.operators.gathering import BucketedVectors, gather, rows_of
 from basketflow.operators.ordering import top_rows
 from basketflow.operators.sequences import last_items
 from basketflow.session import settle
@@ -31,11 +32,6 @@ def unit_vectors(vectors: DataFrame, column: str = "vector") -> DataFrame:
     return vectors.withColumn(column, unit(F.col(column)))
 
 
-def gather(lists: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Rows with ``item_idx`` joined to their vector; items without one are left out."""
-    return lists.join(vectors.select("item_idx", "vector"), "item_idx")
-
-
 def _mean_units(batches):
     for batch in batches:
         lists = flat(batch.column(batch.schema.get_field_index("vectors")))
@@ -51,7 +47,7 @@ def _mean_units(batches):
 
 
 def history_vectors(
-    queries: DataFrame, vectors: DataFrame, keep_empty: bool = False, max_history: int = 15
+    queries: DataFrame, vectors: DataFrame | BucketedVectors, keep_empty: bool = False, max_history: int = 15
 ) -> DataFrame:
     """``(query_id, vector)``: mean of the last history items' vectors, at length 1.
 
@@ -62,7 +58,7 @@ def history_vectors(
     found = lists.mapInArrow(_mean_units, "query_id long, vector array<double>")
     if not keep_empty:
         return found
-    dim = vectors.agg(F.max(F.size("vector"))).scalar()
+    dim = rows_of(vectors).agg(F.max(F.size("vector"))).scalar()
     zero = F.array_repeat(F.lit(0.0), F.coalesce(dim, F.lit(0)))
     return queries.select("query_id").join(found, "query_id", "left").withColumn("vector", F.coalesce("vector", zero))
 
