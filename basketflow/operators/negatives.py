@@ -60,12 +60,6 @@ def fixed_sample(df: DataFrame, n: int, key: str = "query_id", seed: int = 42) -
     return row_index(df, [mix(seed, F.col(key)), F.col(key)], "_place").where(F.col("_place") < n).drop("_place")
 
 
-def shuffled(df: DataFrame, key: str = "query_id", seed: int = 42) -> DataFrame:
-    """Rows in a seeded pseudo-random order, for feeding in batches: dealt by one hash, ordered by another."""
-    dealt = df.repartition(mix(seed + 1, F.col(key)))
-    return dealt.sortWithinPartitions(mix(seed, F.col(key)), F.col(key))
-
-
 def set_difference(left: Column, right: Column) -> Column:
     return F.array_except(left, right)
 

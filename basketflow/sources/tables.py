@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketflow.operators.negatives import shuffled
+from basketflow.functions.mixing import mix
 from basketflow.schemas import CUSTOMER_MAP, ITEM_MAP
 
 SPLITS = ("train", "val", "test")
@@ -110,11 +110,14 @@ def write_features(features: DataFrame, path: str, shard_rows: int = SHARD_ROWS)
 
 
 def read_features(spark: SparkSession, path: str, columns: Sequence[str], seed: int | None = None) -> DataFrame:
-    """Only the model's columns; with a seed in pseudo-random row order."""
-    if seed is None:
-        return spark.read.parquet(path).select(*columns)
-    rows = spark.read.parquet(path).withColumn("_key", F.xxhash64("query_id", "item_idx"))
-    return shuffled(rows, "_key", seed).select(*columns)
+    """Only the model's columns; with a seed in one pseudo-random order, the same on every cluster.
+
+    The order is that of ``mix(seed, query_id, item_idx)`` over the whole table, ties by the ids.
+    """
+    rows = spark.read.parquet(path)
+    if seed is not None:
+        rows = rows.orderBy(mix(seed, F.col("query_id"), F.col("item_idx")), "query_id", "item_idx")
+    return rows.select(*columns)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:

@@ -66,6 +66,20 @@ def test_feature_files_are_cut(spark, tmp_path):
     assert len(list((tmp_path / "f").glob("part-*.parquet"))) == 4
 
 
+def test_seeded_order_is_that_of_the_whole_table(spark, tmp_path):
+    path = str(tmp_path / "f")
+    rows = spark.range(0, 500, 1, 3).selectExpr("id % 50 AS query_id", "id AS item_idx", "id % 2 AS label")
+    S.write_features(rows, path, shard_rows=40)
+
+    def order(seed, partitions):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        return [r.item_idx for r in S.read_features(spark, path, ["item_idx"], seed).collect()]
+
+    first = order(7, 2)
+    assert first == order(7, 5) and sorted(first) == list(range(500))
+    assert first != order(8, 2) and first != sorted(first)
+
+
 def test_csv_lines(spark, tmp_path):
     path = str(tmp_path / "lines.csv")
     spark.createDataFrame([("1", "2")], "a string, b string").write.option("header", True).csv(path)
