@@ -58,7 +58,7 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
 def bands_for(threshold: float) -> int:
     """So many bands that a pair at ``threshold`` is missed no more often than one at 0.85 by BANDS.
 
-    Below 0.76 the samples do not suffice for that, which is an error.
+    Below 0.77 the samples do not suffice for that, which is an error.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold is a share above 0, at most 1")
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     A text without words (or null) has the empty set and links with nothing.
     Rows that repeat a doc_id are one document: its texts are connected.  A
     row without doc_id links with nothing, has no component and is kept.
-    Other columns are not read.  A threshold below 0.76 raises.  The result is settled.
+    Other columns are not read.  A threshold below 0.77 raises.  The result is settled.
     """
     spark = docs.sparkSession
     percent = round(100 * threshold)

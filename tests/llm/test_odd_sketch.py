@@ -102,7 +102,7 @@ def test_estimate_follows_similarity():
 
 def test_a_threshold_is_met_or_refused():
     missed = lambda s: (1 - s**odd_sketch.ROWS) ** odd_sketch.bands_for(s)
-    assert all(missed(s) <= missed(0.85) for s in np.arange(0.76, 1.0, 0.01))
-    for threshold in (0.75, 0.5, 0.0, -1.0, 1.01):
+    assert all(missed(s) <= missed(0.85) for s in np.arange(0.77, 1.0, 0.01))
+    for threshold in (0.76, 0.5, 0.0, -1.0, 1.01):
         with pytest.raises(ValueError):
             odd_sketch.bands_for(threshold)
