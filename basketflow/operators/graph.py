@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketflow.functions.vectors import SCORE_DIGITS, as_matrix, unit
+from basketflow.functions.vectors import SCORE_DIGITS, as_matrix, bounds, flat, unit
+from basketflow.operators.blocks import WHOLE_ROWS, meet, ranges
 from basketflow.operators.ordering import top_rows
 from basketflow.operators.retrieval import best_first, block_scores, nearest_by_hash, top_items
 from basketflow.session import Scratch, settle
@@ -32,28 +33,46 @@ DEGREE = 16
 WIDTH = 64
 ENTRIES = 64
 CHANGED = 0.01  # rounds end when a smaller share of the edges is new
-QUERIES_PER_TASK = 128
+QUERIES_PER_TASK = 2_048
+SCORED = 1 << 16  # pairs that are scored at a time
 
 
-def _dots(pairs: pa.Table, queries: pa.Table) -> pa.Table:
-    if not pairs.num_rows or not queries.num_rows:
-        return pa.table({"query_id": pa.array([], pa.int64()), "item_idx": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-    ids = queries["query_id"].to_numpy()
-    order = np.argsort(ids)
-    vectors = as_matrix(queries["vector"])[order]
-    mine = np.searchsorted(ids[order], pairs["query_id"].to_numpy())
-    scores = np.einsum("rd,rd->r", as_matrix(pairs["vector"]), vectors[mine])
-    return pa.table({"query_id": pairs["query_id"], "item_idx": pairs["item_idx"], "score": pa.array(np.round(scores, SCORE_DIGITS) + 0.0)})
+class _Dots:
+    """Scores of the items that each query of a block lists, as blocks of items pass."""
+
+    def __init__(self, block: pa.Table):
+        self.ids, self.queries, lists = flat(block["query_id"]), as_matrix(block["vector"]), flat(block["items"])
+        items = lists.flatten().to_numpy()
+        order = np.argsort(items, kind="stable")
+        self.items, self.rows = items[order], np.repeat(np.arange(len(lists)), np.diff(bounds(lists)))[order]
+
+    def add(self, block: pa.Table):
+        ids, vectors = block["item_idx"].to_numpy(), as_matrix(block["vector"])
+        start = np.searchsorted(self.items, ids, side="left")
+        count = np.searchsorted(self.items, ids, side="right") - start
+        rows, of = self.rows[ranges(start, count)], np.repeat(np.arange(len(ids)), count)
+        for at in range(0, len(rows), SCORED):
+            mine, theirs = rows[at : at + SCORED], of[at : at + SCORED]
+            scores = np.einsum("rd,rd->r", vectors[theirs], self.queries[mine])
+            yield pa.record_batch({"query_id": self.ids.take(pa.array(mine)), "item_idx": ids[theirs], "score": np.round(scores, SCORE_DIGITS) + 0.0})
+
+    def end(self):
+        return ()
 
 
 def pair_scores(pairs: DataFrame, queries: DataFrame, items: DataFrame, count: int) -> DataFrame:
-    """Scores of given (query_id, item_idx) for unit vectors; a task holds the pairs of about QUERIES_PER_TASK of ``count`` queries."""
-    blocks = max(1, -(-count // QUERIES_PER_TASK))
-    block = lambda: F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    rows = pairs.join(items.select("item_idx", "vector"), "item_idx").select("query_id", "item_idx", "vector", block())
+    """Scores of given (query_id, item_idx) for unit vectors.
+
+    Only the ids are shuffled, to one list per query; blocks of about
+    QUERIES_PER_TASK of ``count`` queries meet the items where those lie, so
+    no vector is sent per pair.
+    """
+    lists = pairs.where(F.col("item_idx").isNotNull()).groupBy("query_id").agg(F.collect_list(F.col("item_idx").cast("long")).alias("items"))
     # fresh aliases: queries and items may be the same table
-    own = queries.select(F.col("query_id").alias("query_id"), F.col("vector").alias("vector"), block())
-    return rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_dots, "query_id long, item_idx long, score double")
+    own = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("vector")).dropDuplicates(["query_id"])
+    stored = items.where(F.col("item_idx").isNotNull()).select(F.col("item_idx").cast("long").alias("item_idx"), "vector")
+    asked = own.join(lists, "query_id")
+    return meet(asked, stored, max(1, min(QUERIES_PER_TASK, count)), WHOLE_ROWS, _Dots, "query_id long, item_idx long, score double", whole=True)
 
 
 def _units(rows: DataFrame, ident: str) -> DataFrame:
@@ -87,7 +106,7 @@ class NeighborGraph:
                 both = scratch.settle(edges.unionByName(reverse).groupBy("id", "near").agg(F.max("new").alias("new")))
                 further = both.select(F.col("id").alias("near"), F.col("near").alias("item_idx"), F.col("new").alias("newer"))
                 met = both.join(further, "near").where((F.col("new") | F.col("newer")) & (F.col("id") != F.col("item_idx")))
-                met = met.select(F.col("id").alias("query_id"), "item_idx").distinct()
+                met = met.select(F.col("id").alias("query_id"), "item_idx")
                 # those that name an item are candidates of it as well
                 named = both.select(F.col("id").alias("query_id"), F.col("near").alias("item_idx"))
                 known = edges.select(F.col("id").alias("query_id"), F.col("near").alias("item_idx"))
