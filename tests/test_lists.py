@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from basketflow.operators import ranking as R, retrieval as S
+from basketflow.operators import baselines as B, evaluate as E, ranking as R, retrieval as S
 from basketflow.operators.graph import pair_scores
 
 
@@ -71,3 +71,17 @@ def test_pairs_are_scored_without_a_vector_per_pair(spark, vectors):
     unit = {r.item_idx: np.array(r.vector) for r in units.collect()}
     want = {(q, i): round(float(unit[q] @ unit[i]), 9) for q, i in ((1, 2), (1, 3), (4, 2))}
     assert {(r.query_id, r.item_idx): r.score for r in scored.collect()} == pytest.approx(want)
+
+
+def test_lists_that_pack_well_are_not_broadcast(spark, tmp_path):
+    """Their file is smaller than the limit for a broadcast, however many rows it holds."""
+    path = str(tmp_path / "lists")
+    spark.range(100_000).selectExpr("'m' AS model", "id div 20 AS query_id", "id % 20 + 1 AS rank", "id % 20 AS item_idx").write.parquet(path)
+    read = spark.read.parquet(path)
+    truths = spark.range(10_000).selectExpr("id AS query_id", "3L AS truth")
+    ranks = E.truth_ranks(read, truths, ["m"])
+    assert "SortMergeJoin [query_id" in plan(ranks)
+    assert ranks.where("hit = 4").count() == 5_000 and ranks.count() == 10_000
+    matrix = read.selectExpr("query_id AS user_idx", "item_idx", "1.0D AS weight")
+    users = matrix.select("user_idx").distinct()
+    assert "SortMergeJoin [user_idx" in plan(B.recommend_popular(matrix, users, 2))
