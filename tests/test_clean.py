@@ -173,3 +173,31 @@ def test_quantiles_shuffle_little_of_a_large_table(spark, monkeypatch):
     rows = spark.range(200_000).select((F.col("id") * 37 % 200_000).cast("double").alias("v"))
     assert exact_quantiles(rows, {"v": F.col("v")}, [0.8, 0.9]).first()["v"] == pytest.approx([0.8 * 199_999, 0.9 * 199_999])
     assert sum(n for found in listed for values in found.values() for _, n in values) < 12_000
+
+
+def test_distinct_and_merged_lines_share_one_exchange(spark):
+    from basketflow.operators.clean import until_merged
+
+    rows = [
+        ("a1", "Red  Mug", 1, 2.0, 4.0, "2024-01-01", "DE", "x"), ("a1", "Red  Mug", 1, 2.0, 4.0, "2024-01-01", "DE", "x"),
+        ("A1", "red mug", 1, 2.0, 4.0, "2024-01-01", "DE", "x"), ("A1", "red mug", 1, 1.0, 3.0, "2024-01-01", "AT", None),
+        ("A1", "red mug", 1, 1.0, 3.0, "2024-01-02", "AT", "y"), ("B", "red mug", 2, 1.0, 3.0, "2024-01-01", "AT", "y"),
+    ]
+    lines = spark.createDataFrame(rows, "stock_code string, description string, customer_id long, quantity double, line_amount double, "
+                                        "invoice_date string, country string, brand string").withColumn("price", F.col("line_amount") / F.col("quantity"))
+    merged = until_merged(lines)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r.customer_id, r.stock_code, r.invoice_date): (r.quantity, r.line_amount, r.country, r.brand) for r in merged.collect()}
+    # the copy counts once, lines that differ before they are normalised count each
+    assert got == {(1, "A1", "2024-01-01"): (5.0, 11.0, "AT", "x"), (1, "A1", "2024-01-02"): (1.0, 3.0, "AT", "y"), (2, "B", "2024-01-01"): (1.0, 3.0, "AT", "y")}
+
+
+def test_medians_of_hot_keys_need_no_join_by_key(spark):
+    from basketflow.operators.quantiles import grouped_prices
+
+    rows = [("hot", float(i % 101)) for i in range(2_000)] + [("rare", None), ("rare", 4.0), ("rare", 1.0), (None, 2.0), ("none", None)]
+    found = grouped_prices(spark.createDataFrame(rows, "k string, v double").repartition(3), ["k"], "v", "median", "mean", "n")
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: (r.median, None if r.mean is None else round(r.mean, 9), r.n) for r in found.collect()}
+    values = sorted(float(i % 101) for i in range(2_000))
+    assert got == {"hot": ((values[999] + values[1000]) / 2, round(sum(values) / 2000, 9), 2000), "rare": (2.5, 2.5, 3), None: (2.0, 2.0, 1), "none": (None, None, 1)}

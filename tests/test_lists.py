@@ -85,3 +85,19 @@ def test_lists_that_pack_well_are_not_broadcast(spark, tmp_path):
     matrix = read.selectExpr("query_id AS user_idx", "item_idx", "1.0D AS weight")
     users = matrix.select("user_idx").distinct()
     assert "SortMergeJoin [user_idx" in plan(B.recommend_popular(matrix, users, 2))
+
+
+@pytest.mark.parametrize("name", ["r16_order_kept_without_scores", "r17_rankers_max"])
+def test_feature_rows_are_not_written(spark, data, monkeypatch, name):
+    from basketflow import session
+    from basketflow.catalog import QUERIES, load, ranking, views
+
+    load()
+    written = []
+    for module in (ranking, views, R, S):
+        monkeypatch.setattr(module, "settle", lambda df: written.append(set(df.columns)) or session.settle(df))
+    ranking._PRICES.clear()
+    assert QUERIES[name](spark, data).count() > 0
+    assert not any({"dot_uv", "slot"} & columns for columns in written)
+    # the candidates are made once, and the clean lines are not written a second time beside the merged ones
+    assert sum("cands" in columns for columns in written) == 1 and not any("stock_code" in columns for columns in written)
