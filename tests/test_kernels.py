@@ -121,3 +121,29 @@ def test_prices_are_made_without_texts(spark, data, monkeypatch):
     assert "SortAggregate" not in plan  # texts have no place in a hash table of sums
     prices = lambda items: {tuple(r) for r in items.select("stock_code", "price_median", "price_mean", "popularity").collect()}
     assert prices(T.item_catalog(rows, ())) == prices(T.item_catalog(V.clean(spark, data)))
+
+
+def test_perceptron_scores_batches_and_reads_its_rows_once(spark, monkeypatch):
+    from pyspark.ml.functions import vector_to_array
+
+    from basketflow.operators import scoring
+
+    draw = np.random.default_rng(9)
+    columns = ", ".join(f"{c} double" for c in ranking.FEATURES)
+    rows = spark.createDataFrame([(*map(float, draw.normal(size=5) * 9), float(i % 3 == 0)) for i in range(300)], f"{columns}, label double")
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    model = scoring.fit_ranker(rows.mapInArrow(counted, rows.schema), (6, 4), iterations=5)
+    assert made.value == 300
+    usual = model.transform(rows).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
+    found = scoring.score_with(model, rows)
+    assert found.columns == usual.columns and "UDF" not in found._jdf.queryExecution().executedPlan().toString()
+    assert np.allclose(np.array(found.collect()), np.array(usual.collect()), rtol=0, atol=1e-12)
+    nothing = spark.createDataFrame([(None, 1.0, 1.0, 1.0, 1.0, 0.0)], rows.schema)
+    with pytest.raises(Exception, match="null or NaN"):
+        scoring.score_with(model, nothing).collect()
