@@ -119,6 +119,8 @@ def test_prices_are_made_without_texts(spark, data, monkeypatch):
     assert set(merged.columns) == {*clean.MERGE_KEYS, *clean.MEASURES}
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan  # texts have no place in a hash table of sums
+    sent = next(line for line in plan[plan.index("REPARTITION_BY_COL"):].splitlines() if "Project [" in line)
+    assert "pythonUDF" not in sent  # the normalised text is needed for the rule on products alone
     prices = lambda items: {tuple(r) for r in items.select("stock_code", "price_median", "price_mean", "popularity").collect()}
     assert prices(T.item_catalog(rows, ())) == prices(T.item_catalog(V.clean(spark, data)))
 
@@ -147,3 +149,35 @@ def test_perceptron_scores_batches_and_reads_its_rows_once(spark, monkeypatch):
     nothing = spark.createDataFrame([(None, 1.0, 1.0, 1.0, 1.0, 0.0)], rows.schema)
     with pytest.raises(Exception, match="null or NaN"):
         scoring.score_with(model, nothing).collect()
+
+
+def test_only_rows_that_can_be_listed_are_sorted(spark):
+    from basketflow.operators import evaluate, scoring
+
+    draw = np.random.default_rng(10)
+    rows = [(q, i, float(draw.integers(0, 9)), float(i == 3)) for q in (1, 2, None) for i in range(60)]
+    rows += [(3, i, None if i == 2 else math.nan, float(i == 2)) for i in range(60)]
+    scored = spark.createDataFrame(rows, "query_id long, item_idx long, score double, label double").coalesce(1)
+    assert 0 < scoring.among_best(scored, 2).where("query_id IS NOT NULL AND query_id < 3").count() < 100
+    for k in (1, 2, 60):
+        hits = 0
+        for q in (1, 2, None, 3):
+            own = [r for r in rows if r[0] == q]
+            order = sorted(own, key=lambda r: (math.inf if r[2] is None else -math.inf if math.isnan(r[2]) else -r[2], r[1]))
+            hits += any(r[3] for r in order[:k])
+        assert evaluate.recall_from_scores(scored, k).first()["recall"] == hits / 4
+
+
+def test_evaluation_scores_keep_what_is_listed(spark):
+    from basketflow.catalog import evaluating, views as V
+
+    draw = np.random.default_rng(11)
+    rows = [(1, i, *map(float, draw.normal(size=5))) for i in range(200)]
+    features = spark.createDataFrame(rows, "query_id long, item_idx long, " + ", ".join(f"{c} double" for c in ranking.FEATURES)).coalesce(1)
+    most = max(V.KS)
+    found = evaluating.scorer(features)
+    assert most <= found.count() < 200
+    from basketflow.operators.scoring import score_features
+
+    lists = lambda scored: sorted(map(str, ranking.rerank(scored, most).collect()))
+    assert lists(found) == lists(score_features(features, V.dense_ranker()))
